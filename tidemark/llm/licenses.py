@@ -59,9 +59,9 @@ def _counted(units: DataFrame, key: str) -> DataFrame:
     return units.select(key, F.explode(terms(F.col("unit"))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
 
 
-def _weighted(tf: DataFrame, idf: DataFrame, key: str) -> DataFrame:
-    """``key, term, weight`` of length 1; a term that no unit has gets no weight."""
-    w = tf.join(idf, "term").select(key, "term", (F.col("tf") * F.col("idf")).alias("w"))
+def _weighted(tf: DataFrame, idf: DataFrame, key: str, unseen: Column) -> DataFrame:
+    """``key, term, weight`` of length 1; ``unseen`` is the idf of a term that no unit has."""
+    w = tf.join(idf, "term", "left").select(key, "term", (F.col("tf") * F.coalesce("idf", unseen)).alias("w"))
     length = w.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
     return w.join(length, key).select(key, "term", (F.col("w") / F.col("length")).alias("weight"))
 
@@ -72,9 +72,10 @@ def scored(units: DataFrame, templates: DataFrame) -> DataFrame:
     total = units.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     df = tf.join(units, "unit").groupBy("term").agg(F.sum("n").alias("df"))
     idf = df.select("term", (F.log((F.lit(total) + 1) / (F.col("df") + 1)) + 1).alias("idf"))
-    mine = _weighted(tf, idf, "unit")
+    unseen = F.log(F.lit(total) + 1) + 1
+    mine = _weighted(tf, idf, "unit", unseen)
     numbered = templates.select("template", F.col("text").alias("unit"))
-    theirs = _weighted(_counted(numbered, "template"), idf, "template").withColumnRenamed("weight", "weight_of_template")
+    theirs = _weighted(_counted(numbered, "template"), idf, "template", unseen).withColumnRenamed("weight", "weight_of_template")
     cosine = mine.join(theirs, "term").groupBy("unit", "template").agg(F.sum(F.col("weight") * F.col("weight_of_template")).alias("cosine"))
     named = cosine.join(templates.select("template", "license"), "template")
     similarity = F.round(F.col("cosine") * 1000).cast("long")

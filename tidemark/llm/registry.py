@@ -63,8 +63,7 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = secrets.scanned(docs, secrets.train(secrets.labelled_samples(spark)))
-    of = {k: F.size(F.filter("base_spans", lambda s, i=i: s["rank"] == i)).cast("long").alias(f"n_{k}") for i, k in enumerate(secrets.KINDS[:3])}
-    return found.select("doc_id", *of.values(), F.sha2(secrets.written_out(F.col("base_spans")), 256).alias("base_sha256"), secrets.written_out(F.col("spans")).alias("spans"))
+    return found.select("doc_id", *(secrets.count_of("base_spans", k).alias(f"n_{k}") for k in secrets.KINDS[:3]), F.sha2(secrets.written_out(F.col("base_spans")), 256).alias("base_sha256"), secrets.written_out(F.col("spans")).alias("spans"))
 
 
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -126,7 +125,7 @@ def _license_sql() -> str:
 
     def weights(source: str, key: str) -> str:
         return f"""SELECT {key}, term, w / sqrt(sum(w * w) OVER (PARTITION BY {key})) AS w FROM
-  (SELECT {key}, term, tf * idf AS w FROM (SELECT {key}, term, count(*) AS tf FROM (SELECT {key}, unnest({terms}) AS term FROM {source}) GROUP BY 1, 2) JOIN idf USING (term))"""
+  (SELECT {key}, term, tf * coalesce(idf, (SELECT ln(total + 1) + 1 FROM total)) AS w FROM (SELECT {key}, term, count(*) AS tf FROM (SELECT {key}, unnest({terms}) AS term FROM {source}) GROUP BY 1, 2) LEFT JOIN idf USING (term))"""
 
     # No document of the tables is a licence file by its name, so nothing is inherited.
     return f"""WITH templates(template, license, unit) AS (VALUES {rows}),

@@ -139,6 +139,11 @@ def written_out(spans: Column) -> Column:
     return F.array_join(each, ",")
 
 
+def count_of(spans: str, kind: str) -> Column:
+    """How many of the spans are of a kind."""
+    return F.size(F.filter(spans, lambda s: s["rank"] == KINDS.index(kind))).cast("long")
+
+
 def scanned(df: DataFrame, table: list[int], text: str = "text", base: str = "base_spans", spans: str = "spans") -> DataFrame:
     """The frame with two arrays of spans: the patterns', and those with the models' outside of them."""
     body = F.coalesce(F.col(text), F.lit(""))

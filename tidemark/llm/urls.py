@@ -23,6 +23,8 @@ RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "exa
 
 #: Share of the labelled URLs that a rule's tokens and verdict must have together; the verdict's share where the tokens are.
 MIN_SUPPORT, MIN_CONFIDENCE, MIN_LIFT = 0.002, 0.8, 1.2
+#: Labelled URLs that a rule's tokens and verdict must have together, however few there are.
+MIN_COUNT = 20
 DEFAULT = "allow"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _SPLIT = r"(?s)^.*?://([^/?#]*)([^?#]*)"
@@ -59,7 +61,8 @@ def tokens(url: Column) -> Column:
 def mine(labelled: DataFrame) -> DataFrame:
     """``rule_id, antecedent, verdict, confidence, support, index_token`` from ``url, verdict``."""
     items = labelled.where(F.col("url").isNotNull()).select(F.concat(tokens(F.col("url")), F.array(F.concat(F.lit(_LABEL), "verdict"))).alias("items"))
-    model = FPGrowth(itemsCol="items", minSupport=MIN_SUPPORT, minConfidence=MIN_CONFIDENCE, numPartitions=labelled.sparkSession.sparkContext.defaultParallelism).fit(items)
+    support = min(1.0, max(MIN_SUPPORT, MIN_COUNT / max(items.count(), 1)))
+    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=MIN_CONFIDENCE, numPartitions=labelled.sparkSession.sparkContext.defaultParallelism).fit(items)
     is_label = lambda x: x.startswith(_LABEL)
     rules = model.associationRules.where(is_label(F.element_at("consequent", 1)) & ~F.exists("antecedent", is_label) & (F.col("lift") >= MIN_LIFT))
     rules = rules.select(F.array_sort("antecedent").alias("antecedent"), F.substring(F.element_at("consequent", 1), len(_LABEL) + 1, 99).alias("verdict"), "confidence", "support")
