@@ -45,7 +45,7 @@ def symbols(text: str | None) -> np.ndarray:
     return np.fromiter(map(_known.__getitem__, w), np.uint64, len(w))
 
 
-WORDS = repeats.Alphabet(symbols, lambda x: x, np.uint64, 6)
+WORDS = repeats.Alphabet(symbols, lambda x: x, np.uint64, 6, 8)
 
 
 class SuffixAutomaton:

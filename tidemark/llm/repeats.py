@@ -4,7 +4,7 @@ A text is a row of symbols (words, or bytes). A window is ``length`` symbols in
 removed if the same window starts in a document with a smaller id. To find these without sending every
 window anywhere:
 
-1. Every window has a key, the least hash of the ``GRAM``-symbol strings in it. Equal windows have equal
+1. Every window has a key, the least hash of the ``gram``-symbol strings in it. Equal windows have equal
    keys, and windows in a row mostly share one, so a text falls into *runs* of windows with one key. Keys
    that occur in one document only are left out (``shared``: four bytes a key, one bit back).
 2. The runs left over are put in the shared folder by blocks of documents, equal ones of a block once. What
@@ -38,9 +38,7 @@ from tidemark.llm import shared
 from tidemark.llm.common import blocks_for, fresh, mix, text_bytes, written
 
 #: Bytes of text in a block of documents, about.
-BLOCK_BYTES = 8 << 20
-#: Symbols that a key is a hash of.
-GRAM = 16
+BLOCK_BYTES = 4 << 20
 #: Runs of one key in a block beyond which the key is hot; so is one from more than ``shared.HOT_BLOCKS`` blocks.
 HOT = 64
 #: Symbols that are hashed at once, for the CPU's caches, and symbols of a reference shard's index.
@@ -48,7 +46,7 @@ CHUNK, SHARD = 1 << 17, 1 << 16
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 SPANS = "doc_id long, text_hash long, starts array<int>, ends array<int>"
-STATE = "block long, doc binary, hash binary, start binary, run binary, key binary, content binary, size binary, first binary, hot binary, symbols binary"
+STATE = "block long, doc binary, hash binary, text binary, start binary, run binary, key binary, content binary, size binary, first binary, offset binary, hot binary, symbols binary"
 
 #: A text's symbols, as they are kept.
 Symbols = Callable[[str | None], np.ndarray]
@@ -64,6 +62,8 @@ class Alphabet(NamedTuple):
     dtype: type
     #: Bytes of text for a symbol, about.
     per_symbol: int
+    #: Symbols that a key is a hash of: few enough that keys are sparse, enough that chance doesn't repeat them.
+    gram: int
 
 
 # windows
@@ -102,7 +102,7 @@ def _least(x: np.ndarray, n: int) -> np.ndarray:
     return np.minimum(x[: x.size - (n - have)], x[n - have :]) if n > have else x
 
 
-def runs(texts: list[np.ndarray], length: int, scatter: Scatter) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def runs(texts: list[np.ndarray], length: int, of: Alphabet) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """``text, start, windows, key`` of the runs of windows with one key, in order."""
     out, at = [], 0
     while at < len(texts):
@@ -112,7 +112,7 @@ def runs(texts: list[np.ndarray], length: int, scatter: Scatter) -> tuple[np.nda
         sizes = np.array([t.size for t in texts[at:upto]])
         joined = np.concatenate(texts[at:upto])
         if joined.size >= length:
-            keys = _least(gram_hashes(scatter(joined), GRAM), length - GRAM + 1)
+            keys = _least(gram_hashes(of.scatter(joined), of.gram), length - of.gram + 1)
             text = np.repeat(np.arange(sizes.size), sizes)
             offset = np.cumsum(sizes) - sizes
             inside = text[: keys.size] == text[length - 1 :]
@@ -146,7 +146,7 @@ def _bits(a: np.ndarray) -> bytes:
 def _sender(of: Alphabet, length: int, bits: int, hot: int):
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         doc, _, texts = _read(pdf, of.symbols)
-        text, _, _, keys = runs(texts, length, of.scatter)
+        text, _, _, keys = runs(texts, length, of)
         distinct, many, count = shared.unique_keys(keys, doc[text])
         return shared.send(key[0], distinct, many, count > hot, bits)
 
@@ -158,7 +158,7 @@ def _keeper(of: Alphabet, length: int, bits: int):
 
     def run(key: tuple, pdf: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
         doc, text_hash, texts = _read(pdf, of.symbols)
-        text, start, size, keys = runs(texts, length, of.scatter)
+        text, start, size, keys = runs(texts, length, of)
         distinct = np.unique(keys)
         common, hot_keys = shared.received(got, distinct, bits)
         at = np.searchsorted(distinct, keys)
@@ -177,16 +177,32 @@ def _keeper(of: Alphabet, length: int, bits: int):
         run_of[order] = np.cumsum(new) - 1
         first = order[new]
         hot = hot_keys[first]
-        pieces = [texts[text[i]][start[i] : start[i] + size[i] + length - 1] for i in first]
+        offset, symbols = _laid_out(texts, text[first], start[first], size[first] + length - 1)
+        used, text = np.unique(text, return_inverse=True)
         row = (
-            key[0], doc[text].tobytes(), text_hash[text].tobytes(), start.tobytes(), run_of.tobytes(), keys[first].tobytes(), content[first].tobytes(),
-            size[first].tobytes(), doc[text[first]].tobytes(), hot.tobytes(), np.concatenate(pieces).tobytes(),
+            key[0], doc[used].tobytes(), text_hash[used].tobytes(), text.astype(np.int32).tobytes(), start.astype(np.int32).tobytes(), run_of.astype(np.int32).tobytes(), keys[first].tobytes(),
+            content[first].tobytes(), size[first].astype(np.int32).tobytes(), text[first].astype(np.int32).tobytes(), offset.tobytes(), hot.tobytes(), symbols.tobytes(),
         )
         return pd.DataFrame([row], columns=[c.split()[0] for c in STATE.split(", ")])
 
     return run
 
 
+def _laid_out(texts: list[np.ndarray], text: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets of pieces of texts in one array that has the symbols where pieces overlap once."""
+    offset, parts, total = np.empty(text.size, np.int64), [], 0
+    order = np.lexsort((start, text))
+    at, upto = -1, 0
+    for i, t, a, n in zip(order.tolist(), text[order].tolist(), start[order].tolist(), size[order].tolist()):
+        if t != at or a > upto:
+            at, upto, base = t, a, total - a
+        offset[i] = base + a
+        if a + n > upto:
+            parts.append(texts[t][upto : a + n])
+            total, upto = total + a + n - upto, a + n
+    return offset, np.concatenate(parts)
+
+
 def _groups(sorted_: np.ndarray) -> Iterator[tuple[int, int, int]]:
     at = np.flatnonzero(np.r_[True, sorted_[1:] != sorted_[:-1]]) if sorted_.size else []
     for a, b in zip(at, np.r_[at[1:], sorted_.size]):
@@ -198,13 +214,16 @@ class _Block:
 
     def __init__(self, row, length: int, of: Alphabet) -> None:
         get = lambda name, kind: np.frombuffer(getattr(row, name), kind)
-        self.doc, self.hash, self.start, self.run = get("doc", np.int64), get("hash", np.int64), get("start", np.int64), get("run", np.int64)
-        self.key, self.content, self.size, self.first = get("key", np.uint64), get("content", np.uint64), get("size", np.int64), get("first", np.int64)
-        self.hot, symbols = get("hot", bool), get("symbols", of.dtype)
-        ends = np.cumsum(self.size + length - 1)
-        self.piece = [symbols[a:b] for a, b in zip(ends - self.size - length + 1, ends)]
+        doc, hashes, text = get("doc", np.int64), get("hash", np.int64), get("text", np.int32)
+        self.doc, self.hash, self.start, self.run = doc[text], hashes[text], get("start", np.int32), get("run", np.int32)
+        self.key, self.content, self.size, self.first = get("key", np.uint64), get("content", np.uint64), get("size", np.int32).astype(np.int64), doc[get("first", np.int32)]
+        self.hot, self.offset, self.symbols = get("hot", bool), get("offset", np.int64), get("symbols", of.dtype)
         self.length, self.scatter = length, of.scatter
 
+    def piece(self, r: int) -> np.ndarray:
+        """The symbols of a run's windows."""
+        return self.symbols[self.offset[r] : self.offset[r] + self.size[r] + self.length - 1]
+
     def sent(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """``key, content, first`` of what the block sends, in order, and its place among runs and their windows.
 
@@ -215,7 +234,7 @@ class _Block:
         base = np.cumsum(self.size) - self.size + self.size.size
         for r in np.flatnonzero(self.hot):
             n = int(self.size[r])
-            key.append(gram_hashes(self.scatter(self.piece[r]), self.length))
+            key.append(gram_hashes(self.scatter(self.piece(r)), self.length))
             content.append(np.zeros(n, np.uint64))
             first.append(np.full(n, self.first[r]))
             place.append(base[r] + np.arange(n))
@@ -251,10 +270,10 @@ def _first_of(pdf: pd.DataFrame) -> pd.DataFrame:
     run = np.cumsum(new) - 1
     first = f[new][run]
     several = np.bincount(np.cumsum(new_key[new]) - 1)[np.cumsum(new_key) - 1] > 1
-    out = np.empty((k.size, 2), np.uint64)
-    out[order, 0], out[order, 1] = first, several
+    out, bit = np.empty(k.size, np.uint64), np.empty(k.size, bool)
+    out[order], bit[order] = first, several
     ends = np.cumsum(sizes)
-    return pd.DataFrame({"block": pdf.block, "bucket": pdf.bucket, "payload": [out[e - n : e].tobytes() for e, n in zip(ends, sizes)]})
+    return pd.DataFrame({"block": pdf.block, "bucket": pdf.bucket, "payload": [out[e - n : e].tobytes() + _bits(bit[e - n : e]) for e, n in zip(ends, sizes)]})
 
 
 def _answered(block: _Block, got: pd.DataFrame, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -262,9 +281,11 @@ def _answered(block: _Block, got: pd.DataFrame, bits: int) -> tuple[np.ndarray,
     k, c, _, place = block.sent()
     new = np.r_[True, (k[1:] != k[:-1]) | (c[1:] != c[:-1])]
     by = dict(zip(got.bucket, got.payload))
-    parts = [np.frombuffer(by[b], np.uint64).reshape(-1, 2) for b, _, _ in shared.slices(k[new], bits)]
-    answer = np.concatenate(parts)[np.cumsum(new) - 1]
-    return place, answer[:, 0].view(np.int64), answer[:, 1].astype(bool)
+    slices = shared.slices(k[new], bits)
+    first = np.concatenate([np.frombuffer(by[b], np.int64, j - i) for b, i, j in slices])
+    several = np.concatenate([np.unpackbits(np.frombuffer(by[b], np.uint8, offset=8 * (j - i)), count=j - i) for b, i, j in slices])
+    of = np.cumsum(new) - 1
+    return place, first[of], several[of].astype(bool)
 
 
 def _citer(of: Alphabet, length: int, bits: int):
@@ -278,12 +299,32 @@ def _citer(of: Alphabet, length: int, bits: int):
             whole = place < b.size.size
             for r in place[whole & several & (first == b.first[np.minimum(place, b.size.size - 1)])]:
                 at = int(shared.bucket_of(b.key[r : r + 1], bits)[0])
-                rows.append((at, row.block, int(r), int(b.key[r : r + 1].view(np.int64)[0]), int(b.first[r]), b.piece[r].tobytes()))
+                rows.append((at, row.block, int(r), int(b.key[r : r + 1].view(np.int64)[0]), int(b.first[r]), b.piece(r).tobytes()))
         return pd.DataFrame(rows, columns=["bucket", "block", "run", "key", "doc", "symbols"])
 
     return run
 
 
+def _related(passages: list[tuple[int, int, np.ndarray]], length: int, of: Alphabet, resolve: Resolve) -> list[np.ndarray]:
+    """A shard's marks. Passages none of whose windows has its hash in another are left out of the index."""
+    sizes = np.array([p.size - length + 1 for _, _, p in passages])
+    joined = gram_hashes(of.scatter(np.concatenate([p for _, _, p in passages])), length)
+    ends = np.cumsum(sizes + length - 1)
+    owner = np.repeat(np.arange(sizes.size), sizes)
+    place = np.arange(owner.size) + (ends - sizes - length + 1 - np.cumsum(sizes) + sizes)[owner]
+    order = np.argsort(joined[place])
+    h, o = joined[place][order], owner[order]
+    same = np.flatnonzero(h[1:] == h[:-1])
+    inside = np.zeros(sizes.size, bool)
+    inside[o[same]] = inside[o[same + 1]] = True
+    marks = [np.zeros(n, bool) for n in sizes]
+    chosen = np.flatnonzero(inside)
+    if chosen.size > 1:
+        for k, mark in zip(chosen, resolve([passages[k] for k in chosen], length)):
+            marks[k] = mark
+    return marks
+
+
 def _resolver(resolve: Resolve, length: int, of: Alphabet):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["key", "doc", "block", "run"])
@@ -294,7 +335,7 @@ def _resolver(resolve: Resolve, length: int, of: Alphabet):
             upto, size = at, 0
             while upto < len(passages) and (size < SHARD or passages[upto][0] == passages[upto - 1][0]):
                 size, upto = size + passages[upto][2].size, upto + 1
-            marks += resolve(passages[at:upto], length)
+            marks += _related(passages[at:upto], length, of, resolve)
             at = upto
         return pd.DataFrame({"block": pdf.block.to_numpy(), "bucket": -1, "run": pdf.run.to_numpy(), "payload": [_bits(m) for m in marks]})
 
@@ -347,10 +388,10 @@ def _finisher(of: Alphabet, length: int, bits: int):
 def repeated_spans(docs: DataFrame, of: Alphabet, resolve: Resolve, length: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, text_hash, starts, ends``: the maximal removed runs of symbols of each document that has any.
 
-    ``length`` is over GRAM.
+    ``length`` is over the alphabet's ``gram``.
     """
     total = text_bytes(docs, text)
-    n, bits = blocks_for(total, BLOCK_BYTES), shared.bucket_bits(2 * total // (of.per_symbol * (length - GRAM)))
+    n, bits = blocks_for(total, BLOCK_BYTES), shared.bucket_bits(2 * total // (of.per_symbol * (length - of.gram)))
     rows = blocked(docs, n, doc_id, text)
     answers = shared.meet(rows.groupBy("block").applyInPandas(_sender(of, length, bits, HOT), shared.SENT))
     state = written(rows.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(_keeper(of, length, bits), STATE), "runs")

@@ -32,7 +32,7 @@ def symbols(text: str | None) -> np.ndarray:
     return np.frombuffer((text or "").encode(), np.uint8)
 
 
-BYTES = repeats.Alphabet(symbols, lambda x: _OF_BYTE[x], np.uint8, 1)
+BYTES = repeats.Alphabet(symbols, lambda x: _OF_BYTE[x], np.uint8, 1, 24)
 
 
 def suffix_array(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -41,25 +41,30 @@ def suffix_array(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     ``codes`` are small numbers from 0 on; the last must be unlike all others.
     """
     n = codes.size
-    rank = np.unique(codes, return_inverse=True)[1].astype(np.int64)
-    levels, step = [rank], 1
-    order = np.argsort(rank, kind="stable")
-    while rank.max() < n - 1 and step < n:
-        key = rank * (n + 1)
-        key[: n - step] += rank[step:] + 1
-        order = np.argsort(key, kind="stable")
+    width = int(codes.max()).bit_length() + 1
+    step = max(1, 62 // width)  # so many symbols fit in one number
+    padded = np.r_[codes + 1, np.zeros(step, np.int64)]
+    key = padded[:n].copy()
+    for i in range(1, step):
+        key <<= width
+        key += padded[i : n + i]
+    levels: list[tuple[int, np.ndarray]] = []
+    while True:
+        order = np.argsort(key)
         k = key[order]
         rank = np.empty(n, np.int64)
         rank[order] = np.cumsum(np.r_[0, k[1:] != k[:-1]])
-        levels.append(rank)
+        levels.append((step, rank))
+        if rank[order[-1]] == n - 1:
+            break
+        key = rank * (n + 1)
+        key[: n - step] += rank[step:] + 1
         step *= 2
     a, b = order[:-1].copy(), order[1:].copy()
     common = np.zeros(n - 1, np.int64)
-    for level in range(len(levels) - 1, -1, -1):
-        size, r = 1 << level, levels[level]
-        fits = (a + size <= n) & (b + size <= n)
-        same = np.zeros(n - 1, bool)
-        same[fits] = r[a[fits]] == r[b[fits]]
+    for size, r in [*reversed(levels), *[(1, codes)] * (levels[0][0] - 1)]:
+        same = (a + size <= n) & (b + size <= n)
+        same[same] = r[a[same]] == r[b[same]]
         common[same] += size
         a[same] += size
         b[same] += size
