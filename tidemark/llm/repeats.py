@@ -38,7 +38,7 @@ from tidemark.llm import shared
 from tidemark.llm.common import blocks_for, fresh, mix, text_bytes, written
 
 #: Bytes of text in a block of documents, about.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 #: Runs of one key in a block beyond which the key is hot; so is one from more than ``shared.HOT_BLOCKS`` blocks.
 HOT = 64
 #: Symbols that are hashed at once, for the CPU's caches, and symbols of a reference shard's index.

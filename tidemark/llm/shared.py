@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 #: Keys in a bucket, about.
-BUCKET_KEYS = 1 << 21
+BUCKET_KEYS = 1 << 20
 SENT = "block long, bucket long, payload binary, many binary, hot binary"
 BITS = "block long, bucket long, payload binary, hot binary"
 #: Blocks that send one key, beyond which it is hot.
