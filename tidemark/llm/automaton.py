@@ -24,25 +24,12 @@ from tidemark.llm.common import words
 
 #: Words in a window.
 LENGTH = 50
-#: Distinct words whose hashes a worker keeps.
-CACHE = 1_000_000
-
-
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHE:
-            self.clear()
-        self[word] = h = xxhash.xxh64_intdigest(word)
-        return h
-
-
-_known = _Hashes()
 
 
 def symbols(text: str | None) -> np.ndarray:
     """A 64-bit hash for each word."""
     w = words(text)
-    return np.fromiter(map(_known.__getitem__, w), np.uint64, len(w))
+    return np.fromiter(map(xxhash.xxh64_intdigest, w), np.uint64, len(w))
 
 
 WORDS = repeats.Alphabet(symbols, lambda x: x, np.uint64, 6, 8)

@@ -38,6 +38,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dealt(df: DataFrame, key: str) -> DataFrame:
+    """Partitioned by a key into the session's number of partitions.
+
+    Rows that stand for much work are few and small, and AQE would put them all in one task.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def text_bytes(df: DataFrame, text: str = "text") -> int:
     """UTF-8 bytes of a column; one pass over it, one number to the driver."""
     return df.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]

@@ -36,29 +36,19 @@ WORDS = 5
 #: Containment as a fraction, so that the comparison is exact.
 NUMERATOR, DENOMINATOR = 4, 5
 BLOCK_BYTES = 8 << 20
-#: Distinct words whose hashes a worker keeps.
-CACHE = 1_000_000
 _BASE = np.uint64(0xD6E8FEB86659FD93)
 _BITS = 20
 
 HITS = "array<struct<item_id: long, n_shared: int, n_item: int>>"
 
 
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHE:
-            self.clear()
-        self[word] = h = xxhash.xxh64_intdigest(word)
-        return h
-
-
 def lowered(text: str | None) -> list[bytes]:
     """Words with A-Z lower-cased."""
     return text.encode().lower().split() if text else []
 
 
-def shingle_hashes(words: list[bytes], known: _Hashes) -> np.ndarray:
-    h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+def shingle_hashes(words: list[bytes]) -> np.ndarray:
+    h = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
     n = min(WORDS, h.size)
     if not n:
         return h
@@ -77,12 +67,12 @@ class Index:
     """The sketches of some items, and their shingles for verifying."""
 
     def __init__(self, items: list[tuple[int, str]]) -> None:
-        known, parts = _Hashes(), []
+        parts = []
         self.items = [(i, s) for i, text in items if (s := shingles(lowered(text)))]
         for at, (_, own) in enumerate(self.items):
             upper = 1 << (len(own) - 1).bit_length()  # of the item's size partition
             k = (DENOMINATOR - NUMERATOR) * upper // DENOMINATOR + 1
-            hashes = np.sort(np.array([shingle_hashes(s.split(b" "), known)[0] for s in own], np.uint64))[:k]
+            hashes = np.sort(np.array([shingle_hashes(s.split(b" "))[0] for s in own], np.uint64))[:k]
             parts.append((hashes, np.full(hashes.size, at)))
         hashes = np.concatenate([p[0] for p in parts]) if parts else np.zeros(0, np.uint64)
         order = np.argsort(hashes)
@@ -91,9 +81,9 @@ class Index:
         self.may = np.zeros(1 << _BITS, bool)
         self.may[self.hashes >> np.uint64(64 - _BITS)] = True
 
-    def search(self, text: str | None, known: _Hashes) -> list[tuple[int, int, int]]:
+    def search(self, text: str | None) -> list[tuple[int, int, int]]:
         words = lowered(text)
-        h = shingle_hashes(words, known)
+        h = shingle_hashes(words)
         h = np.unique(h[self.may[h >> np.uint64(64 - _BITS)]])
         low, high = np.searchsorted(self.hashes, h, "left"), np.searchsorted(self.hashes, h, "right")
         found = sorted({int(o) for a, b in zip(low, high) for o in self.owner[a:b]})
@@ -110,9 +100,8 @@ class Index:
 
 def _hits(index: Broadcast, text: Column) -> Column:
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        known = _Hashes()
         for batch in batches:
-            yield pd.Series([[{"item_id": i, "n_shared": s, "n_item": n} for i, s, n in index.value.search(t, known)] for t in batch], dtype=object)
+            yield pd.Series([[{"item_id": i, "n_shared": s, "n_item": n} for i, s, n in index.value.search(t)] for t in batch], dtype=object)
 
     run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
     return F.pandas_udf(run, HITS)(text)

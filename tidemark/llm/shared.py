@@ -13,6 +13,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from tidemark.llm.common import dealt
+
 #: Keys in a bucket, about.
 BUCKET_KEYS = 1 << 20
 SENT = "block long, bucket long, payload binary, many binary, hot binary"
@@ -86,7 +88,7 @@ def _meet(pdf: pd.DataFrame) -> pd.DataFrame:
 
 def meet(sent: DataFrame) -> DataFrame:
     """From rows of SENT to rows of BITS: for each block and bucket, whether its keys have several owners, and are hot."""
-    return sent.groupBy("bucket").applyInPandas(_meet, BITS)
+    return dealt(sent, "bucket").groupBy("bucket").applyInPandas(_meet, BITS)
 
 
 def received(answers: pd.DataFrame, keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:

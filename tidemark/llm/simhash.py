@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import shared
-from tidemark.llm.common import blocks_for, fresh, mix, written
+from tidemark.llm.common import blocks_for, dealt, fresh, mix, written
 from tidemark.llm.graph import components
 
 WORDS, SEED, RADIUS = 4, 42, 4
@@ -85,7 +85,7 @@ def _fine(fps: np.ndarray) -> np.ndarray:
 
 
 def _in_blocks(df: DataFrame, n: int) -> DataFrame:
-    return df.select(F.pmod(F.xxhash64("fp"), F.lit(n)).alias("block"), "fp")
+    return dealt(df.select(F.pmod(F.xxhash64("fp"), F.lit(n)).alias("block"), "fp"), "block")
 
 
 def _sender(keys_of, bits: int):
@@ -145,7 +145,7 @@ def links(fps: DataFrame) -> DataFrame:
         return pd.DataFrame(rows, columns=["bucket", "payload"])
 
     sent = rows.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(emit, "bucket long, payload binary")
-    return sent.groupBy("bucket").applyInPandas(_links, "a long, b long").distinct()
+    return dealt(sent, "bucket").groupBy("bucket").applyInPandas(_links, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
