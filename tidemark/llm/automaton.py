@@ -16,7 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import repeats
@@ -26,9 +26,9 @@ from tidemark.llm.common import words
 LENGTH = 50
 
 
-def symbols(text: str | None) -> np.ndarray:
+def symbols(text: bytes) -> np.ndarray:
     """A 64-bit hash for each word."""
-    w = words(text)
+    w = text.split()
     return np.fromiter(map(xxhash.xxh64_intdigest, w), np.uint64, len(w))
 
 
@@ -114,14 +114,7 @@ def resolve(passages: list[tuple[int, int, np.ndarray]], length: int) -> list[np
     return [np.array([first < doc for first in automaton.stream(s, length)], bool) for (_, doc, _), s in zip(passages, strings)]
 
 
-def spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
-    """``doc_id, text_hash, starts, ends``: the maximal runs of words to remove."""
-    return repeats.repeated_spans(docs, WORDS, resolve, length, doc_id, text)
-
-
 def _keep(w: list[bytes], starts, ends) -> list[bytes]:
-    if starts is None or not len(starts):
-        return w
     out, at = [], 0
     for a, b in zip(starts, ends):
         out += w[at:a]
@@ -129,35 +122,31 @@ def _keep(w: list[bytes], starts, ends) -> list[bytes]:
     return out + w[at:]
 
 
-def _kept_text(text: Column, starts: Column, ends: Column) -> Column:
-    def run(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
-        for t, a, b in batches:
-            yield pd.Series([x if x is None or s is None else b" ".join(_keep(words(x), s, e)).decode() for x, s, e in zip(t, a, b)], dtype=object)
-
-    run.__annotations__ = {"batches": Iterator[tuple[pd.Series, pd.Series, pd.Series]], "return": Iterator[pd.Series]}
-    return F.pandas_udf(run, "string")(text, starts, ends)
-
-
 def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
     """The frame with repeated words taken from the texts; the words left of a text that lost any are joined by spaces."""
-    return repeats.with_spans(docs, spans(docs, doc_id, text, length), doc_id, text, _kept_text, text)
-
 
-def _digest(text: Column, starts: Column, ends: Column) -> Column:
-    def run(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
-        for t, a, b in batches:
-            rows = []
-            for x, s, e in zip(t, a, b):
+    def run(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+        for batch in batches:
+            out = []
+            for x, starts, ends, again in zip(*batch):
                 w = words(x)
-                kept = _keep(w, s, e)
-                rows.append((len(w), len(w) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()))
-            yield pd.DataFrame(rows, columns=["n_words", "n_removed", "kept_sha256"])
+                if again and len(w) >= length:
+                    x = ""
+                elif not again and starts is not None:
+                    x = b" ".join(_keep(w, starts, ends)).decode()
+                out.append(x)
+            yield pd.Series(out, dtype=object)
+
+    run.__annotations__ = {"batches": Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]], "return": Iterator[pd.Series]}
+    return repeats.with_spans(docs, WORDS, resolve, length, F.pandas_udf(run, "string"), doc_id, text)
+
 
-    run.__annotations__ = {"batches": Iterator[tuple[pd.Series, pd.Series, pd.Series]], "return": Iterator[pd.DataFrame]}
-    return F.pandas_udf(run, "n_words long, n_removed long, kept_sha256 string")(text, starts, ends)
+def _digest(data: bytes, starts: list, ends: list) -> tuple:
+    w = data.split()
+    kept = _keep(w, starts, ends)
+    return len(w), len(w) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()
 
 
 def digests(docs: DataFrame) -> DataFrame:
     """``doc_id, n_words, n_removed, kept_sha256`` of each row."""
-    rows = docs.select("doc_id", "text")
-    return repeats.with_spans(rows, spans(rows), "doc_id", "text", _digest, "d").select("doc_id", "d.*")
+    return repeats.digests(docs, WORDS, resolve, LENGTH, _digest, "n_words long, n_removed long, kept_sha256 string")

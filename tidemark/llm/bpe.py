@@ -2,7 +2,7 @@
 
 A merge joins two neighbours into a token of the vocabulary. Where two neighbouring symbols (bytes, the
 last of a word with its end mark) stand side by side in no token, no merge can cross, so the place is a
-certain cut. Words are cut there; each distinct fragment is merged once and its ids are kept; a word's ids
+certain cut. Words are cut there; each fragment is merged alone, and words' ids are kept; a word's ids
 are the fragments' ids one after the other. The result is that of merging the whole word.
 
 The vocabulary file is read on the driver and sent along (2 MB, bounded by the vocabulary, not by the data).
@@ -14,18 +14,21 @@ from __future__ import annotations
 import hashlib
 import json
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cached_property, lru_cache
+from itertools import chain
 
 import pandas as pd
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Words whose ids a worker keeps; beyond it, all are forgotten and it begins anew.
-CACHE = 500_000
-#: Oniguruma's white space, which the vocabulary's normalizer collapses.
-_SPACE = regex.compile(r"[\t-\r\x20\x85\p{Z}]+")
+from tidemark.llm.common import bounded
+
+#: Words that a worker keeps, twice: those met since, and those of the time before.
+CACHE = 150_000
+#: Oniguruma's white space.
+_SPACE = r"\t-\r\x20\x85\p{Z}"
 _FINAL_SIGMA = "Σ"
 #: Letters whose class and case don't hang on the version of Unicode; other texts go through the library's tables.
 _SETTLED = regex.compile(r"[\x00-\u024F\u0370-\u03FF\u0400-\u04FF\u2000-\u206F\u20AC\u3040-\u30FF\u4E00-\u9FA5\uAC00-\uD7A3]*")
@@ -42,24 +45,41 @@ def byte_symbols() -> list[str]:
     return out
 
 
+class _Kept(dict):
+    """Values of ``make`` for words; those not met for long go."""
+
+    def __init__(self, make: Callable[[str], tuple]) -> None:
+        self.make, self.before = make, {}
+
+    def __missing__(self, word: str) -> tuple:
+        if len(self) >= CACHE:
+            self.before = dict(self)
+            self.clear()
+        value = self.before.get(word)
+        self[word] = value = self.make(word) if value is None else value
+        return value
+
+
 class WordBpe:
     """Encoder and decoder for a BPE file whose words end in a mark."""
 
-    def __init__(self, data: dict) -> None:
+    def __init__(self, text: str) -> None:
+        data = json.loads(text)
         model = data["model"]
         self.vocab: dict[str, int] = model["vocab"]
         self.end: str = model["end_of_word_suffix"] or ""
         self.rank = {tuple(m if isinstance(m, list) else m.split(" ")): i for i, m in enumerate(model["merges"])}
         self.special = {t["content"]: t["id"] for t in data["added_tokens"]}
         self.token = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.special.items()}
-        pattern = data["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
-        self.pieces = regex.compile(pattern)
+        self.pattern = data["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+        # White space is in no piece, so collapsing it first would change nothing.
+        self.pieces = regex.compile(self.pattern.replace(r"\s", _SPACE))
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
-        self.file = data
+        self.file = text
         self.symbol = byte_symbols()
+        self.last = [x + self.end for x in self.symbol]
         self.joined = self._neighbours()
-        self.words: dict[str, tuple[int, str, str]] = {}
-        self.fragments: dict[tuple[str, ...], list[int]] = {}
+        self.ids, self.said = _Kept(self.word_ids), _Kept(self.word_text)
 
     def symbols(self, token: str) -> list[str]:
         body = token[: -len(self.end)] if self.end and token.endswith(self.end) else token
@@ -88,8 +108,6 @@ class WordBpe:
 
     def merge(self, parts: tuple[str, ...]) -> list[int]:
         """Ids of one fragment: the pair of lowest rank is joined, leftmost first, until none is left."""
-        if (known := self.fragments.get(parts)) is not None:
-            return known
         p, rank = list(parts), self.rank.get
         ranks = [rank(pair, _NONE) for pair in zip(p, p[1:])]
         while ranks and (least := min(ranks)) < _NONE:
@@ -100,23 +118,21 @@ class WordBpe:
                 ranks[i - 1] = rank((p[i - 1], p[i]), _NONE)
             if i < len(ranks):
                 ranks[i] = rank((p[i], p[i + 1]), _NONE)
-        ids = [self.vocab[x] for x in p if x in self.vocab]
-        self.fragments[parts] = ids
-        return ids
+        return [self.vocab[x] for x in p if x in self.vocab]
 
-    def word(self, piece: str) -> tuple[int, str, str]:
+    def word_ids(self, piece: str) -> tuple[int, ...]:
+        data = piece.encode()
+        s = [self.symbol[b] for b in data]
+        s[-1] = self.last[data[-1]]
+        return tuple(i for fragment in self.cut(s) for i in self.merge(fragment))
+
+    def word_text(self, piece: str) -> tuple[int, str, str]:
         """Number of ids, their decimals, their tokens, each joined by spaces."""
-        s = [self.symbol[b] for b in piece.encode()]
-        s[-1] += self.end
-        ids = [i for fragment in self.cut(s) for i in self.merge(fragment)]
-        if len(self.words) >= CACHE:
-            self.words.clear()
-            self.fragments.clear()
-        out = self.words[piece] = (len(ids), " ".join(map(str, ids)), " ".join(self.token[i] for i in ids))
-        return out
+        ids = self.word_ids(piece)
+        return len(ids), " ".join(map(str, ids)), " ".join(self.token[i] for i in ids)
 
     def normal(self, text: str) -> str:
-        text = _SPACE.sub(" ", unicodedata.normalize("NFC", text))
+        text = unicodedata.normalize("NFC", text)
         # Lower case letter by letter: str.lower() would look around a sigma.
         return "".join(map(str.lower, text)) if _FINAL_SIGMA in text else text.lower()
 
@@ -125,7 +141,7 @@ class WordBpe:
         """The library's normalizer and splitter, which have its own version of Unicode."""
         from tokenizers import Regex, Tokenizer, pre_tokenizers
 
-        return Tokenizer.from_str(json.dumps(self.file)).normalizer, pre_tokenizers.Split(Regex(self.pieces.pattern), "removed", invert=True)
+        return Tokenizer.from_str(self.file).normalizer, pre_tokenizers.Split(Regex(self.pattern), "removed", invert=True)
 
     def split(self, text: str) -> list[str]:
         """The words of a stretch without special tokens."""
@@ -134,19 +150,30 @@ class WordBpe:
         normalizer, splitter = self.tables
         return [piece for piece, _ in splitter.pre_tokenize_str(normalizer.normalize_str(text))]
 
-    def parts(self, text: str | None) -> list[tuple[int, str, str]]:
-        out = []
-        known = self.words
-        for k, stretch in enumerate(self.split_special.split(text or "") if self.split_special else [text or ""]):
-            if k % 2:
-                out.append((1, str(self.special[stretch]), stretch))
-            elif stretch:
-                for piece in self.split(stretch):
-                    out.append(known.get(piece) or self.word(piece))
-        return [x for x in out if x[0]]
+    def stretches(self, text: str | None) -> Iterator[tuple[bool, str]]:
+        """Special tokens (True) and what is between them."""
+        if text and (self.split_special is None or "<|" not in text):
+            yield False, text
+        elif text:
+            for k, stretch in enumerate(self.split_special.split(text)):
+                if stretch:
+                    yield k % 2 == 1, stretch
+
+    def spoken(self, text: str | None) -> tuple[int, str, str]:
+        """Number of ids, their decimals, their tokens, each joined by spaces."""
+        parts: list[tuple[int, str, str]] = []
+        for special, stretch in self.stretches(text):
+            parts += [(1, str(self.special[stretch]), stretch)] if special else map(self.said.__getitem__, self.split(stretch))
+        return sum(x[0] for x in parts), " ".join([x[1] for x in parts if x[0]]), " ".join([x[2] for x in parts if x[0]])
 
     def encode(self, text: str | None) -> list[int]:
-        return [int(i) for _, ids, _ in self.parts(text) for i in ids.split()]
+        out: list[int] = []
+        for special, stretch in self.stretches(text):
+            if special:
+                out.append(self.special[stretch])
+            else:
+                out += chain.from_iterable(map(self.ids.__getitem__, self.split(stretch)))
+        return out
 
     def decode(self, ids: list[int]) -> str:
         """The file names no decoder: tokens joined by spaces."""
@@ -155,17 +182,17 @@ class WordBpe:
 
 @lru_cache(maxsize=2)
 def _loaded(text: str) -> WordBpe:
-    return WordBpe(json.loads(text))
+    return WordBpe(text)
 
 
 def load(path: str) -> WordBpe:
     with open(path, encoding="utf-8") as f:
-        return WordBpe(json.load(f))
+        return WordBpe(f.read())
 
 
 def _vocabulary(df: DataFrame, path: str):
     with open(path, encoding="utf-8") as f:
-        return df.sparkSession.sparkContext.broadcast(f.read())
+        return bounded(df).sparkSession.sparkContext.broadcast(f.read())
 
 
 def ids_column(df: DataFrame, path: str, text: str = "text") -> Column:
@@ -190,9 +217,8 @@ def digest_column(df: DataFrame, path: str, text: str = "text") -> Column:
         for batch in batches:
             rows = []
             for t in batch:
-                parts = coder.parts(t)
-                ids, decoded = " ".join(x[1] for x in parts), " ".join(x[2] for x in parts)
-                rows.append((sum(x[0] for x in parts), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()))
+                n, ids, tokens = coder.spoken(t)
+                rows.append((n, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(tokens.encode()).hexdigest()))
             yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
 
     run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}

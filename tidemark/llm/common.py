@@ -46,6 +46,14 @@ def dealt(df: DataFrame, key: str) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
 
 
+def bounded(df: DataFrame) -> DataFrame:
+    """The frame itself; its session hands at most 1,000 rows at once to Python, so that texts of a batch stay few MB."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(key)) <= 1000:
+        df.sparkSession.conf.set(key, "1000")
+    return df
+
+
 def text_bytes(df: DataFrame, text: str = "text") -> int:
     """UTF-8 bytes of a column; one pass over it, one number to the driver."""
     return df.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]

@@ -30,7 +30,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import blocks_for, fresh, mix, text_bytes
+from tidemark.llm.common import blocks_for, bounded, fresh, mix, text_bytes
 
 WORDS = 5
 #: Containment as a fraction, so that the comparison is exact.
@@ -118,7 +118,7 @@ def _indexes(items: DataFrame, item_id: str, text: str) -> Iterator[Broadcast]:
 
 def contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """``doc_id, item_id, n_shared, n_item``: a row for each document and item that it contains."""
-    out = None
+    out, docs = None, bounded(docs)
     for index in _indexes(items, item_id, item_text):
         found = docs.select(F.col(doc_id).alias("doc_id"), F.explode(_hits(index, F.col(text))).alias("hit")).select("doc_id", "hit.*")
         out = found if out is None else out.unionByName(found)
@@ -127,6 +127,7 @@ def contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text
 
 def clean(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """The documents that contain no item, with their columns."""
+    docs = bounded(docs)
     for index in _indexes(items, item_id, item_text):
         hits = fresh(docs, "hits")
         docs = docs.withColumn(hits, _hits(index, F.col(text))).where(F.size(hits) == 0).drop(hits)

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import fresh, mix, words
+from tidemark.llm.common import bounded, fresh, mix, words
 
 #: For each n-gram length, the share of word characters in duplicated n-grams that a text may have, in percent.
 MAX_SHARE = {5: 30, 7: 28, 10: 25}
@@ -93,7 +93,7 @@ def judge(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
 
 def measured(df: DataFrame, text: str = "text", into: str = "quality") -> DataFrame:
     """The frame with a struct column ``into`` of the fields of SCHEMA."""
-    return df.withColumn(into, F.pandas_udf(judge, SCHEMA)(F.col(text)))
+    return bounded(df).withColumn(into, F.pandas_udf(judge, SCHEMA)(F.col(text)))
 
 
 def keep_good(df: DataFrame, text: str = "text") -> DataFrame:

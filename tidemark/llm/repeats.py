@@ -4,20 +4,23 @@ A text is a row of symbols (words, or bytes). A window is ``length`` symbols in
 removed if the same window starts in a document with a smaller id. To find these without sending every
 window anywhere:
 
-1. Every window has a key, the least hash of the ``gram``-symbol strings in it. Equal windows have equal
+1. Equal texts are put together, first in each batch that is read, then in the block that their hash names,
+   so a text goes on once, with its least document; a later document that has it loses all of it. Texts
+   travel compressed.
+2. Every window has a key, the least hash of the ``gram``-symbol strings in it. Equal windows have equal
    keys, and windows in a row mostly share one, so a text falls into *runs* of windows with one key. Keys
    that occur in one document only are left out (``shared``: four bytes a key, one bit back).
-2. The runs left over are put in the shared folder by blocks of documents, equal ones of a block once. What
+3. The runs left over are put in the shared folder by blocks of documents, equal ones of a block once. What
    a block sends of a run is its key, a hash of its content and the least document: so copies meet once for
    each block, however many there are, and each distinct run of the corpus gets its first document.
-3. Distinct runs under one key are *passages* of a reference shard. The first document's block sends their
+4. Distinct runs under one key are *passages* of a reference shard. The first document's block sends their
    symbols, and the shard's index (a suffix automaton or an enhanced suffix array: ``resolve``) says which
    windows of a passage also start in an earlier document's passage. A passage alone under its key has
    nothing to be matched with.
-4. A key that very many documents share with differing surroundings would fill one shard. A block that sees
+5. A key that very many documents share with differing surroundings would fill one shard. A block that sees
    more than ``HOT`` runs of one key marks it hot, as does a key from more than ``HOT_BLOCKS`` blocks; all
-   blocks are told in step 1, and its runs are cut into single windows keyed by their own hashes: equal windows meet, others don't.
-5. Each document's removed windows go back to it as spans.
+   blocks are told in step 2, and its runs are cut into single windows keyed by their own hashes: equal windows meet, others don't.
+6. Each text's removed windows go back to it as spans.
 
 Equality of runs rests on two 64-bit hashes; passages under one key are compared symbol by symbol. Texts
 shorter than a window lose nothing; null texts are empty. Repeated rows (one id) never remove one another.
@@ -26,16 +29,18 @@ Documents with a null id neither remove nor lose anything.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import shared
-from tidemark.llm.common import blocks_for, fresh, mix, text_bytes, written
+from tidemark.llm.common import blocks_for, bounded, dealt, fresh, mix, text_bytes, written
 
 #: Bytes of text in a block of documents, about.
 BLOCK_BYTES = 2 << 20
@@ -45,11 +50,14 @@ HOT = 64
 CHUNK, SHARD = 1 << 17, 1 << 16
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
-SPANS = "doc_id long, text_hash long, starts array<int>, ends array<int>"
+SPANS = "block long, text_hash long, starts array<int>, ends array<int>"
+PACKED = "block long, payload binary"
+#: Bytes of text that a task gathers before it sends them on.
+BATCH_BYTES = 16 << 20
 STATE = "block long, doc binary, hash binary, text binary, start binary, run binary, key binary, content binary, size binary, first binary, offset binary, hot binary, symbols binary"
 
 #: A text's symbols, as they are kept.
-Symbols = Callable[[str | None], np.ndarray]
+Symbols = Callable[[bytes], np.ndarray]
 #: Kept symbols as scattered uint64s, to be hashed.
 Scatter = Callable[[np.ndarray], np.ndarray]
 #: From passages in order of their keys (key, document, symbols) and the length to the marks of each one's removed windows.
@@ -129,14 +137,80 @@ def runs(texts: list[np.ndarray], length: int, of: Alphabet) -> tuple[np.ndarray
 # blocks
 
 
-def blocked(docs: DataFrame, n: int, doc_id: str, text: str) -> DataFrame:
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
-    return rows.select(F.pmod(F.xxhash64("doc_id"), F.lit(n)).alias("block"), "doc_id", F.xxhash64("text").alias("text_hash"), "text")
+class Text(NamedTuple):
+    data: bytes
+    hash: int
+    #: Ids of the documents that have it, one for each row; those of rows without one aside.
+    docs: list[int]
+    unknown: int
+
+
+def _pack(texts: dict[bytes, tuple[list[int], int]]) -> bytes:
+    data = list(texts)
+    counts = np.array([(len(t), len(texts[t][0]), texts[t][1]) for t in data], np.int64)
+    docs = np.array([d for t in data for d in texts[t][0]], np.int64)
+    return zstandard.compress(np.int64(len(data)).tobytes() + counts.tobytes() + docs.tobytes() + b"".join(data), 3)
+
+
+def _unpacked(payloads: Iterable[bytes]) -> list[Text]:
+    """The distinct texts of a block, in order of their least documents; those without one last."""
+    out: dict[bytes, tuple[list[int], list[int]]] = {}
+    for payload in payloads:
+        raw = zstandard.decompress(payload)
+        n = int(np.frombuffer(raw, np.int64, 1)[0])
+        counts = np.frombuffer(raw, np.int64, 3 * n, 8).reshape(-1, 3)
+        docs = np.frombuffer(raw, np.int64, int(counts[:, 1].sum()), 8 + 24 * n).tolist()
+        at, d = 8 + 24 * n + 8 * len(docs), 0
+        for size, known, unknown in counts.tolist():
+            own = out.setdefault(raw[at : at + size], ([], []))
+            own[0].extend(docs[d : d + known])
+            own[1].append(unknown)
+            at, d = at + size, d + known
+    texts = [Text(t, xxhash.xxh64_intdigest(t, 42), sorted(docs), sum(unknown)) for t, (docs, unknown) in out.items()]
+    return sorted(texts, key=lambda t: (not t.docs, t.docs[:1], t.hash))
+
+
+def _packer(n: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        blocks: dict[int, dict[bytes, tuple[list[int], int]]] = {}
+        held = 0
+
+        def flush() -> pd.DataFrame:
+            rows = [(b, _pack(texts)) for b, texts in blocks.items()]
+            blocks.clear()
+            return pd.DataFrame(rows, columns=["block", "payload"])
+
+        for pdf in batches:
+            known = pdf.known.to_numpy(bool)
+            for d, k, text in zip(pdf.doc_id.tolist(), known.tolist(), pdf.text):
+                data = (text or "").encode()
+                own = blocks.setdefault(xxhash.xxh64_intdigest(data, 42) % n, {})
+                docs, unknown = own.get(data, ([], 0))
+                if not docs and not unknown:
+                    held += len(data)
+                if k:
+                    docs.append(d)
+                own[data] = (docs, unknown + (not k))
+            if held >= BATCH_BYTES:
+                yield flush()
+                held = 0
+        if blocks:
+            yield flush()
+
+    return run
 
 
-def _read(pdf: pd.DataFrame, symbols: Symbols) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    pdf = pdf.sort_values(["doc_id", "text_hash"], kind="stable").drop_duplicates(["doc_id", "text_hash"])
-    return pdf.doc_id.to_numpy(np.int64), pdf.text_hash.to_numpy(np.int64), [symbols(t) for t in pdf.text]
+def packed(docs: DataFrame, n: int, doc_id: str, text: str) -> DataFrame:
+    """Rows of PACKED, each block's in one partition. Null texts are empty ones."""
+    rows = bounded(docs).select(F.coalesce(F.col(doc_id).cast("long"), F.lit(0)).alias("doc_id"), F.col(doc_id).isNotNull().alias("known"), F.col(text).alias("text"))
+    return dealt(rows.mapInPandas(_packer(n), PACKED), "block")
+
+
+def _read(pdf: pd.DataFrame, of: Alphabet) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Least documents, hashes and symbols of the texts that have a document."""
+    texts = [t for t in _unpacked(pdf.payload) if t.docs]
+    doc = np.array([t.docs[0] for t in texts], np.int64)
+    return doc, np.array([t.hash for t in texts], np.uint64).view(np.int64), [of.symbols(t.data) for t in texts]
 
 
 def _bits(a: np.ndarray) -> bytes:
@@ -145,7 +219,7 @@ def _bits(a: np.ndarray) -> bytes:
 
 def _sender(of: Alphabet, length: int, bits: int, hot: int):
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        doc, _, texts = _read(pdf, of.symbols)
+        doc, _, texts = _read(pdf, of)
         text, _, _, keys = runs(texts, length, of)
         distinct, many, count = shared.unique_keys(keys, doc[text])
         return shared.send(key[0], distinct, many, count > hot, bits)
@@ -157,7 +231,7 @@ def _keeper(of: Alphabet, length: int, bits: int):
     """From a block's documents and answers to its row of STATE."""
 
     def run(key: tuple, pdf: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
-        doc, text_hash, texts = _read(pdf, of.symbols)
+        doc, text_hash, texts = _read(pdf, of)
         text, start, size, keys = runs(texts, length, of)
         distinct = np.unique(keys)
         common, hot_keys = shared.received(got, distinct, bits)
@@ -243,6 +317,20 @@ class _Block:
         return k[order], c[order], f[order], p[order]
 
 
+def _small(a: np.ndarray) -> bytes:
+    """Longs in four bytes each and their least, or in eight; the last byte tells."""
+    least = int(a.min())
+    if int(a.max()) - least < 1 << 32:
+        return (a - least).astype(np.uint32).tobytes() + np.int64(least).tobytes() + b"\1"
+    return a.tobytes() + b"\0"
+
+
+def _large(data: bytes, n: int) -> np.ndarray:
+    if data[-1]:
+        return np.frombuffer(data, np.uint32, n).astype(np.int64) + np.frombuffer(data, np.int64, 1, 4 * n)
+    return np.frombuffer(data, np.int64, n)
+
+
 def _announcer(of: Alphabet, length: int, bits: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -251,8 +339,7 @@ def _announcer(of: Alphabet, length: int, bits: int):
                 k, c, f, _ = _Block(row, length, of).sent()
                 new = np.r_[True, (k[1:] != k[:-1]) | (c[1:] != c[:-1])] if k.size else np.zeros(0, bool)
                 k, c, f = k[new], c[new], f[new]
-                body = np.stack([k, c, f.view(np.uint64)], 1)
-                rows += [(row.block, b, body[i:j].tobytes()) for b, i, j in shared.slices(k, bits)]
+                rows += [(row.block, b, np.concatenate([k[i:j], c[i:j]]).tobytes() + _small(f[i:j])) for b, i, j in shared.slices(k, bits)]
             yield pd.DataFrame(rows, columns=["block", "bucket", "payload"])
 
     return run
@@ -260,20 +347,21 @@ def _announcer(of: Alphabet, length: int, bits: int):
 
 def _first_of(pdf: pd.DataFrame) -> pd.DataFrame:
     """For each (key, content) its first document, and whether other contents have its key."""
-    parts = [np.frombuffer(p, np.uint64).reshape(-1, 3) for p in pdf.payload]
-    sizes = np.array([p.shape[0] for p in parts])
-    k, c, f = (np.concatenate([p[:, i] for p in parts]) for i in range(3))
-    order = np.lexsort((f.view(np.int64), c, k))
+    sizes = [(len(p) - 9) // 20 if p[-1] else (len(p) - 1) // 24 for p in pdf.payload]
+    k = np.concatenate([np.frombuffer(p, np.uint64, n) for p, n in zip(pdf.payload, sizes)])
+    c = np.concatenate([np.frombuffer(p, np.uint64, n, 8 * n) for p, n in zip(pdf.payload, sizes)])
+    f = np.concatenate([_large(p[16 * n :], n) for p, n in zip(pdf.payload, sizes)])
+    order = np.lexsort((f, c, k))
     k, c, f = k[order], c[order], f[order]
     new_key = np.r_[True, k[1:] != k[:-1]]
     new = np.r_[True, new_key[1:] | (c[1:] != c[:-1])]
     run = np.cumsum(new) - 1
     first = f[new][run]
     several = np.bincount(np.cumsum(new_key[new]) - 1)[np.cumsum(new_key) - 1] > 1
-    out, bit = np.empty(k.size, np.uint64), np.empty(k.size, bool)
+    out, bit = np.empty(k.size, np.int64), np.empty(k.size, bool)
     out[order], bit[order] = first, several
     ends = np.cumsum(sizes)
-    return pd.DataFrame({"block": pdf.block, "bucket": pdf.bucket, "payload": [out[e - n : e].tobytes() + _bits(bit[e - n : e]) for e, n in zip(ends, sizes)]})
+    return pd.DataFrame({"block": pdf.block, "bucket": pdf.bucket, "payload": [_small(out[e - n : e]) + _bits(bit[e - n : e]) for e, n in zip(ends, sizes)]})
 
 
 def _answered(block: _Block, got: pd.DataFrame, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -282,8 +370,12 @@ def _answered(block: _Block, got: pd.DataFrame, bits: int) -> tuple[np.ndarray,
     new = np.r_[True, (k[1:] != k[:-1]) | (c[1:] != c[:-1])]
     by = dict(zip(got.bucket, got.payload))
     slices = shared.slices(k[new], bits)
-    first = np.concatenate([np.frombuffer(by[b], np.int64, j - i) for b, i, j in slices])
-    several = np.concatenate([np.unpackbits(np.frombuffer(by[b], np.uint8, offset=8 * (j - i)), count=j - i) for b, i, j in slices])
+    first, several = [], []
+    for b, i, j in slices:
+        tail = -(-(j - i) // 8)
+        first.append(_large(by[b][:-tail], j - i))
+        several.append(np.unpackbits(np.frombuffer(by[b][-tail:], np.uint8), count=j - i))
+    first, several = np.concatenate(first), np.concatenate(several)
     of = np.cumsum(new) - 1
     return place, first[of], several[of].astype(bool)
 
@@ -379,34 +471,66 @@ def _finisher(of: Alphabet, length: int, bits: int):
                         starts.append(x)
                         ends.append(y)
                 if starts:
-                    out.append((d, h, starts, ends))
-        return pd.DataFrame(out, columns=["doc_id", "text_hash", "starts", "ends"])
+                    out.append((row.block, h, starts, ends))
+        return pd.DataFrame(out, columns=["block", "text_hash", "starts", "ends"])
 
     return run
 
 
-def repeated_spans(docs: DataFrame, of: Alphabet, resolve: Resolve, length: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, text_hash, starts, ends``: the maximal removed runs of symbols of each document that has any.
-
-    ``length`` is over the alphabet's ``gram``.
-    """
+def _plan(docs: DataFrame, of: Alphabet, length: int, text: str) -> tuple[int, int]:
+    """Blocks, and bits of the buckets' numbers."""
     total = text_bytes(docs, text)
-    n, bits = blocks_for(total, BLOCK_BYTES), shared.bucket_bits(2 * total // (of.per_symbol * (length - of.gram)))
-    rows = blocked(docs, n, doc_id, text)
+    return blocks_for(total, BLOCK_BYTES), shared.bucket_bits(2 * total // (of.per_symbol * (length - of.gram)))
+
+
+def _spans(rows: DataFrame, bits: int, of: Alphabet, resolve: Resolve, length: int) -> DataFrame:
+    """Rows of SPANS of the texts' least documents, from rows of PACKED."""
     answers = shared.meet(rows.groupBy("block").applyInPandas(_sender(of, length, bits, HOT), shared.SENT))
     state = written(rows.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(_keeper(of, length, bits), STATE), "runs")
 
     schema = "block long, bucket long, payload binary"
-    firsts = written(state.mapInPandas(_announcer(of, length, bits), schema).groupBy("bucket").applyInPandas(_first_of, schema), "firsts")
-    cited = state.groupBy("block").cogroup(firsts.groupBy("block")).applyInPandas(_citer(of, length, bits), "bucket long, block long, run long, key long, doc long, symbols binary")
-    marks = cited.groupBy("bucket").applyInPandas(_resolver(resolve, length, of), "block long, bucket long, run long, payload binary")
+    firsts = written(dealt(state.mapInPandas(_announcer(of, length, bits), schema), "bucket").groupBy("bucket").applyInPandas(_first_of, schema), "firsts")
+    by_block = dealt(state, "block").groupBy("block")
+    cited = by_block.cogroup(firsts.groupBy("block")).applyInPandas(_citer(of, length, bits), "bucket long, block long, run long, key long, doc long, symbols binary")
+    marks = dealt(cited, "bucket").groupBy("bucket").applyInPandas(_resolver(resolve, length, of), "block long, bucket long, run long, payload binary")
     both = firsts.withColumn("run", F.lit(0).cast("long")).unionByName(marks)
-    return state.groupBy("block").cogroup(both.groupBy("block")).applyInPandas(_finisher(of, length, bits), SPANS)
+    return by_block.cogroup(both.groupBy("block")).applyInPandas(_finisher(of, length, bits), SPANS)
+
 
+def digests(docs: DataFrame, of: Alphabet, resolve: Resolve, length: int, digest: Callable[[bytes, list, list], tuple], schema: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``doc_id`` and what ``digest`` makes of the text and its removed spans: a row for each row."""
+    n, bits = _plan(docs, of, length, text)
+    rows = packed(docs, n, doc_id, text)
+    names = ["doc_id", *(c.split()[0] for c in schema.split(", "))]
 
-def with_spans(docs: DataFrame, spans: DataFrame, doc_id: str, text: str, use: Callable[[Column, Column, Column], Column], into: str) -> DataFrame:
-    """The frame with ``use(text, starts, ends)``; both are null where nothing is removed."""
-    doc, hashed, starts, ends = (fresh(docs, c) for c in ("span_doc", "span_text", "span_starts", "span_ends"))
-    found = spans.select(F.col("doc_id").alias(doc), F.col("text_hash").alias(hashed), F.col("starts").alias(starts), F.col("ends").alias(ends))
-    joined = docs.join(found, (F.col(doc_id) == F.col(doc)) & (F.xxhash64(F.col(text)) == F.col(hashed)), "left")
-    return joined.withColumn(into, use(F.col(text), F.col(starts), F.col(ends))).drop(doc, hashed, starts, ends)
+    def run(key: tuple, pdf: pd.DataFrame, spans: pd.DataFrame) -> pd.DataFrame:
+        found = {h: (list(s), list(e)) for h, s, e in zip(spans.text_hash.tolist(), spans.starts, spans.ends)}
+        out = []
+        for t in _unpacked(pdf.payload):
+            signed = t.hash - (t.hash >> 63 << 64)
+            whole = digest(t.data, [], []) if t.unknown else ()
+            first = digest(t.data, *found.get(signed, ([], []))) if t.docs else ()
+            size = of.symbols(t.data).size if t.docs and t.docs[-1] != t.docs[0] else 0
+            again = digest(t.data, *(([0], [size]) if size >= length else ([], []))) if size or t.docs and t.docs[-1] != t.docs[0] else ()
+            out += [(None, *whole)] * t.unknown + [(d, *(first if d == t.docs[0] else again)) for d in t.docs]
+        done = pd.DataFrame(out, columns=names)
+        return done.assign(doc_id=pd.array(done.doc_id, dtype="Int64"))
+
+    spans = dealt(_spans(rows, bits, of, resolve, length), "block")
+    return rows.groupBy("block").cogroup(spans.groupBy("block")).applyInPandas(run, f"doc_id long, {schema}")
+
+
+def with_spans(docs: DataFrame, of: Alphabet, resolve: Resolve, length: int, use: Callable[[Column, Column, Column, Column], Column], doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The frame with ``use(text, starts, ends, again)`` as its text.
+
+    ``starts`` and ``ends`` are null where nothing is removed; ``again`` says that an earlier document has the whole text.
+    """
+    n, bits = _plan(docs, of, length, text)
+    spans = _spans(packed(docs, n, doc_id, text), bits, of, resolve, length)
+    hashed, starts, ends, first, of_first = (fresh(docs, c) for c in ("text_hash", "span_starts", "span_ends", "first_doc", "first_text"))
+    keyed = docs.withColumn(hashed, F.when(F.col(doc_id).isNotNull(), F.xxhash64(text)))
+    least = keyed.where(F.col(hashed).isNotNull()).groupBy(F.col(hashed).alias(of_first)).agg(F.min(doc_id).alias(first))
+    found = least.join(spans.select(F.col("text_hash").alias(of_first), F.col("starts").alias(starts), F.col("ends").alias(ends)), of_first, "left")
+    joined = keyed.join(found, F.col(hashed) == F.col(of_first), "left")
+    again = F.coalesce(F.col(doc_id) > F.col(first), F.lit(False))
+    return joined.withColumn(text, use(F.col(text), F.col(starts), F.col(ends), again)).select(*docs.columns)

@@ -27,12 +27,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import shared
-from tidemark.llm.common import blocks_for, dealt, fresh, mix, written
+from tidemark.llm.common import blocks_for, bounded, dealt, fresh, mix, written
 from tidemark.llm.graph import components
 
 WORDS, SEED, RADIUS = 4, 42, 4
 #: Fingerprints in a block of the two passes.
-COARSE_BLOCK, FINE_BLOCK = 1 << 14, 1 << 11
+COARSE_BLOCK, FINE_BLOCK = 1 << 12, 1 << 9
 
 _BITS = np.uint64(1) << np.arange(64, dtype=np.uint64)
 #: All differences of up to RADIUS / 2 bits.
@@ -150,7 +150,7 @@ def links(fps: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, fingerprint`` (hexadecimal), ``component_id``: a row for each row of ``docs``."""
-    fps = written(docs.select(F.col(doc_id).alias("doc_id"), fingerprint_column(text).alias("fp")), "fingerprints")
+    fps = written(bounded(docs).select(F.col(doc_id).alias("doc_id"), fingerprint_column(text).alias("fp")), "fingerprints")
     nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("first"))
     roots = components(links(fps.select("fp").distinct())).withColumnRenamed("node", "fp")
     rooted = nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))

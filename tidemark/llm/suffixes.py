@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import repeats
@@ -28,8 +28,8 @@ LENGTH = 50
 _OF_BYTE = mix(np.arange(1, 257, dtype=np.uint64))
 
 
-def symbols(text: str | None) -> np.ndarray:
-    return np.frombuffer((text or "").encode(), np.uint8)
+def symbols(text: bytes) -> np.ndarray:
+    return np.frombuffer(text, np.uint8)
 
 
 BYTES = repeats.Alphabet(symbols, lambda x: _OF_BYTE[x], np.uint8, 1, 24)
@@ -131,14 +131,7 @@ def resolve(passages: list[tuple[int, int, np.ndarray]], length: int) -> list[np
     return [marked[o : o + n - length + 1] for o, n in zip(offset, sizes)]
 
 
-def spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
-    """``doc_id, text_hash, starts, ends``: the maximal runs of bytes to remove."""
-    return repeats.repeated_spans(docs, BYTES, resolve, length, doc_id, text)
-
-
 def _keep(data: bytes, starts, ends) -> bytes:
-    if starts is None or not len(starts):
-        return data
     out, at = [], 0
     for a, b in zip(starts, ends):
         out.append(data[at:a])
@@ -146,35 +139,29 @@ def _keep(data: bytes, starts, ends) -> bytes:
     return b"".join([*out, data[at:]])
 
 
-def _kept_text(text: Column, starts: Column, ends: Column) -> Column:
-    def run(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
-        for t, a, b in batches:
-            yield pd.Series([x if x is None or s is None else _keep(x.encode(), s, e).decode(errors="ignore") for x, s, e in zip(t, a, b)], dtype=object)
-
-    run.__annotations__ = {"batches": Iterator[tuple[pd.Series, pd.Series, pd.Series]], "return": Iterator[pd.Series]}
-    return F.pandas_udf(run, "string")(text, starts, ends)
-
-
 def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
     """The frame with repeated bytes taken from the texts; a character that lost some of its bytes goes."""
-    return repeats.with_spans(docs, spans(docs, doc_id, text, length), doc_id, text, _kept_text, text)
 
+    def run(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+        for batch in batches:
+            out = []
+            for x, starts, ends, again in zip(*batch):
+                if again and len(x.encode()) >= length:
+                    x = ""
+                elif not again and starts is not None:
+                    x = _keep(x.encode(), starts, ends).decode(errors="ignore")
+                out.append(x)
+            yield pd.Series(out, dtype=object)
+
+    run.__annotations__ = {"batches": Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]], "return": Iterator[pd.Series]}
+    return repeats.with_spans(docs, BYTES, resolve, length, F.pandas_udf(run, "string"), doc_id, text)
 
-def _digest(text: Column, starts: Column, ends: Column) -> Column:
-    def run(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
-        for t, a, b in batches:
-            rows = []
-            for x, s, e in zip(t, a, b):
-                data = (x or "").encode()
-                kept = _keep(data, s, e)
-                rows.append((len(data), len(data) - len(kept), 0 if s is None else len(s), hashlib.sha256(kept).hexdigest()))
-            yield pd.DataFrame(rows, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    run.__annotations__ = {"batches": Iterator[tuple[pd.Series, pd.Series, pd.Series]], "return": Iterator[pd.DataFrame]}
-    return F.pandas_udf(run, "n_bytes long, n_removed long, n_spans long, kept_sha256 string")(text, starts, ends)
+def _digest(data: bytes, starts: list, ends: list) -> tuple:
+    kept = _keep(data, starts, ends)
+    return len(data), len(data) - len(kept), len(starts), hashlib.sha256(kept).hexdigest()
 
 
 def digests(docs: DataFrame) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` of each row."""
-    rows = docs.select("doc_id", "text")
-    return repeats.with_spans(rows, spans(rows), "doc_id", "text", _digest, "d").select("doc_id", "d.*")
+    return repeats.digests(docs, BYTES, resolve, LENGTH, _digest, "n_bytes long, n_removed long, n_spans long, kept_sha256 string")
