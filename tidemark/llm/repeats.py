@@ -48,6 +48,8 @@ BLOCK_BYTES = 2 << 20
 HOT = 64
 #: Symbols that are hashed at once, for the CPU's caches, and symbols of a reference shard's index.
 CHUNK, SHARD = 1 << 17, 1 << 16
+#: Bits by which the buckets of passages are finer than those of keys.
+SHARD_BITS = 6
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 SPANS = "block long, text_hash long, starts array<int>, ends array<int>"
@@ -120,7 +122,7 @@ def runs(texts: list[np.ndarray], length: int, of: Alphabet) -> tuple[np.ndarray
         sizes = np.array([t.size for t in texts[at:upto]])
         joined = np.concatenate(texts[at:upto])
         if joined.size >= length:
-            keys = _least(gram_hashes(of.scatter(joined), of.gram), length - of.gram + 1)
+            keys = mix(_least(gram_hashes(of.scatter(joined), of.gram), length - of.gram + 1))  # the least of many are small numbers
             text = np.repeat(np.arange(sizes.size), sizes)
             offset = np.cumsum(sizes) - sizes
             inside = text[: keys.size] == text[length - 1 :]
@@ -390,7 +392,7 @@ def _citer(of: Alphabet, length: int, bits: int):
             place, first, several = _answered(b, got, bits)
             whole = place < b.size.size
             for r in place[whole & several & (first == b.first[np.minimum(place, b.size.size - 1)])]:
-                at = int(shared.bucket_of(b.key[r : r + 1], bits)[0])
+                at = int(shared.bucket_of(b.key[r : r + 1], bits + SHARD_BITS)[0])
                 rows.append((at, row.block, int(r), int(b.key[r : r + 1].view(np.int64)[0]), int(b.first[r]), b.piece(r).tobytes()))
         return pd.DataFrame(rows, columns=["bucket", "block", "run", "key", "doc", "symbols"])
 
