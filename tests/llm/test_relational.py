@@ -100,6 +100,14 @@ def test_url_query_keeps_every_page(spark):
     assert out.where("rule = 'net/' AND verdict <> 'block' OR rule = 'org/fr/' AND verdict <> 'allow'").count() == 0
 
 
+def test_one_url_with_most_of_the_rows(spark):
+    """Its 40 tokens have 2**40 sets; as one URL it makes none of them frequent."""
+    deep = "http://a.net/" + "/".join(f"seg{k}" for k in range(40))
+    rows = [(k, deep) for k in range(500)] + [(1000 + k, f"http://x{k}.net/p") for k in range(30)] + [(2000 + k, f"http://x{k}.org/fr/p") for k in range(30)] + [(3000, "ftp://q/p"), (3001, None)]
+    out = urls.judged(spark.createDataFrame(rows, "page_id long, url string"))
+    assert out.count() == len(rows) and {r.verdict for r in out.where("rule = 'net/'").select("verdict").distinct().collect()} == {"block"}
+
+
 # chats
 
 

@@ -6,8 +6,8 @@ support and lift are high enough and no shorter rule of the same verdict is at l
 by an inverted index: a rule stands under its rarest token, URLs meet it by a join on that token, and the rest of
 its tokens are then tested.
 
-A verdict hangs on the URL alone, so distinct URLs are judged and joined back; a host or URL with a third of
-all rows costs one judgement. URLs without ``://`` and null ones have an empty host and path and no tokens.
+A verdict hangs on the URL alone, so rules are mined from distinct labelled URLs, and distinct URLs are judged
+and joined back; a URL with a third of all rows costs one judgement and weighs as one. URLs without ``://`` and null ones have an empty host and path and no tokens.
 """
 
 from __future__ import annotations
@@ -59,8 +59,11 @@ def tokens(url: Column) -> Column:
 
 
 def mine(labelled: DataFrame) -> DataFrame:
-    """``rule_id, antecedent, verdict, confidence, support, index_token`` from ``url, verdict``."""
-    items = labelled.where(F.col("url").isNotNull()).select(F.concat(tokens(F.col("url")), F.array(F.concat(F.lit(_LABEL), "verdict"))).alias("items"))
+    """``rule_id, antecedent, verdict, confidence, support, index_token`` from ``url, verdict``.
+
+    Equal rows count once: one URL with a third of all labels would make every set of its tokens frequent.
+    """
+    items = labelled.where(F.col("url").isNotNull()).select("url", "verdict").distinct().select(F.concat(tokens(F.col("url")), F.array(F.concat(F.lit(_LABEL), "verdict"))).alias("items"))
     support = min(1.0, max(MIN_SUPPORT, MIN_COUNT / max(items.count(), 1)))
     model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=MIN_CONFIDENCE, numPartitions=labelled.sparkSession.sparkContext.defaultParallelism).fit(items)
     is_label = lambda x: x.startswith(_LABEL)
