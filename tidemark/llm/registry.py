@@ -149,5 +149,53 @@ SELECT conv_id, CAST(coalesce(turn // {chat.PART}, 0) AS BIGINT) AS part, count(
   '[' || string_agg('{{"content":' || CAST(to_json(text) AS VARCHAR) || ',"role":' || CAST(to_json(role) AS VARCHAR) || '}}', ',' ORDER BY turn, role, text) || ']' AS chat FROM m GROUP BY 1, 2"""
 
 
+def _words_sql() -> str:
+    n = automaton.LENGTH
+    return rf"""WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, {_WORDS.format("coalesce(text, '')")} AS ws FROM documents),
+windows AS (SELECT rid, doc_id, unnest(range(1, len(ws) - {n - 2})) AS i, unnest(list_transform(range(1, len(ws) - {n - 2}), lambda i: sha256(array_to_string(ws[i : i + {n - 1}], ' ')))) AS h FROM docs WHERE len(ws) >= {n}),
+firsts AS (SELECT h, min(doc_id) AS first_doc FROM windows GROUP BY 1),
+hits AS (SELECT rid, i, i AS hit FROM windows JOIN firsts USING (h) WHERE first_doc < doc_id),
+words AS (SELECT rid, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS i FROM docs),
+marked AS (SELECT rid, i, word, max(hit) OVER (PARTITION BY rid ORDER BY i ROWS {n - 1} PRECEDING) IS NOT NULL AS removed FROM words LEFT JOIN hits USING (rid, i)),
+kept AS (SELECT rid, count_if(removed) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (NOT removed) AS body FROM marked GROUP BY 1)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(body, '')) AS kept_sha256 FROM docs LEFT JOIN kept USING (rid)"""
+
+
+def _bytes_sql() -> str:
+    n = suffixes.LENGTH
+    return f"""WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, encode(coalesce(text, '')) AS b, octet_length(encode(coalesce(text, ''))) AS size FROM documents),
+windows AS (SELECT rid, doc_id, unnest(range(0, size - {n - 1})) AS i, unnest(list_transform(range(0, size - {n - 1}), lambda i: md5_number(b[i + 1 : i + {n}]))) AS h FROM docs WHERE size >= {n}),
+firsts AS (SELECT h, min(doc_id) AS first_doc FROM windows GROUP BY 1),
+hits AS (SELECT rid, i, lag(i) OVER (PARTITION BY rid ORDER BY i) AS before FROM windows JOIN firsts USING (h) WHERE first_doc < doc_id),
+runs AS (SELECT rid, i, count_if(before IS NULL OR i > before + {n}) OVER (PARTITION BY rid ORDER BY i) AS k FROM hits),
+spans AS (SELECT rid, min(i) AS a, max(i) + {n} AS z FROM runs GROUP BY rid, k),
+gaps AS (SELECT rid, a, z, lag(z, 1, 0) OVER (PARTITION BY rid ORDER BY a) AS y FROM spans),
+pieces AS (SELECT rid, sum(z - a) AS n_removed, count(*) AS n_spans, max(z) AS upto, string_agg(hex(b[y + 1 : a]), '' ORDER BY a) AS body FROM gaps JOIN docs USING (rid) GROUP BY 1)
+SELECT doc_id, CAST(size AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+  sha256(CASE WHEN upto IS NULL THEN b ELSE unhex(body || hex(b[upto + 1 : size])) END) AS kept_sha256 FROM docs LEFT JOIN pieces USING (rid)"""
+
+
+def _url_sql() -> str:
+    fixed = sorted(urls.RULES, key=lambda r: -len(r[1] + r[2]))
+
+    def case(value: Callable[[tuple], str]) -> str:
+        return "CASE " + " ".join(f"WHEN (host = '{r[1]}' OR ends_with(host, '.{r[1]}')) AND starts_with(path, '{r[2]}') THEN '{value(r)}'" for r in fixed) + " END"
+
+    # Every set of a labelled URL's tokens is counted: the tables' URLs have few.
+    return rf"""WITH parts AS (SELECT page_id, url, {_LOWER.format("coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), '')")} AS host, coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') AS path FROM pages),
+fixed AS (SELECT *, {case(lambda r: r[1] + r[2])} AS rule, {case(lambda r: r[0])} AS told FROM parts),
+tokens AS (SELECT DISTINCT url, told, list_sort(list_distinct(list_filter(list_transform(string_split(host, '.'), lambda x: 'h:' || x) || list_transform(string_split_regex(lower(path), '[/.]'), lambda x: 'p:' || x)
+  || list_transform(regexp_extract_all(url, '[?&]([^=&#]+)', 1), lambda x: 'q:' || x), lambda x: length(x) > 2))) AS held FROM fixed WHERE url IS NOT NULL),
+labelled AS (SELECT * FROM tokens WHERE told IS NOT NULL),
+size AS (SELECT count(*) AS n, ceil(least(1.0::DOUBLE, greatest({urls.MIN_SUPPORT}::DOUBLE, {urls.MIN_COUNT}::DOUBLE / greatest(count(*), 1))) * count(*)) AS least_n FROM labelled),
+sets AS (SELECT told, list_filter(held, lambda x, k: (mask >> (k - 1)) & 1 = 1) AS s FROM (SELECT told, held, unnest(range(1, 1 << len(held))) AS mask FROM labelled)),
+of_set AS (SELECT s, count(*) AS n_set FROM sets GROUP BY 1), of_told AS (SELECT told, count(*) AS n_told FROM labelled GROUP BY 1),
+rules AS (SELECT s, told, both_n / n_set AS sure FROM (SELECT s, told, count(*) AS both_n FROM sets GROUP BY 1, 2) JOIN of_set USING (s) JOIN of_told USING (told), size
+  WHERE both_n >= least_n AND both_n / n_set >= {urls.MIN_CONFIDENCE}::DOUBLE AND (both_n / n_set) / (n_told / n) >= {urls.MIN_LIFT}::DOUBLE),
+kept AS (SELECT * FROM rules r WHERE NOT EXISTS (SELECT 1 FROM rules p WHERE p.told = r.told AND p.sure >= r.sure AND len(p.s) < len(r.s) AND list_has_all(r.s, p.s))),
+best AS (SELECT url, kept.told AS mined FROM tokens JOIN kept ON list_has_all(held, s) WHERE tokens.told IS NULL QUALIFY row_number() OVER (PARTITION BY url ORDER BY sure DESC, len(s) DESC, kept.told DESC) = 1)
+SELECT page_id, host, path, rule, coalesce(told, mined, '{urls.DEFAULT}') AS verdict FROM fixed LEFT JOIN best USING (url)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_license_scan": _license_sql(), "op3_decontamination": _contamination_sql(), "op7_quality_rules": _quality_sql(), "op10_chat_format": _chat_sql()}
+    return {"op1_substring_dedup": _words_sql(), "op4_suffix_array_dedup": _bytes_sql(), "op5_url_filter": _url_sql(), "op2_license_scan": _license_sql(), "op3_decontamination": _contamination_sql(), "op7_quality_rules": _quality_sql(), "op10_chat_format": _chat_sql()}
