@@ -136,6 +136,19 @@ def test_tool_calls(spark):
     assert chat.formatted(df.limit(0)).collect() == []
 
 
+def test_crowded_turns_and_rows_without_keys(spark):
+    call = lambda i: json.dumps({"tool_calls": [{"id": i, "name": "f", "arguments": "{}"}]})
+    keys = [(None, None), (None, 3), (7, None), (7, 5)]
+    rows = [(c, t, "user", f"m{k}") for c, t in keys for k in range(600)] + [(c, t, "assistant", call(i)) for c, t in [*keys, (8, 1)] for i in "ab"]
+    rows += [(8, 2, "tool", json.dumps({"tool_call_id": "a", "content": "A"})), (8, 0, "user", "first")]
+    out = chat.formatted(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    assert sum(r.n_messages for r in out) == len(rows) and sum(r.n_calls for r in out) == 10 and sum(r.n_linked for r in out) == 1
+    assert sum(len(json.loads(r.chat)) for r in out) == len(rows) - 1  # the result is with its call
+    assert {(r.conv_id, r.piece) for r in out} == {(c, k) for c in (None, 7) for k in (1, 2, 3)} | {(8, 0)} and max(r.n_messages for r in out if r.conv_id is None) < 2 * 2 * chat.PART
+    small = json.loads(next(r.chat for r in out if r.conv_id == 8))
+    assert [m["role"] for m in small] == ["user", "assistant", "assistant"] and [[c["id"] for c in m["tool_calls"]] for m in small[1:]] == [["a"], ["b"]]
+
+
 def test_chain_of_calls(spark):
     rows = [(9, k, "assistant", json.dumps({"tool_calls": [{"id": f"c{k}", "name": "f", "arguments": json.dumps({"x": f"$c{k + 1}"})}]})) for k in range(5)]
     made = chat.calls(chat.messages(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")))

@@ -7,9 +7,11 @@ depends on it; calls are ordered by depth, then turn, then place, and those on a
 Arguments are validated against the tools' schemas: each parameter has a type and may be required.
 
 Each conversation is serialised in parts of ``PART`` turns, so that one conversation is never gathered
-beyond a bound; most have one part. Canonical JSON has its keys in order and no spaces. Equal rows count
-once. Of several results for a call the earliest is linked. Rows without a conversation or a turn go to part
-0 of theirs, in the order of nulls first. Null texts have empty content.
+beyond a bound; most have one part. A turn of more than ``PART`` different messages (such as the rows without a
+turn, or without a conversation, may be) is dealt by hash to pieces 1, 2, ... of its part; all else is piece 0.
+Canonical JSON has its keys in order and no spaces. Equal rows count once. Of several results for a call the
+earliest is linked; nothing is linked without a conversation. Rows without a turn go to part 0, before the
+others. Null texts have empty content.
 """
 
 from __future__ import annotations
@@ -28,19 +30,20 @@ SCHEMA_COLUMNS = "tool string, parameter string, type string, required boolean"
 
 
 def messages(df: DataFrame) -> DataFrame:
-    """``conv_id, turn, role, text``, equal rows once, with ``part`` and a parsed ``call`` or ``result``."""
+    """``conv_id, turn, role, text``, equal rows once, with ``part``, a parsed ``call`` or ``result``, and ``message``, the key of one with calls."""
     rows = df.select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text")).distinct()
     is_object = F.col("text").rlike(r"^\s*\{")
     call = F.when((F.col("role") == "assistant") & is_object & F.col("text").contains('"tool_calls"'), F.from_json("text", _CALLS))
     result = F.when((F.col("role") == "tool") & is_object, F.from_json("text", _RESULT))
     part = F.coalesce(F.floor(F.col("turn") / PART), F.lit(0)).cast("long")
-    return rows.withColumn("part", part).withColumn("call", call).withColumn("result", result)
+    rows = rows.withColumn("part", part).withColumn("call", call).withColumn("result", result)
+    return rows.withColumn("message", F.when(F.col("call.tool_calls").isNotNull(), F.sha2(F.to_json(F.struct("conv_id", "turn", "role", "text")), 256)))
 
 
 def calls(msgs: DataFrame) -> DataFrame:
-    """``conv_id, id, name, arguments, turn, place``."""
-    rows = msgs.where(F.col("call.tool_calls").isNotNull()).select("conv_id", "turn", F.posexplode("call.tool_calls").alias("place", "c"))
-    return rows.select("conv_id", F.col("c.id").alias("id"), F.col("c.name").alias("name"), F.col("c.arguments").alias("arguments"), "turn", "place")
+    """``conv_id, id, name, arguments, message, turn, place``."""
+    rows = msgs.where(F.col("call.tool_calls").isNotNull()).select("conv_id", "message", "turn", F.posexplode("call.tool_calls").alias("place", "c"))
+    return rows.select("conv_id", F.col("c.id").alias("id"), F.col("c.name").alias("name"), F.col("c.arguments").alias("arguments"), "message", "turn", "place")
 
 
 def linked(made: DataFrame, msgs: DataFrame) -> DataFrame:
@@ -93,8 +96,16 @@ def ordered(made: DataFrame) -> DataFrame:
     return made.join(done, ["conv_id", "id"], "left")
 
 
+def _dealt(rows: DataFrame, msgs: DataFrame) -> DataFrame:
+    """The rows with ``piece``: 0, or a number from 1 on in turns of more than PART messages."""
+    crowded = msgs.groupBy(F.col("conv_id").alias("of"), F.col("turn").alias("at")).agg(F.count("*").alias("n")).where(F.col("n") > PART)
+    out = rows.join(crowded, rows["conv_id"].eqNullSafe(crowded["of"]) & rows["turn"].eqNullSafe(crowded["at"]), "left")
+    piece = F.pmod(F.xxhash64("role", "text"), F.ceil(F.col("n") / PART)) + 1
+    return out.withColumn("piece", F.coalesce(piece, F.lit(0)).cast("long")).drop("of", "at", "n")
+
+
 def formatted(df: DataFrame, schemas: DataFrame | None = None) -> DataFrame:
-    """``conv_id, part, n_messages, n_calls, n_linked, n_invalid, n_orphans, chat`` from ``conv_id, turn, role, text``.
+    """``conv_id, part, piece, n_messages, n_calls, n_linked, n_invalid, n_orphans, chat`` from ``conv_id, turn, role, text``.
 
     ``chat`` is a JSON array of messages in order of turns; a message's calls are in topological order, each
     with its result; results that belong to a call appear with it only, others where they are.
@@ -105,18 +116,18 @@ def formatted(df: DataFrame, schemas: DataFrame | None = None) -> DataFrame:
     full = ordered(validated(linked(made, msgs), tools))
     entry = F.struct(F.col("arguments").alias("arguments"), F.col("id").alias("id"), F.col("name").alias("name"), F.col("problems").alias("problems"), F.col("result_content").alias("result"))
     rank = F.struct(F.coalesce("depth", F.lit(1 << 30)).alias("depth"), F.col("place").alias("place"), entry.alias("entry"), F.col("result_turn").isNotNull().alias("linked"))
-    per_message = full.groupBy("conv_id", "turn").agg(F.array_sort(F.collect_list(rank)).alias("of_message"))
-    with_calls = msgs.where(F.col("call.tool_calls").isNotNull()).join(per_message, ["conv_id", "turn"], "left")
+    per_message = full.groupBy("message").agg(F.array_sort(F.collect_list(rank)).alias("of_message"))
+    with_calls = msgs.where(F.col("call.tool_calls").isNotNull()).join(per_message, "message", "left")
     plain = msgs.where(F.col("call.tool_calls").isNull()).withColumn("of_message", F.lit(None).cast(per_message.schema["of_message"].dataType))
 
     wanted = made.select("conv_id", "id").distinct().withColumn("claimed", F.lit(True))
     all_ = with_calls.unionByName(plain).withColumn("id", F.col("result.tool_call_id"))
-    all_ = all_.join(wanted, ["conv_id", "id"], "left").withColumn("is_result", F.col("role") == "tool")
+    all_ = _dealt(all_, msgs).join(wanted, ["conv_id", "id"], "left").withColumn("is_result", F.col("role") == "tool")
     content = F.when(F.col("call.tool_calls").isNotNull(), F.coalesce("call.content", F.lit(""))).when(F.col("result.tool_call_id").isNotNull(), F.coalesce("result.content", F.lit(""))).otherwise(F.col("text"))
     message = F.struct(content.alias("content"), F.col("role").alias("role"), F.transform("of_message", lambda x: x["entry"]).alias("tool_calls"))
     line = F.struct(F.col("turn").alias("turn"), F.col("role").alias("role"), F.col("text").alias("text"), F.when(F.col("claimed").isNull(), F.to_json(message)).alias("json"))
     count = lambda f: F.coalesce(F.sum(F.size(F.filter("of_message", f)).cast("long")), F.lit(0))
-    grouped = all_.groupBy("conv_id", "part").agg(
+    grouped = all_.groupBy("conv_id", "part", "piece").agg(
         F.count("*").alias("n_messages"),
         count(lambda x: F.lit(True)).alias("n_calls"),
         count(lambda x: x["linked"]).alias("n_linked"),
@@ -125,4 +136,4 @@ def formatted(df: DataFrame, schemas: DataFrame | None = None) -> DataFrame:
         F.array_sort(F.collect_list(line)).alias("lines"),
     )
     body = F.array_join(F.filter(F.transform("lines", lambda x: x["json"]), lambda x: x.isNotNull()), ",")
-    return grouped.select("conv_id", "part", "n_messages", "n_calls", "n_linked", "n_invalid", "n_orphans", F.concat(F.lit("["), body, F.lit("]")).alias("chat"))
+    return grouped.select("conv_id", "part", "piece", "n_messages", "n_calls", "n_linked", "n_invalid", "n_orphans", F.concat(F.lit("["), body, F.lit("]")).alias("chat"))

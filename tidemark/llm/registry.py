@@ -143,9 +143,9 @@ SELECT doc_id, path, license, similarity, CASE WHEN license IS NOT NULL THEN 'he
 
 
 def _chat_sql() -> str:
-    # The table has no tool calls.
+    # The table has no tool calls, and no turn of more than PART messages.
     return f"""WITH m AS (SELECT DISTINCT conv_id, turn, role, coalesce(text, '') AS text FROM conversations)
-SELECT conv_id, CAST(coalesce(turn // {chat.PART}, 0) AS BIGINT) AS part, count(*) AS n_messages, 0::BIGINT AS n_calls, 0::BIGINT AS n_linked, 0::BIGINT AS n_invalid, 0::BIGINT AS n_orphans,
+SELECT conv_id, CAST(coalesce(turn // {chat.PART}, 0) AS BIGINT) AS part, 0::BIGINT AS piece, count(*) AS n_messages, 0::BIGINT AS n_calls, 0::BIGINT AS n_linked, 0::BIGINT AS n_invalid, 0::BIGINT AS n_orphans,
   '[' || string_agg('{{"content":' || CAST(to_json(text) AS VARCHAR) || ',"role":' || CAST(to_json(role) AS VARCHAR) || '}}', ',' ORDER BY turn, role, text) || ']' AS chat FROM m GROUP BY 1, 2"""
 
 
