@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import written
 
 PART = 256
+#: Rows of three longs that may be broadcast.
+FEW = 100_000
 #: Kinds of parameters, by the JSON text of a value.
 TYPES = {"integer": r"^-?\d+$", "number": r"^-?\d+(\.\d+)?([eE][+-]?\d+)?$", "boolean": r"^(true|false)$", "object": r"^\{", "array": r"^\[", "string": r"(?s)^.*$"}
 _CALLS = "struct<content:string,tool_calls:array<struct<id:string,name:string,arguments:string>>>"
@@ -30,8 +32,8 @@ SCHEMA_COLUMNS = "tool string, parameter string, type string, required boolean"
 
 
 def messages(df: DataFrame) -> DataFrame:
-    """``conv_id, turn, role, text``, equal rows once, with ``part``, a parsed ``call`` or ``result``, and ``message``, the key of one with calls."""
-    rows = df.select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text")).distinct()
+    """``conv_id, turn, role, text`` with ``part``, a parsed ``call`` or ``result``, and ``message``, the key of one with calls."""
+    rows = df.select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"))
     is_object = F.col("text").rlike(r"^\s*\{")
     call = F.when((F.col("role") == "assistant") & is_object & F.col("text").contains('"tool_calls"'), F.from_json("text", _CALLS))
     result = F.when((F.col("role") == "tool") & is_object, F.from_json("text", _RESULT))
@@ -41,9 +43,9 @@ def messages(df: DataFrame) -> DataFrame:
 
 
 def calls(msgs: DataFrame) -> DataFrame:
-    """``conv_id, id, name, arguments, message, turn, place``."""
+    """``conv_id, id, name, arguments, message, turn, place``, those of equal messages once."""
     rows = msgs.where(F.col("call.tool_calls").isNotNull()).select("conv_id", "message", "turn", F.posexplode("call.tool_calls").alias("place", "c"))
-    return rows.select("conv_id", F.col("c.id").alias("id"), F.col("c.name").alias("name"), F.col("c.arguments").alias("arguments"), "message", "turn", "place")
+    return rows.select("conv_id", F.col("c.id").alias("id"), F.col("c.name").alias("name"), F.col("c.arguments").alias("arguments"), "message", "turn", "place").distinct()
 
 
 def linked(made: DataFrame, msgs: DataFrame) -> DataFrame:
@@ -97,8 +99,14 @@ def ordered(made: DataFrame) -> DataFrame:
 
 
 def _dealt(rows: DataFrame, msgs: DataFrame) -> DataFrame:
-    """The rows with ``piece``: 0, or a number from 1 on in turns of more than PART messages."""
-    crowded = msgs.groupBy(F.col("conv_id").alias("of"), F.col("turn").alias("at")).agg(F.count("*").alias("n")).where(F.col("n") > PART)
+    """The rows with ``piece``: 0, or a number from 1 on in turns of more than PART messages.
+
+    Those turns are broadcast if they are few, so that texts aren't shuffled for them; else joined.
+    """
+    different = msgs.select(F.col("conv_id").alias("of"), F.col("turn").alias("at"), F.xxhash64("role", "text").alias("h")).distinct()
+    crowded = written(different.groupBy("of", "at").agg(F.count("*").alias("n")).where(F.col("n") > PART), "crowded")
+    if crowded.count() <= FEW:
+        crowded = F.broadcast(crowded)
     out = rows.join(crowded, rows["conv_id"].eqNullSafe(crowded["of"]) & rows["turn"].eqNullSafe(crowded["at"]), "left")
     piece = F.pmod(F.xxhash64("role", "text"), F.ceil(F.col("n") / PART)) + 1
     return out.withColumn("piece", F.coalesce(piece, F.lit(0)).cast("long")).drop("of", "at", "n")
@@ -117,23 +125,30 @@ def formatted(df: DataFrame, schemas: DataFrame | None = None) -> DataFrame:
     entry = F.struct(F.col("arguments").alias("arguments"), F.col("id").alias("id"), F.col("name").alias("name"), F.col("problems").alias("problems"), F.col("result_content").alias("result"))
     rank = F.struct(F.coalesce("depth", F.lit(1 << 30)).alias("depth"), F.col("place").alias("place"), entry.alias("entry"), F.col("result_turn").isNotNull().alias("linked"))
     per_message = full.groupBy("message").agg(F.array_sort(F.collect_list(rank)).alias("of_message"))
-    with_calls = msgs.where(F.col("call.tool_calls").isNotNull()).join(per_message, "message", "left")
-    plain = msgs.where(F.col("call.tool_calls").isNull()).withColumn("of_message", F.lit(None).cast(per_message.schema["of_message"].dataType))
-
+    # Only calls and results meet a join; the rest goes straight to its conversation.
+    has_calls, is_result = F.col("call.tool_calls").isNotNull(), F.col("result.tool_call_id").isNotNull()
+    none, unclaimed = F.lit(None).cast(per_message.schema["of_message"].dataType), F.lit(None).cast("boolean")
     wanted = made.select("conv_id", "id").distinct().withColumn("claimed", F.lit(True))
-    all_ = with_calls.unionByName(plain).withColumn("id", F.col("result.tool_call_id"))
-    all_ = _dealt(all_, msgs).join(wanted, ["conv_id", "id"], "left").withColumn("is_result", F.col("role") == "tool")
-    content = F.when(F.col("call.tool_calls").isNotNull(), F.coalesce("call.content", F.lit(""))).when(F.col("result.tool_call_id").isNotNull(), F.coalesce("result.content", F.lit(""))).otherwise(F.col("text"))
+    with_calls = msgs.where(has_calls).join(per_message, "message", "left").withColumn("claimed", unclaimed)
+    results = msgs.where(is_result).withColumn("id", F.col("result.tool_call_id")).join(wanted, ["conv_id", "id"], "left").drop("id").withColumn("of_message", none)
+    plain = msgs.where(~has_calls & ~is_result).withColumn("of_message", none).withColumn("claimed", unclaimed)
+    all_ = _dealt(with_calls.unionByName(results).unionByName(plain), msgs)
+
+    content = F.when(has_calls, F.coalesce("call.content", F.lit(""))).when(is_result, F.coalesce("result.content", F.lit(""))).otherwise(F.col("text"))
     message = F.struct(content.alias("content"), F.col("role").alias("role"), F.transform("of_message", lambda x: x["entry"]).alias("tool_calls"))
-    line = F.struct(F.col("turn").alias("turn"), F.col("role").alias("role"), F.col("text").alias("text"), F.when(F.col("claimed").isNull(), F.to_json(message)).alias("json"))
-    count = lambda f: F.coalesce(F.sum(F.size(F.filter("of_message", f)).cast("long")), F.lit(0))
-    grouped = all_.groupBy("conv_id", "part", "piece").agg(
-        F.count("*").alias("n_messages"),
+    count = lambda f: F.coalesce(F.size(F.filter("of_message", f)), F.lit(0)).cast("long")
+    line = F.struct(
+        F.col("turn").alias("turn"),
+        F.col("role").alias("role"),
+        F.col("text").alias("text"),
+        F.when(F.col("claimed").isNull(), F.to_json(message)).alias("json"),
         count(lambda x: F.lit(True)).alias("n_calls"),
         count(lambda x: x["linked"]).alias("n_linked"),
         count(lambda x: F.size(x["entry"]["problems"]) > 0).alias("n_invalid"),
-        F.count_if(F.col("is_result") & F.col("claimed").isNull()).alias("n_orphans"),
-        F.array_sort(F.collect_list(line)).alias("lines"),
+        (F.coalesce(F.col("role") == "tool", F.lit(False)) & F.col("claimed").isNull()).cast("long").alias("n_orphans"),
     )
+    grouped = all_.groupBy("conv_id", "part", "piece").agg(F.array_sort(F.collect_set(line)).alias("lines"))
     body = F.array_join(F.filter(F.transform("lines", lambda x: x["json"]), lambda x: x.isNotNull()), ",")
-    return grouped.select("conv_id", "part", "piece", "n_messages", "n_calls", "n_linked", "n_invalid", "n_orphans", F.concat(F.lit("["), body, F.lit("]")).alias("chat"))
+    total = lambda name: F.aggregate("lines", F.lit(0).cast("long"), lambda acc, x: acc + x[name]).alias(name)
+    counts = [total(name) for name in ("n_calls", "n_linked", "n_invalid", "n_orphans")]
+    return grouped.select("conv_id", "part", "piece", F.size("lines").cast("long").alias("n_messages"), *counts, F.concat(F.lit("["), body, F.lit("]")).alias("chat"))
