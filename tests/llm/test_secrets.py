@@ -1,3 +1,4 @@
+import base64
 import hashlib
 import math
 import re
@@ -66,6 +67,24 @@ def test_query_against_python(spark, table):
         assert gathered(registry.op9_secret_scan(spark, f"/root/testdata/{sf}")) == sorted((row(*r, table) for r in rows), key=repr)
 
 
+def test_long_texts_full_of_secrets_and_long_secrets(spark, table):
+    """More matches than a chunk has, overlaps across chunks, and one run of 400,000 characters."""
+    lines = [hashlib.sha256(str(k).encode()).hexdigest() if k % 2 else f"token={hashlib.md5(str(k).encode()).hexdigest()}/{k:x}Zé" for k in range(3 * secrets.CHUNK)]
+    blob = base64.b64encode(b"".join(hashlib.sha256(str(k).encode()).digest() for k in range(9375))).decode()
+    texts = ["\n".join(lines), blob, " ".join(lines[: secrets.CHUNK]), ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: r for r in secrets.scanned(df, table).select("doc_id", secrets.written_out(F.col("base_spans")).alias("base"), secrets.written_out(F.col("spans")).alias("spans")).collect()}
+    masked = {r.doc_id: r.text for r in secrets.redacted(df, table).collect()}
+    for k, text in enumerate(texts):
+        base, spans = scan(text, table)
+        assert (found[k].base, found[k].spans) == (text_of(base), text_of(spans))
+        out, at = "", 0
+        for a, _, b in spans:
+            out += text[at:a] + secrets.MASK if a >= at else ""
+            at = max(at, b)
+        assert masked[k] == out + text[at:]
+
+
 def test_held_out_accuracy(spark, table):
     held = secrets.labelled_samples(spark, 6000).withColumn("n", F.row_number().over(__import__("pyspark.sql", fromlist=["Window"]).Window.partitionBy("label").orderBy(F.xxhash64("text"))))
     train, test = held.where("n % 2 = 0"), held.where("n % 2 = 1 AND length(text) >= 20")

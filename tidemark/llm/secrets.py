@@ -8,11 +8,14 @@ characters of ``ALPHABET`` whatever the size of the samples, and goes into the p
 
 Positions are code points, the end exclusive: what a pattern leaves between its matches and the matches
 themselves are measured in turn. Null texts count as empty. Each row is scanned alone and whole, so hot
-sources and repeated rows need nothing special, and nothing is shuffled.
+sources and repeated rows need nothing special, and nothing is shuffled. Running sums over a text's matches
+are taken in chunks of ``CHUNK``, so that long texts full of secrets, and long secrets, take time in proportion.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,6 +32,8 @@ ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 #: Thousandths of a nat for each step, by which the random model must be likelier.
 THRESHOLD = 150
 MASK = "[SECRET]"
+#: Matches of a text that are gone through one by one, with an array that grows.
+CHUNK = 256
 
 _SPAN = "array<struct<start:int,rank:int,end:int>>"
 #: Words of which the ordinary identifiers of the samples are made.
@@ -86,14 +91,42 @@ def ratio(token: Column, table: list[int]) -> Column:
     size = len(ALPHABET)
     weights = F.split(F.lit(",".join(map(str, table))), ",").cast("array<int>")
 
-    def place(i: Column) -> Column:
-        return F.instr(F.lit(ALPHABET), F.substring(token, i, F.lit(1)))
+    def total(places: Column) -> Column:
+        def add(acc: Column, i: Column) -> Column:
+            return acc + F.get(weights, (F.get(places, i - 1) - 1) * size + F.get(places, i) - 1)
+
+        return F.floor(F.aggregate(F.sequence(F.lit(1), F.size(places) - 1), F.lit(0).cast("long"), add) / (F.size(places) - 1))
+
+    letters = F.filter(F.split(token, ""), lambda c: c != "")
+    return _with(F.transform(letters, lambda c: F.instr(F.lit(ALPHABET), c)), total)
+
+
+# arrays
+
+
+def _with(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)``, the value computed once however often it is used in lambdas."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def _running(items: Column, carry: Callable[[Column, Column], Column], made: Callable[[Column, Column], Column]) -> Column:
+    """What ``made(chunk, before)`` gives for the chunks of an array, one after the other.
+
+    ``before`` is an int, 0 for the first chunk and ``carry(before, chunk)`` for the next.
+    """
+
+    def over(chunks: Column) -> Column:
+        def step(acc: Column, chunk: Column) -> Column:
+            return F.concat(acc, F.array(carry(F.element_at(acc, -1), chunk)))
+
+        befores = F.aggregate(chunks, F.array(F.lit(0)), step)
+        return F.flatten(F.zip_with(chunks, F.slice(befores, 1, F.size(chunks)), made))
 
-    def add(acc: Column, i: Column) -> Column:
-        return acc + F.get(weights, (place(i) - 1) * size + place(i + 1) - 1)
+    def cut(whole: Column) -> Column:
+        first = F.filter(F.sequence(F.lit(0), F.floor((F.size(whole) - 1) / CHUNK).cast("int")), lambda k: k * CHUNK < F.size(whole))
+        return F.transform(first, lambda k: F.slice(whole, k * CHUNK + 1, F.lit(CHUNK)))
 
-    total = F.aggregate(F.sequence(F.lit(1), F.length(token) - 1), F.lit(0), add)
-    return F.floor(total / (F.length(token) - 1))
+    return _with(_with(items, cut), over)
 
 
 # spans
@@ -111,8 +144,13 @@ def _found(text: Column, pattern: str, rank: int, keep) -> Column:
         span = F.struct(start.alias("start"), F.lit(rank).alias("rank"), end.alias("end"))
         return F.struct(end.alias("pos"), F.when(keep(x["match"], x["inner"]), F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).alias("spans"))
 
-    empty = F.struct(F.lit(0).alias("pos"), F.array().cast(_SPAN).alias("spans"))
-    return F.aggregate(zipped, empty, step, lambda acc: acc["spans"])
+    def spans(chunk: Column, before: Column) -> Column:
+        return F.aggregate(chunk, F.struct(before.alias("pos"), F.array().cast(_SPAN).alias("spans")), step, lambda acc: acc["spans"])
+
+    def passed(before: Column, chunk: Column) -> Column:
+        return F.aggregate(chunk, before, lambda acc, x: acc + F.length(x["gap"]) + F.length(x["match"]))
+
+    return _running(zipped, passed, spans)
 
 
 def _if(sign: Column, spans: Column) -> Column:
@@ -149,8 +187,20 @@ def scanned(df: DataFrame, table: list[int], text: str = "text", base: str = "ba
     body = F.coalesce(F.col(text), F.lit(""))
     more = fresh(df, "model_spans")
     df = df.withColumn(base, base_spans(body)).withColumn(more, model_spans(body, table))
-    outside = F.filter(F.col(more), lambda m: ~F.exists(F.col(base), lambda b: (b["start"] <= m["start"]) & (m["end"] <= b["end"])))
-    return df.withColumn(spans, F.when(F.size(more) == 0, F.col(base)).otherwise(F.array_sort(F.concat(F.col(base), outside)))).drop(more)
+
+    def reach(before: Column, span: Column) -> Column:
+        """The furthest end of the patterns' spans so far."""
+        return F.when(span["rank"] < KINDS.index("random"), F.greatest(before, span["end"])).otherwise(before)
+
+    def step(acc: Column, span: Column) -> Column:
+        inside = (span["rank"] == KINDS.index("random")) & (span["end"] <= acc["pos"])
+        return F.struct(reach(acc["pos"], span).alias("pos"), F.when(inside, acc["spans"]).otherwise(F.concat(acc["spans"], F.array(span))).alias("spans"))
+
+    def outside(chunk: Column, before: Column) -> Column:
+        return F.aggregate(chunk, F.struct(before.alias("pos"), F.array().cast(_SPAN).alias("spans")), step, lambda acc: acc["spans"])
+
+    both = _running(F.array_sort(F.concat(F.col(base), F.col(more))), lambda before, chunk: F.aggregate(chunk, before, reach), outside)
+    return df.withColumn(spans, F.when(F.size(more) == 0, F.col(base)).otherwise(both)).drop(more)
 
 
 def redacted(df: DataFrame, table: list[int], text: str = "text") -> DataFrame:
@@ -158,11 +208,20 @@ def redacted(df: DataFrame, table: list[int], text: str = "text") -> DataFrame:
     base, spans = fresh(df, "base_spans"), fresh(df, "spans")
     body = F.col(text)
 
-    def step(acc: Column, s: Column) -> Column:
-        before = F.substring(body, acc["pos"] + 1, s["start"] - acc["pos"])
-        out = F.when(s["start"] >= acc["pos"], F.concat(acc["out"], before, F.lit(MASK))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["pos"], s["end"]).alias("pos"), out.alias("out"))
+    def reach(before: Column, chunk: Column) -> Column:
+        return F.aggregate(chunk, before, lambda acc, x: F.greatest(acc, x["end"]))
+
+    def pieces(chunk: Column, before: Column) -> Column:
+        def of(part: Column) -> Column:
+            def step(acc: Column, x: Column) -> Column:
+                between = F.substring(part, acc["pos"] - before + 1, x["start"] - acc["pos"])
+                out = F.when(x["start"] >= acc["pos"], F.concat(acc["out"], F.array(F.concat(between, F.lit(MASK))))).otherwise(acc["out"])
+                return F.struct(F.greatest(acc["pos"], x["end"]).alias("pos"), out.alias("out"))
+
+            return F.aggregate(chunk, F.struct(before.alias("pos"), F.array().cast("array<string>").alias("out")), step, lambda acc: acc["out"])
+
+        return _with(F.substring(body, before + 1, reach(before, chunk) - before), of)
 
-    begin = F.struct(F.lit(0).alias("pos"), F.lit("").alias("out"))
-    masked = F.aggregate(F.col(spans), begin, step, lambda acc: F.concat(acc["out"], F.substring(body, acc["pos"] + 1, F.length(body))))
+    rest = F.substring(body, reach(F.lit(0), F.col(spans)) + 1, F.length(body))
+    masked = F.concat(F.array_join(_running(F.col(spans), reach, pieces), ""), rest)
     return scanned(df, table, text, base, spans).withColumn(text, F.when(F.size(spans) > 0, masked).otherwise(body)).drop(base, spans)
