@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm import shared
+from tidemark.llm import shared, similar
 from tidemark.llm.common import blocks_for, bounded, dealt, fresh, mix, written
 from tidemark.llm.graph import components
 
@@ -160,14 +160,15 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
 
 def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One document of each component, the one with the smallest id, with its columns.
+    """One document of each group of texts that are alike, the one with the smallest id, with its columns.
 
-    Rows with a null id are kept: nothing says which of them is first. Of repeated rows of the kept id one stays.
+    Four bits are a narrow radius for texts, so the groups aren't those of ``near_duplicates``: five-word shingles
+    decide, at a Jaccard similarity of 0.8 (``similar``). Rows with a null id are kept: nothing says which of them
+    is first. Of repeated rows of the kept id one stays.
     """
-    found = near_duplicates(docs, doc_id, text)
+    known = docs.where(F.col(doc_id).isNotNull())
+    found = similar.grouped(known, doc_id, text)
     first = fresh(docs, "first_of_component")
-    stay = found.where("component_id = doc_id").select(F.col("component_id").alias(first)).distinct()
-    ranked = docs.where(F.col(doc_id).isNotNull()).join(stay, F.col(doc_id) == F.col(first), "left_semi").dropDuplicates([doc_id])
+    stay = found.groupBy("root").agg(F.min("doc_id").alias(first)).select(first).distinct()
+    ranked = known.join(stay, F.col(doc_id) == F.col(first), "left_semi").dropDuplicates([doc_id])
     return ranked.unionByName(docs.where(F.col(doc_id).isNull()))
-
-
