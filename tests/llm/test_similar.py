@@ -67,3 +67,13 @@ def test_wide_pair_goes_and_unlike_pair_stays(spark):
 def test_on_the_tables(spark, documents):
     rows = [tuple(r) for r in documents.select("doc_id", "text").collect()]
     assert sorted(r.doc_id for r in simhash.keep_first(documents).collect()) == plain(rows)
+
+
+def test_unlike_texts_of_one_id_both_stay(spark):
+    one, two = (" ".join(f"{c}{i}" for i in range(80)) for c in "ab")
+    rows = [(1, one), (1, two), (1, two), (2, two), (3, one.upper())]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert gathered(simhash.keep_first(df)) == [(1, one), (1, two)]
+    near = two.replace("b40 ", "other ")
+    df = spark.createDataFrame([(1, near), (1, two), (0, one)], "doc_id long, text string")
+    assert len(simhash.keep_first(df).where("doc_id = 1").collect()) == 1

@@ -164,11 +164,12 @@ def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
 
     Four bits are a narrow radius for texts, so the groups aren't those of ``near_duplicates``: five-word shingles
     decide, at a Jaccard similarity of 0.8 (``similar``). Rows with a null id are kept: nothing says which of them
-    is first. Of repeated rows of the kept id one stays.
+    is first. Of repeated rows, of one id and the same words, one stays; unlike texts of one id both may.
     """
     known = docs.where(F.col(doc_id).isNotNull())
     found = similar.grouped(known, doc_id, text)
-    first = fresh(docs, "first_of_component")
-    stay = found.groupBy("root").agg(F.min("doc_id").alias(first)).select(first).distinct()
-    ranked = known.join(stay, F.col(doc_id) == F.col(first), "left_semi").dropDuplicates([doc_id])
-    return ranked.unionByName(docs.where(F.col(doc_id).isNull()))
+    first, node = fresh(docs, "first_of_component"), fresh(docs, "node")
+    least = found.groupBy("root").agg(F.min(F.struct("doc_id", "node")).alias("r"))
+    stay = least.select(F.col("r.doc_id").alias(first), F.col("r.node").alias(f"of_{node}"))
+    ranked = known.withColumn(node, similar.node_column(text)).join(stay, (F.col(doc_id) == F.col(first)) & (F.col(node) == F.col(f"of_{node}")), "left_semi")
+    return ranked.dropDuplicates([doc_id, node]).drop(node).unionByName(docs.where(F.col(doc_id).isNull()))
