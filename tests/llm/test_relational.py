@@ -155,6 +155,20 @@ def test_chain_of_calls(spark):
     assert sorted((r.id, r.depth) for r in chat.ordered(made).collect()) == [(f"c{k}", 4 - k) for k in range(5)]
 
 
+def test_every_result_is_somewhere(spark):
+    call = lambda *ids: json.dumps({"tool_calls": [{"id": i, "name": "f", "arguments": "{}"} for i in ids]})
+    answer = lambda i, c: json.dumps({"tool_call_id": i, "content": c})
+    rows = [
+        (1, 0, "assistant", call("c")), (1, 1, "tool", answer("c", "one")), (1, 2, "assistant", call("c")), (1, 3, "tool", answer("c", "two")), (1, 4, "tool", answer("c", "three")),
+        (2, 0, "assistant", call("c")), (2, 2, "assistant", call("c")), (2, 3, "tool", answer("c", "of the second")),
+        (3, 0, "tool", answer("c", "too early")), (3, 1, "assistant", call("c", "c")), (3, 2, "tool", answer("c", "x")), (3, 2, "tool", answer("c", "y")), (None, 0, "tool", answer("c", "nowhere")),
+    ]
+    out = {r.conv_id: r for r in chat.formatted(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    seen = {k: [(m["content"], [c.get("result") for c in m.get("tool_calls") or []]) for m in json.loads(r.chat)] for k, r in out.items()}
+    assert seen == {1: [("", ["one"]), ("", ["two"]), ("three", [])], 2: [("", [None]), ("", ["of the second"])], 3: [("too early", []), ("", ["x", "y"])], None: [("nowhere", [])]}
+    assert {k: (r.n_calls, r.n_linked, r.n_orphans) for k, r in out.items()} == {1: (2, 2, 1), 2: (2, 1, 0), 3: (2, 2, 1), None: (0, 0, 1)}
+
+
 # pipeline
 
 

@@ -9,14 +9,15 @@ Arguments are validated against the tools' schemas: each parameter has a type an
 Each conversation is serialised in parts of ``PART`` turns, so that one conversation is never gathered
 beyond a bound; most have one part. A turn of more than ``PART`` different messages (such as the rows without a
 turn, or without a conversation, may be) is dealt by hash to pieces 1, 2, ... of its part; all else is piece 0.
-Canonical JSON has its keys in order and no spaces. Equal rows count once. Of several results for a call the
-earliest is linked; nothing is linked without a conversation. Rows without a turn go to part 0, before the
+Canonical JSON has its keys in order and no spaces. Equal rows count once. A result is linked to
+one call, a call has one result (see ``linked``), and results that are left over stay messages; nothing is
+linked without a conversation. Rows without a turn go to part 0, before the
 others. Null texts have empty content.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import written
@@ -32,14 +33,14 @@ SCHEMA_COLUMNS = "tool string, parameter string, type string, required boolean"
 
 
 def messages(df: DataFrame) -> DataFrame:
-    """``conv_id, turn, role, text`` with ``part``, a parsed ``call`` or ``result``, and ``message``, the key of one with calls."""
+    """``conv_id, turn, role, text`` with ``part``, a parsed ``call`` or ``result``, and ``message``, the key of one with either."""
     rows = df.select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"))
     is_object = F.col("text").rlike(r"^\s*\{")
     call = F.when((F.col("role") == "assistant") & is_object & F.col("text").contains('"tool_calls"'), F.from_json("text", _CALLS))
     result = F.when((F.col("role") == "tool") & is_object, F.from_json("text", _RESULT))
     part = F.coalesce(F.floor(F.col("turn") / PART), F.lit(0)).cast("long")
     rows = rows.withColumn("part", part).withColumn("call", call).withColumn("result", result)
-    return rows.withColumn("message", F.when(F.col("call.tool_calls").isNotNull(), F.sha2(F.to_json(F.struct("conv_id", "turn", "role", "text")), 256)))
+    return rows.withColumn("message", F.when(F.col("call.tool_calls").isNotNull() | F.col("result.tool_call_id").isNotNull(), F.sha2(F.to_json(F.struct("conv_id", "turn", "role", "text")), 256)))
 
 
 def calls(msgs: DataFrame) -> DataFrame:
@@ -49,11 +50,27 @@ def calls(msgs: DataFrame) -> DataFrame:
 
 
 def linked(made: DataFrame, msgs: DataFrame) -> DataFrame:
-    """The calls with ``result_turn, result_content`` of their earliest result."""
-    results = msgs.where(F.col("result.tool_call_id").isNotNull()).select("conv_id", F.col("result.tool_call_id").alias("id"), F.struct(F.col("turn").alias("turn"), F.col("result.content").alias("content")).alias("r"))
-    first = results.groupBy("conv_id", "id").agg(F.min("r").alias("r"))
-    out = made.hint("shuffle_hash").join(first, ["conv_id", "id"], "left")
-    return out.select(*made.columns, F.col("r.turn").alias("result_turn"), F.col("r.content").alias("result_content"))
+    """The calls with ``result_turn, result_content`` of their result, and ``answer``, its key; each result has one call at most.
+
+    Calls and results of an identifier are taken in order of turn, calls before results of the same turn. Results
+    that follow a row of calls belong to the last of these calls, one each, in order.
+    """
+    results = msgs.where(F.col("result.tool_call_id").isNotNull()).select("conv_id", F.col("result.tool_call_id").alias("id"), "turn", F.col("result.content").alias("content"), "message").distinct()
+    asked = made.select("conv_id", "id", "turn", F.lit(0).alias("kind"), "place", F.lit(None).cast("string").alias("content"), "message")
+    given = results.select("conv_id", "id", "turn", F.lit(1).alias("kind"), F.lit(0).alias("place"), "content", "message")
+    of_id = Window.partitionBy("conv_id", "id").orderBy("turn", "kind", "place", "content", "message")
+    rows = asked.unionByName(given).where(F.col("conv_id").isNotNull() & F.col("id").isNotNull())
+    again = (F.col("kind") == 0) & (F.lag("kind").over(of_id) == 1)
+    rows = rows.withColumn("again", F.coalesce(again, F.lit(False)).cast("int")).withColumn("row", F.sum("again").over(of_id))
+    of_row = Window.partitionBy("conv_id", "id", "row")
+    n_calls, n_results = F.count_if(F.col("kind") == 0).over(of_row), F.count_if(F.col("kind") == 1).over(of_row)
+    rows = rows.withColumn("skip", F.when(F.col("kind") == 0, F.greatest(n_calls - n_results, F.lit(0))).otherwise(0))
+    place_in_row = F.row_number().over(Window.partitionBy("conv_id", "id", "row", "kind").orderBy("turn", "place", "content", "message"))
+    rows = rows.withColumn("slot", place_in_row - F.col("skip"))
+    ours = rows.where((F.col("kind") == 0) & (F.col("slot") > 0)).select("conv_id", "id", "row", "slot", "message", "place")
+    theirs = rows.where("kind = 1").select("conv_id", "id", "row", "slot", F.col("turn").alias("result_turn"), F.col("content").alias("result_content"), F.col("message").alias("answer"))
+    pairs = ours.join(theirs, ["conv_id", "id", "row", "slot"]).select("message", "place", "result_turn", "result_content", "answer")
+    return made.hint("shuffle_hash").join(pairs, ["message", "place"], "left").select(*made.columns, "result_turn", "result_content", "answer")
 
 
 def validated(made: DataFrame, schemas: DataFrame) -> DataFrame:
@@ -116,21 +133,21 @@ def formatted(df: DataFrame, schemas: DataFrame | None = None) -> DataFrame:
     """``conv_id, part, piece, n_messages, n_calls, n_linked, n_invalid, n_orphans, chat`` from ``conv_id, turn, role, text``.
 
     ``chat`` is a JSON array of messages in order of turns; a message's calls are in topological order, each
-    with its result; results that belong to a call appear with it only, others where they are.
+    with its result; results that are linked to a call appear with it only, all others where they are.
     """
     msgs = messages(df)
     tools = schemas if schemas is not None else df.sparkSession.createDataFrame([], SCHEMA_COLUMNS)
     made = calls(msgs)
     full = ordered(validated(linked(made, msgs), tools))
     entry = F.struct(F.col("arguments").alias("arguments"), F.col("id").alias("id"), F.col("name").alias("name"), F.col("problems").alias("problems"), F.col("result_content").alias("result"))
-    rank = F.struct(F.coalesce("depth", F.lit(1 << 30)).alias("depth"), F.col("place").alias("place"), entry.alias("entry"), F.col("result_turn").isNotNull().alias("linked"))
+    rank = F.struct(F.coalesce("depth", F.lit(1 << 30)).alias("depth"), F.col("place").alias("place"), entry.alias("entry"), F.col("answer").isNotNull().alias("linked"))
     per_message = full.groupBy("message").agg(F.array_sort(F.collect_list(rank)).alias("of_message"))
     # Only calls and results meet a join; the rest goes straight to its conversation.
     has_calls, is_result = F.col("call.tool_calls").isNotNull(), F.col("result.tool_call_id").isNotNull()
     none, unclaimed = F.lit(None).cast(per_message.schema["of_message"].dataType), F.lit(None).cast("boolean")
-    wanted = made.select("conv_id", "id").distinct().withColumn("claimed", F.lit(True))
+    wanted = full.where(F.col("answer").isNotNull()).select(F.col("answer").alias("message"), F.lit(True).alias("claimed"))
     with_calls = msgs.where(has_calls).join(per_message, "message", "left").withColumn("claimed", unclaimed)
-    results = msgs.where(is_result).withColumn("id", F.col("result.tool_call_id")).join(wanted, ["conv_id", "id"], "left").drop("id").withColumn("of_message", none)
+    results = msgs.where(is_result).join(wanted, "message", "left").withColumn("of_message", none)
     plain = msgs.where(~has_calls & ~is_result).withColumn("of_message", none).withColumn("claimed", unclaimed)
     all_ = _dealt(with_calls.unionByName(results).unionByName(plain), msgs)
 
