@@ -169,6 +169,12 @@ def test_every_result_is_somewhere(spark):
     assert {k: (r.n_calls, r.n_linked, r.n_orphans) for k, r in out.items()} == {1: (2, 2, 1), 2: (2, 1, 0), 3: (2, 2, 1), None: (0, 0, 1)}
 
 
+def test_calls_without_schemas_are_not_judged(spark):
+    rows = [(1, 0, "assistant", json.dumps({"tool_calls": [{"id": "a", "name": "f", "arguments": "{}"}]}))]
+    r = chat.formatted(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).first()
+    assert (r.n_calls, r.n_invalid) == (1, 0) and "problems" not in json.loads(r.chat)[0]["tool_calls"][0]
+
+
 # pipeline
 
 

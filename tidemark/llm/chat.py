@@ -133,12 +133,13 @@ def formatted(df: DataFrame, schemas: DataFrame | None = None) -> DataFrame:
     """``conv_id, part, piece, n_messages, n_calls, n_linked, n_invalid, n_orphans, chat`` from ``conv_id, turn, role, text``.
 
     ``chat`` is a JSON array of messages in order of turns; a message's calls are in topological order, each
-    with its result; results that are linked to a call appear with it only, all others where they are.
+    with its result and, if there are schemas, its problems; without schemas no call is judged and ``n_invalid`` is
+    0. Results that are linked to a call appear with it only, all others where they are.
     """
     msgs = messages(df)
-    tools = schemas if schemas is not None else df.sparkSession.createDataFrame([], SCHEMA_COLUMNS)
     made = calls(msgs)
-    full = ordered(validated(linked(made, msgs), tools))
+    with_results = linked(made, msgs)
+    full = ordered(with_results.withColumn("problems", F.lit(None).cast("array<string>")) if schemas is None else validated(with_results, schemas))
     entry = F.struct(F.col("arguments").alias("arguments"), F.col("id").alias("id"), F.col("name").alias("name"), F.col("problems").alias("problems"), F.col("result_content").alias("result"))
     rank = F.struct(F.coalesce("depth", F.lit(1 << 30)).alias("depth"), F.col("place").alias("place"), entry.alias("entry"), F.col("answer").isNotNull().alias("linked"))
     per_message = full.groupBy("message").agg(F.array_sort(F.collect_list(rank)).alias("of_message"))
