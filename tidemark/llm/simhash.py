@@ -170,6 +170,11 @@ def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     found = similar.grouped(known, doc_id, text)
     first, node = fresh(docs, "first_of_component"), fresh(docs, "node")
     least = found.groupBy("root").agg(F.min(F.struct("doc_id", "node")).alias("r"))
-    stay = least.select(F.col("r.doc_id").alias(first), F.col("r.node").alias(f"of_{node}"))
-    ranked = known.withColumn(node, similar.node_column(text)).join(stay, (F.col(doc_id) == F.col(first)) & (F.col(node) == F.col(f"of_{node}")), "left_semi")
-    return ranked.dropDuplicates([doc_id, node]).drop(node).unionByName(docs.where(F.col(doc_id).isNull()))
+    several = found.groupBy("doc_id").agg((F.count("*") > 1).alias("several"))
+    stay = written(least.select("r.*").join(several, "doc_id").select(F.col("doc_id").alias(first), F.col("node").alias(f"of_{node}"), "several"), "stay")
+    # Ids of one row, nearly all, need no look at their texts; these are streamed past the ids, not sorted.
+    one = known.join(stay.where("NOT several").hint("shuffle_hash"), F.col(doc_id) == F.col(first), "left_semi")
+    again = known.join(stay.where("several").select(F.col(first)).distinct().hint("shuffle_hash"), F.col(doc_id) == F.col(first), "left_semi")
+    same = (F.col(doc_id) == F.col(first)) & (F.col(node) == F.col(f"of_{node}"))
+    again = again.withColumn(node, similar.node_column(text)).join(stay.where("several").drop("several"), same, "left_semi").dropDuplicates([doc_id, node]).drop(node)
+    return one.unionByName(again).unionByName(docs.where(F.col(doc_id).isNull()))
