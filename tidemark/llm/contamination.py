@@ -9,7 +9,8 @@ searched from the items' side. Items are put into partitions by size, powers of
 its ``k`` smallest shingle hashes (bottom-k MinHash), with one ``k`` for the partition: an item of up to
 ``u`` shingles that is contained to ``t`` misses at most ``(1 - t) * u`` of them, so with
 ``k = floor((1 - t) * u) + 1`` at least one hash of its sketch is in the document. No such item is missed;
-there is no chance in it. Candidates are verified by comparing the shingles' text.
+there is no chance in it. An item of fewer than five words isn't searched inside longer documents: these have
+no shingle of its length. Candidates are verified by comparing the shingles' text.
 
 The sketches are sent to all executors. Their size is bounded: the benchmark is taken in blocks of about
 ``BLOCK_BYTES`` of text, by a hash, and each block is held against all documents. Documents are read where
