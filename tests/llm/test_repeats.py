@@ -1,4 +1,5 @@
 import hashlib
+import random
 
 import numpy as np
 import pytest
@@ -41,17 +42,63 @@ def by_bytes(rows):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize(("hot", "block", "bucket"), [(64, 8 << 20, 1 << 21), (2, 20_000, 1 << 8), (1000, 5_000, 1 << 8), (2, 8 << 20, 1 << 21)])
-def test_against_brute_force(spark, monkeypatch, hot, block, bucket):
+def periodic(seed):
+    """Pairs as a cycle and two runs of it in different phase in one document, and short alphabets."""
+    rng, rows = random.Random(seed), []
+    for k in range(40):
+        period = rng.randint(1, 7)
+        cycle = [f"c{k}x{i}" for i in range(period)]
+        of = lambda n, at: [cycle[(at + i) % period] for i in range(n)]
+        other = [f"u{k}x{i}" for i in range(120)]
+        rows.append((rng.randint(0, 10**6), " ".join(of(rng.choice([50, 51, 80]), 0))))
+        rows.append((rng.randint(0, 10**6), " ".join(of(79, 0) + other + of(79, rng.randint(0, period)) + other[:3] + of(rng.randint(40, 300), 1))))
+        rows.append((rng.randint(0, 10**6), ("abcdefg"[:period] * 100)[: rng.randint(40, 200)] + f"{k:060d}" + ("abcdefg"[:period] * 100)[1 : rng.randint(40, 200)]))
+    return rows
+
+
+SIZES = [(512, 192, 8 << 20, 1 << 21), (2, 192, 20_000, 1 << 8), (1000, 7, 5_000, 1 << 8), (2, 3, 8 << 20, 1 << 21)]
+
+
+@pytest.mark.parametrize(("hot", "run", "block", "bucket"), SIZES)
+def test_against_brute_force(spark, monkeypatch, hot, run, block, bucket):
     monkeypatch.setattr(repeats, "HOT", hot)
+    monkeypatch.setattr(repeats, "RUN", run)
     monkeypatch.setattr(repeats, "BLOCK_BYTES", block)
     monkeypatch.setattr(shared, "BUCKET_KEYS", bucket)
-    rows = corpus(hot + block)
+    rows = corpus(hot + block) + periodic(hot)
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
     assert gathered(automaton.digests(df)) == by_words(rows)
     assert gathered(suffixes.digests(df)) == by_bytes(rows)
 
 
+def test_only_the_index_removes(spark, monkeypatch):
+    def blind(passages, length):
+        return [(np.zeros(p[3].size - length + 1, bool), False) for p in passages]
+
+    monkeypatch.setattr(automaton, "resolve", blind)
+    monkeypatch.setattr(suffixes, "resolve", blind)
+    df = spark.createDataFrame(corpus(3) + periodic(3), "doc_id long, text string")
+    assert {r.n_removed for op in (automaton, suffixes) for r in op.digests(df).collect()} == {0}
+
+
+def test_shards_are_bounded(spark, monkeypatch, tmp_path):
+    """One passage with other surroundings in each of very many texts, and one endless cycle."""
+    passage = " ".join(f"p{i}" for i in range(60))
+    rows = [(k, " ".join(f"a{k}x{i}" for i in range(70)) + " " + passage + " " + " ".join(f"b{k}x{i}" for i in range(70))) for k in range(1500)]
+    rows += [(5000, "x y z " * 30_000), (5001, "y z x " * 40)]
+    most = tmp_path / "most"
+
+    def counted(passages, length, of=automaton.resolve):
+        with most.open("a") as f:
+            f.write(f"{sum(p[3].size for p in passages)}\n")
+        return of(passages, length)
+
+    monkeypatch.setattr(automaton, "resolve", counted)
+    got = {r.doc_id: r.n_removed for r in automaton.digests(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {0: 0} | {k: 60 for k in range(1, 1500)} | {5000: 0, 5001: 120}
+    assert max(map(int, most.read_text().split())) <= repeats.SHARD + repeats.HOT * (repeats.RUN + L)
+
+
 def test_on_the_tables(spark, documents):
     rows = [tuple(r) for r in documents.select("doc_id", "text").collect()]
     assert gathered(automaton.digests(documents)) == by_words(rows)

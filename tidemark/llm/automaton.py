@@ -3,7 +3,7 @@
 The reference of a document is every document with a smaller id, so an automaton of the reference, sent to
 all tasks, would grow with the corpus. The reference is therefore cut into shards of passages (``repeats``),
 and each shard's automaton goes to the one task that gets the passages to stream; what is sent is bounded by
-a shard. A passage is streamed through it symbol by symbol for its matching statistics: the state of the
+a shard. Every passage that two documents have, whole copies too, is in a shard and is streamed through it symbol by symbol for its matching statistics: the state of the
 longest suffix that the shard holds. Each state knows the least document that has its strings, so where the
 match reaches the window's length, the state of exactly that length says which document had it first.
 """
@@ -104,14 +104,18 @@ class SuffixAutomaton:
         return out
 
 
-def resolve(passages: list[tuple[int, int, np.ndarray]], length: int) -> list[np.ndarray]:
-    """The marks of each passage's windows that an earlier document's passage has too."""
+def resolve(passages: list[repeats.Passage], length: int) -> list[tuple[np.ndarray, bool]]:
+    """For each passage the windows that an earlier document's passage has too; and whether the shard holds all its windows."""
     automaton = SuffixAutomaton()
-    strings = [p.tolist() for _, _, p in passages]
-    for (_, doc, _), s in zip(passages, strings):
+    strings = [p[3].tolist() for p in passages]
+    for (_, doc, _, _), s in zip(passages, strings):
         automaton.add(s, doc)
     automaton.finish()
-    return [np.array([first < doc for first in automaton.stream(s, length)], bool) for (_, doc, _), s in zip(passages, strings)]
+    out = []
+    for (_, doc, later, _), s in zip(passages, strings):
+        first = automaton.stream(s, length)
+        out.append((np.array([x < doc for x in first], bool), later and max(first) <= doc))
+    return out
 
 
 def _keep(w: list[bytes], starts, ends) -> list[bytes]:
@@ -128,16 +132,11 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", le
     def run(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
         for batch in batches:
             out = []
-            for x, starts, ends, again in zip(*batch):
-                w = words(x)
-                if again and len(w) >= length:
-                    x = ""
-                elif not again and starts is not None:
-                    x = b" ".join(_keep(w, starts, ends)).decode()
-                out.append(x)
+            for x, starts, ends in zip(*batch):
+                out.append(x if starts is None else b" ".join(_keep(words(x), starts, ends)).decode())
             yield pd.Series(out, dtype=object)
 
-    run.__annotations__ = {"batches": Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]], "return": Iterator[pd.Series]}
+    run.__annotations__ = {"batches": Iterator[tuple[pd.Series, pd.Series, pd.Series]], "return": Iterator[pd.Series]}
     return repeats.with_spans(docs, WORDS, resolve, length, F.pandas_udf(run, "string"), doc_id, text)
 
 

@@ -1,30 +1,28 @@
 """Passages that documents share: the frame around the two substring deduplications.
 
 A text is a row of symbols (words, or bytes). A window is ``length`` symbols in a row of one document; it is
-removed if the same window starts in a document with a smaller id. To find these without sending every
-window anywhere:
+removed if the same window starts in a document with a smaller id. What is removed is what an index of a
+reference shard says (a suffix automaton or an enhanced suffix array: ``resolve``); the rest is the way there:
 
-1. Equal texts are put together, first in each batch that is read, then in the block that their hash names,
-   so a text goes on once, with its least document; a later document that has it loses all of it. Texts
-   travel compressed.
+1. Equal texts travel once, compressed, with their documents.
 2. Every window has a key, the least hash of the ``gram``-symbol strings in it. Equal windows have equal
-   keys, and windows in a row mostly share one, so a text falls into *runs* of windows with one key. Keys
-   that occur in one document only are left out (``shared``: four bytes a key, one bit back).
-3. The runs left over are put in the shared folder by blocks of documents, equal ones of a block once. What
-   a block sends of a run is its key, a hash of its content and the least document: so copies meet once for
-   each block, however many there are, and each distinct run of the corpus gets its first document.
-4. Distinct runs under one key are *passages* of a reference shard. The first document's block sends their
-   symbols, and the shard's index (a suffix automaton or an enhanced suffix array: ``resolve``) says which
-   windows of a passage also start in an earlier document's passage. A passage alone under its key has
-   nothing to be matched with.
-5. A key that very many documents share with differing surroundings would fill one shard. A block that sees
-   more than ``HOT`` runs of one key marks it hot, as does a key from more than ``HOT_BLOCKS`` blocks; all
-   blocks are told in step 2, and its runs are cut into single windows keyed by their own hashes: equal windows meet, others don't.
-6. Each text's removed windows go back to it as spans.
-
-Equality of runs rests on two 64-bit hashes; passages under one key are compared symbol by symbol. Texts
-shorter than a window lose nothing; null texts are empty. Repeated rows (one id) never remove one another.
-Documents with a null id neither remove nor lose anything.
+   keys, and windows in a row mostly share one, so a text falls into *runs* of up to ``RUN`` windows with one
+   key. Keys that occur in one document only are left out (``shared``: five bytes a key, two bits back).
+3. The runs left over are put in the shared folder by blocks of documents, equal ones of a block once. A block
+   announces the key, a hash of the content (it depends on the order of the symbols) and the least document of
+   each. Runs with one key and one content are one *passage*, told apart from others by these 128 bits.
+4. Passages under one key make a reference shard. The block of a passage's first document sends its symbols,
+   and whether later documents have it. The shard's index holds every passage and compares symbols: it says which
+   windows of a passage also start in an earlier document, and whether later copies are found whole.
+5. A key with more than ``HOT`` runs in the corpus would fill one shard. All blocks are told so in step 2, and
+   cut its runs into single windows, each a passage under its own hash: equal windows meet, others don't. They go
+   to the same index. So a shard has at most ``SHARD`` symbols and those of one key, ``HOT * (RUN + length)``.
+6. Blocks ask for what was found of their runs, and each text's removed windows go back to it as spans.
+
+Texts shorter than a window lose nothing; null texts are empty. Repeated rows (one id) never remove one another,
+and of two documents the one with the greater id loses. Documents with a null id neither remove nor lose
+anything. An empty table gives no rows; other columns, whatever their names, aren't touched. A very long text
+stays in the memory of one task, with some 40 bytes for each of its symbols.
 """
 
 from __future__ import annotations
@@ -44,26 +42,34 @@ from tidemark.llm.common import blocks_for, bounded, dealt, fresh, mix, text_byt
 
 #: Bytes of text in a block of documents, about.
 BLOCK_BYTES = 2 << 20
-#: Runs of one key in a block beyond which the key is hot; so is one from more than ``shared.HOT_BLOCKS`` blocks.
-HOT = 64
+#: Windows of a run at most, and runs of one key in the corpus beyond which the key is hot.
+RUN, HOT = 192, 512
 #: Symbols that are hashed at once, for the CPU's caches, and symbols of a reference shard's index.
 CHUNK, SHARD = 1 << 17, 1 << 16
 #: Bits by which the buckets of passages are finer than those of keys.
 SHARD_BITS = 6
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
-SPANS = "block long, text_hash long, starts array<int>, ends array<int>"
+_INVERSE = np.uint64(pow(int(_ODD), -1, 1 << 64))
+#: ``again``: the spans are those of documents after the first that has the text.
+SPANS = "block long, text_hash long, again boolean, starts array<int>, ends array<int>"
 PACKED = "block long, payload binary"
+#: No document.
+LAST = np.iinfo(np.int64).max
 #: Bytes of text that a task gathers before it sends them on.
 BATCH_BYTES = 16 << 20
-STATE = "block long, doc binary, hash binary, text binary, start binary, run binary, key binary, content binary, size binary, first binary, offset binary, hot binary, symbols binary"
+STATE = "block long, doc binary, next binary, hash binary, text binary, start binary, run binary, key binary, content binary, size binary, first binary, later binary, offset binary, hot binary, symbols binary"
+CITED = "bucket long, block long, run long, key long, content long, doc long, later boolean, symbols binary"
+FOUND = "block long, bucket long, run long, payload binary, first binary"
 
 #: A text's symbols, as they are kept.
 Symbols = Callable[[bytes], np.ndarray]
 #: Kept symbols as scattered uint64s, to be hashed.
 Scatter = Callable[[np.ndarray], np.ndarray]
-#: From passages in order of their keys (key, document, symbols) and the length to the marks of each one's removed windows.
-Resolve = Callable[[list[tuple[int, int, np.ndarray]], int], list[np.ndarray]]
+#: From passages in order of their keys (key, first document, whether later ones have it, symbols) and the length
+#: to the marks of the windows that the first document loses, and whether later documents' copies are found.
+Passage = tuple[int, int, bool, np.ndarray]
+Resolve = Callable[[list[Passage], int], list[tuple[np.ndarray, bool]]]
 
 
 class Alphabet(NamedTuple):
@@ -129,6 +135,11 @@ def runs(texts: list[np.ndarray], length: int, of: Alphabet) -> tuple[np.ndarray
             new = np.r_[True, (keys[1:] != keys[:-1]) | (text[1 : keys.size] != text[: keys.size - 1])]
             start = np.flatnonzero(inside & np.r_[True, new[1:] | ~inside[:-1]])
             stop = np.flatnonzero(inside & np.r_[new[1:] | ~inside[1:], True]) + 1
+            parts = -((start - stop) // RUN)
+            if parts.size and parts.max() > 1:
+                nth = np.arange(int(parts.sum())) - np.repeat(np.cumsum(parts) - parts, parts)
+                start, stop = np.repeat(start, parts) + nth * RUN, np.repeat(stop, parts)
+                stop = np.minimum(stop, start + RUN)
             out.append((text[start] + at, start - offset[text[start]], stop - start, keys[start]))
         at = upto
     if not out:
@@ -136,6 +147,14 @@ def runs(texts: list[np.ndarray], length: int, of: Alphabet) -> tuple[np.ndarray
     return tuple(np.concatenate(c) for c in zip(*out))
 
 
+def contents(x: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Hashes of the pieces of scattered symbols at ``start`` with ``size`` symbols: polynomials, so order counts."""
+    up, down = np.full(x.size + 1, _ODD), np.full(x.size + 1, _INVERSE)
+    up[0] = down[0] = 1
+    sums = np.r_[np.zeros(1, np.uint64), np.cumsum(x * np.cumprod(up)[:-1])]
+    return mix((sums[start + size] - sums[start]) * np.cumprod(down)[start] + size.astype(np.uint64))
+
+
 # blocks
 
 
@@ -208,23 +227,36 @@ def packed(docs: DataFrame, n: int, doc_id: str, text: str) -> DataFrame:
     return dealt(rows.mapInPandas(_packer(n), PACKED), "block")
 
 
-def _read(pdf: pd.DataFrame, of: Alphabet) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """Least documents, hashes and symbols of the texts that have a document."""
+class _Read(NamedTuple):
+    """Texts of a block that have a document: the least one, the next one or LAST, the hash and the symbols."""
+
+    doc: np.ndarray
+    next: np.ndarray
+    hash: np.ndarray
+    texts: list[np.ndarray]
+
+
+def _read(pdf: pd.DataFrame, of: Alphabet) -> _Read:
     texts = [t for t in _unpacked(pdf.payload) if t.docs]
-    doc = np.array([t.docs[0] for t in texts], np.int64)
-    return doc, np.array([t.hash for t in texts], np.uint64).view(np.int64), [of.symbols(t.data) for t in texts]
+    after = [next((d for d in t.docs if d != t.docs[0]), LAST) for t in texts]
+    hashes = np.array([t.hash for t in texts], np.uint64).view(np.int64)
+    return _Read(np.array([t.docs[0] for t in texts], np.int64), np.array(after, np.int64), hashes, [of.symbols(t.data) for t in texts])
 
 
 def _bits(a: np.ndarray) -> bytes:
     return np.packbits(a).tobytes()
 
 
-def _sender(of: Alphabet, length: int, bits: int, hot: int):
+def _unbits(data: bytes, n: int) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(data, np.uint8), count=n).astype(bool)
+
+
+def _sender(of: Alphabet, length: int, bits: int):
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        doc, _, texts = _read(pdf, of)
-        text, _, _, keys = runs(texts, length, of)
-        distinct, many, count = shared.unique_keys(keys, doc[text])
-        return shared.send(key[0], distinct, many, count > hot, bits)
+        own = _read(pdf, of)
+        text, _, _, keys = runs(own.texts, length, of)
+        distinct, many, count = shared.unique_keys(keys, own.doc[text], own.next[text] != LAST)
+        return shared.send(key[0], distinct, many, count, bits)
 
     return run
 
@@ -233,8 +265,8 @@ def _keeper(of: Alphabet, length: int, bits: int):
     """From a block's documents and answers to its row of STATE."""
 
     def run(key: tuple, pdf: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
-        doc, text_hash, texts = _read(pdf, of)
-        text, start, size, keys = runs(texts, length, of)
+        own = _read(pdf, of)
+        text, start, size, keys = runs(own.texts, length, of)
         distinct = np.unique(keys)
         common, hot_keys = shared.received(got, distinct, bits)
         at = np.searchsorted(distinct, keys)
@@ -244,20 +276,21 @@ def _keeper(of: Alphabet, length: int, bits: int):
             return pd.DataFrame(columns=[c.split()[0] for c in STATE.split(", ")])
         content = np.empty(keys.size, np.uint64)
         for t, a, b in _groups(text):
-            whole = np.cumsum(np.r_[np.zeros(1, np.uint64), mix(gram_hashes(of.scatter(texts[t]), length))])
-            content[a:b] = mix(whole[start[a:b] + size[a:b]] - whole[start[a:b]] + size[a:b].astype(np.uint64) * _ODD)
-        order = np.lexsort((doc[text], content, keys))
+            content[a:b] = contents(of.scatter(own.texts[t]), start[a:b], size[a:b] + length - 1)
+        doc = own.doc[text]
+        order = np.lexsort((doc, content, keys))
         k, c = keys[order], content[order]
         new = np.r_[True, (k[1:] != k[:-1]) | (c[1:] != c[:-1])]
         run_of = np.empty(keys.size, np.int64)
         run_of[order] = np.cumsum(new) - 1
         first = order[new]
-        hot = hot_keys[first]
-        offset, symbols = _laid_out(texts, text[first], start[first], size[first] + length - 1)
+        later = np.zeros(first.size, bool)
+        later[run_of[(own.next[text] != LAST) | (doc != doc[first][run_of])]] = True
+        offset, symbols = _laid_out(own.texts, text[first], start[first], size[first] + length - 1)
         used, text = np.unique(text, return_inverse=True)
         row = (
-            key[0], doc[used].tobytes(), text_hash[used].tobytes(), text.astype(np.int32).tobytes(), start.astype(np.int32).tobytes(), run_of.astype(np.int32).tobytes(), keys[first].tobytes(),
-            content[first].tobytes(), size[first].astype(np.int32).tobytes(), text[first].astype(np.int32).tobytes(), offset.tobytes(), hot.tobytes(), symbols.tobytes(),
+            key[0], own.doc[used].tobytes(), own.next[used].tobytes(), own.hash[used].tobytes(), text.astype(np.int32).tobytes(), start.astype(np.int32).tobytes(), run_of.astype(np.int32).tobytes(),
+            keys[first].tobytes(), content[first].tobytes(), size[first].astype(np.int32).tobytes(), text[first].astype(np.int32).tobytes(), later.tobytes(), offset.tobytes(), hot_keys[first].tobytes(), symbols.tobytes(),
         )
         return pd.DataFrame([row], columns=[c.split()[0] for c in STATE.split(", ")])
 
@@ -285,44 +318,67 @@ def _groups(sorted_: np.ndarray) -> Iterator[tuple[int, int, int]]:
         yield sorted_[a], int(a), int(b)
 
 
+class _Items(NamedTuple):
+    """What a block announces, in order: passages of its runs, and of single windows of hot ones."""
+
+    key: np.ndarray
+    content: np.ndarray
+    first: np.ndarray
+    later: np.ndarray
+    #: Runs, or windows of runs counted on from the runs.
+    place: np.ndarray
+    #: The item of each run and window, -1 for none.
+    of: np.ndarray
+
+
 class _Block:
     """A row of STATE, read."""
 
     def __init__(self, row, length: int, of: Alphabet) -> None:
         get = lambda name, kind: np.frombuffer(getattr(row, name), kind)
-        doc, hashes, text = get("doc", np.int64), get("hash", np.int64), get("text", np.int32)
-        self.doc, self.hash, self.start, self.run = doc[text], hashes[text], get("start", np.int32), get("run", np.int32)
+        doc, after, hashes, text = get("doc", np.int64), get("next", np.int64), get("hash", np.int64), get("text", np.int32)
+        self.doc, self.next, self.hash, self.start, self.run = doc[text], after[text], hashes[text], get("start", np.int32), get("run", np.int32)
         self.key, self.content, self.size, self.first = get("key", np.uint64), get("content", np.uint64), get("size", np.int32).astype(np.int64), doc[get("first", np.int32)]
-        self.hot, self.offset, self.symbols = get("hot", bool), get("offset", np.int64), get("symbols", of.dtype)
+        self.later, self.hot, self.offset, self.symbols = get("later", bool), get("hot", bool), get("offset", np.int64), get("symbols", of.dtype)
         self.length, self.scatter = length, of.scatter
 
-    def piece(self, r: int) -> np.ndarray:
-        """The symbols of a run's windows."""
-        return self.symbols[self.offset[r] : self.offset[r] + self.size[r] + self.length - 1]
-
-    def sent(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """``key, content, first`` of what the block sends, in order, and its place among runs and their windows.
-
-        Places are ``run`` for whole runs, and for hot ones those of windows counted on from the runs.
-        """
-        cold = np.flatnonzero(~self.hot)
-        key, content, first, place = [self.key[cold]], [self.content[cold]], [self.first[cold]], [cold]
-        base = np.cumsum(self.size) - self.size + self.size.size
+    def piece(self, place: int) -> np.ndarray:
+        """The symbols of a run's windows, or of a window."""
+        r, n = place, self.size.size
+        if r < n:
+            return self.symbols[self.offset[r] : self.offset[r] + self.size[r] + self.length - 1]
+        ends = np.cumsum(self.size) + n
+        r = int(np.searchsorted(ends, place, "right"))
+        at = self.offset[r] + place - ends[r] + self.size[r]
+        return self.symbols[at : at + self.length]
+
+    def items(self) -> _Items:
+        cold, n = np.flatnonzero(~self.hot), self.size.size
+        key, content, first, later, place = [self.key[cold]], [self.content[cold]], [self.first[cold]], [self.later[cold]], [cold]
+        base = np.cumsum(self.size) - self.size + n
         for r in np.flatnonzero(self.hot):
-            n = int(self.size[r])
-            key.append(gram_hashes(self.scatter(self.piece(r)), self.length))
-            content.append(np.zeros(n, np.uint64))
-            first.append(np.full(n, self.first[r]))
-            place.append(base[r] + np.arange(n))
-        k, c, f, p = map(np.concatenate, (key, content, first, place))
+            size = int(self.size[r])
+            x = self.scatter(self.piece(r))
+            key.append(gram_hashes(x, self.length))
+            content.append(contents(x, np.arange(size), np.full(size, self.length)))
+            first.append(np.full(size, self.first[r]))
+            later.append(np.full(size, self.later[r]))
+            place.append(base[r] + np.arange(size))
+        k, c, f, l, p = map(np.concatenate, (key, content, first, later, place))
         order = np.lexsort((f, c, k))
-        return k[order], c[order], f[order], p[order]
+        k, c, f, l, p = k[order], c[order], f[order], l[order], p[order]
+        new = np.r_[True, (k[1:] != k[:-1]) | (c[1:] != c[:-1])] if k.size else np.zeros(0, bool)
+        item = np.cumsum(new) - 1
+        many = np.zeros(int(new.sum()), bool)
+        many[item[l | (f != f[new][item])]] = True
+        of = np.full(n + int(self.size.sum()), -1)
+        of[p] = item
+        return _Items(k[new], c[new], f[new], many, p[new], of)
 
 
 def _small(a: np.ndarray) -> bytes:
     """Longs in four bytes each and their least, or in eight; the last byte tells."""
-    least = int(a.min())
-    if int(a.max()) - least < 1 << 32:
+    if a.size and int(a.max()) - (least := int(a.min())) < 1 << 32:
         return (a - least).astype(np.uint32).tobytes() + np.int64(least).tobytes() + b"\1"
     return a.tobytes() + b"\0"
 
@@ -334,147 +390,189 @@ def _large(data: bytes, n: int) -> np.ndarray:
 
 
 def _announcer(of: Alphabet, length: int, bits: int):
+    """``block, bucket, payload``: keys, contents, later bits and first documents of a block's items; an int before them."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
             for row in pdf.itertuples():
-                k, c, f, _ = _Block(row, length, of).sent()
-                new = np.r_[True, (k[1:] != k[:-1]) | (c[1:] != c[:-1])] if k.size else np.zeros(0, bool)
-                k, c, f = k[new], c[new], f[new]
-                rows += [(row.block, b, np.concatenate([k[i:j], c[i:j]]).tobytes() + _small(f[i:j])) for b, i, j in shared.slices(k, bits)]
+                x = _Block(row, length, of).items()
+                rows += [(row.block, b, np.int64(j - i).tobytes() + x.key[i:j].tobytes() + x.content[i:j].tobytes() + _bits(x.later[i:j]) + _small(x.first[i:j])) for b, i, j in shared.slices(x.key, bits)]
             yield pd.DataFrame(rows, columns=["block", "bucket", "payload"])
 
     return run
 
 
-def _first_of(pdf: pd.DataFrame) -> pd.DataFrame:
-    """For each (key, content) its first document, and whether other contents have its key."""
-    sizes = [(len(p) - 9) // 20 if p[-1] else (len(p) - 1) // 24 for p in pdf.payload]
-    k = np.concatenate([np.frombuffer(p, np.uint64, n) for p, n in zip(pdf.payload, sizes)])
-    c = np.concatenate([np.frombuffer(p, np.uint64, n, 8 * n) for p, n in zip(pdf.payload, sizes)])
-    f = np.concatenate([_large(p[16 * n :], n) for p, n in zip(pdf.payload, sizes)])
-    order = np.lexsort((f, c, k))
-    k, c, f = k[order], c[order], f[order]
+class _Heard:
+    """A bucket's announcements, one after the other."""
+
+    def __init__(self, payloads: Iterable[bytes]) -> None:
+        payloads = list(payloads)
+        self.sizes = [int(np.frombuffer(p, np.int64, 1)[0]) for p in payloads]
+        both = list(zip(payloads, self.sizes))
+        self.key = np.concatenate([np.frombuffer(p, np.uint64, n, 8) for p, n in both])
+        self.content = np.concatenate([np.frombuffer(p, np.uint64, n, 8 + 8 * n) for p, n in both])
+        self.later = np.concatenate([_unbits(p[8 + 16 * n : 8 + 16 * n + -(-n // 8)], n) for p, n in both])
+        self.first = np.concatenate([_large(p[8 + 16 * n + -(-n // 8) :], n) for p, n in both])
+
+    def slices(self) -> list[tuple[int, int]]:
+        ends = np.cumsum(self.sizes)
+        return [(int(e) - n, int(e)) for e, n in zip(ends, self.sizes)]
+
+
+def _cite(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Two bits for each announced item: whether the block sends its symbols, and whether later documents have it.
+
+    It does if it has the first document, and another document or another passage under the key wants to know.
+    """
+    x = _Heard(pdf.payload)
+    order = np.lexsort((x.first, x.content, x.key))
+    k, c, f = x.key[order], x.content[order], x.first[order]
     new_key = np.r_[True, k[1:] != k[:-1]]
-    new = np.r_[True, new_key[1:] | (c[1:] != c[:-1])]
-    run = np.cumsum(new) - 1
-    first = f[new][run]
+    new = new_key | np.r_[True, c[1:] != c[:-1]]
+    item = np.cumsum(new) - 1
+    first = f[new][item]
+    later = np.zeros(int(new.sum()), bool)
+    later[item[x.later[order] | (f != first)]] = True
     several = np.bincount(np.cumsum(new_key[new]) - 1)[np.cumsum(new_key) - 1] > 1
-    out, bit = np.empty(k.size, np.int64), np.empty(k.size, bool)
-    out[order], bit[order] = first, several
-    ends = np.cumsum(sizes)
-    return pd.DataFrame({"block": pdf.block, "bucket": pdf.bucket, "payload": [_small(out[e - n : e]) + _bits(bit[e - n : e]) for e, n in zip(ends, sizes)]})
-
-
-def _answered(block: _Block, got: pd.DataFrame, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``place, first, several`` for what the block sent."""
-    k, c, _, place = block.sent()
-    new = np.r_[True, (k[1:] != k[:-1]) | (c[1:] != c[:-1])]
-    by = dict(zip(got.bucket, got.payload))
-    slices = shared.slices(k[new], bits)
-    first, several = [], []
-    for b, i, j in slices:
-        tail = -(-(j - i) // 8)
-        first.append(_large(by[b][:-tail], j - i))
-        several.append(np.unpackbits(np.frombuffer(by[b][-tail:], np.uint8), count=j - i))
-    first, several = np.concatenate(first), np.concatenate(several)
-    of = np.cumsum(new) - 1
-    return place, first[of], several[of].astype(bool)
+    out = np.empty((2, k.size), bool)
+    out[:, order] = (f == first) & (several | later[item]), later[item]
+    return pd.DataFrame({"block": pdf.block, "bucket": pdf.bucket, "payload": [_bits(out[0, a:b]) + _bits(out[1, a:b]) for a, b in x.slices()]})
 
 
 def _citer(of: Alphabet, length: int, bits: int):
-    """The passages for which this block has the first document: ``block, run, key, doc, symbols`` by shard."""
+    """The passages that this block is to send: ``bucket, block, run, key, content, doc, later, symbols`` by shard."""
 
     def run(key: tuple, pdf: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
-        rows = []
+        rows, by = [], dict(zip(got.bucket, got.payload))
         for row in pdf.itertuples():
-            b = _Block(row, length, of)
-            place, first, several = _answered(b, got, bits)
-            whole = place < b.size.size
-            for r in place[whole & several & (first == b.first[np.minimum(place, b.size.size - 1)])]:
-                at = int(shared.bucket_of(b.key[r : r + 1], bits + SHARD_BITS)[0])
-                rows.append((at, row.block, int(r), int(b.key[r : r + 1].view(np.int64)[0]), int(b.first[r]), b.piece(r).tobytes()))
-        return pd.DataFrame(rows, columns=["bucket", "block", "run", "key", "doc", "symbols"])
+            block = _Block(row, length, of)
+            x = block.items()
+            for b, i, j in shared.slices(x.key, bits):
+                half = -(-(j - i) // 8)
+                later = _unbits(by[b][half:], j - i)
+                for at in np.flatnonzero(_unbits(by[b][:half], j - i)).tolist():
+                    k, place = i + at, int(x.place[i + at])
+                    shard = int(shared.bucket_of(x.key[k : k + 1], bits + SHARD_BITS)[0])
+                    rows.append((shard, row.block, place, int(x.key[k].view(np.int64)), int(x.content[k].view(np.int64)), int(x.first[k]), bool(later[at]), block.piece(place).tobytes()))
+        return pd.DataFrame(rows, columns=[c.split()[0] for c in CITED.split(", ")])
 
     return run
 
 
-def _related(passages: list[tuple[int, int, np.ndarray]], length: int, of: Alphabet, resolve: Resolve) -> list[np.ndarray]:
-    """A shard's marks. Passages none of whose windows has its hash in another are left out of the index."""
-    sizes = np.array([p.size - length + 1 for _, _, p in passages])
-    joined = gram_hashes(of.scatter(np.concatenate([p for _, _, p in passages])), length)
+def _related(passages: list[Passage], length: int, of: Alphabet, resolve: Resolve) -> list[tuple[np.ndarray, bool]]:
+    """What a shard's index says. Passages of one document none of whose windows has its hash in another stay out of it."""
+    sizes = np.array([p[3].size - length + 1 for p in passages])
+    joined = gram_hashes(of.scatter(np.concatenate([p[3] for p in passages])), length)
     ends = np.cumsum(sizes + length - 1)
     owner = np.repeat(np.arange(sizes.size), sizes)
     place = np.arange(owner.size) + (ends - sizes - length + 1 - np.cumsum(sizes) + sizes)[owner]
     order = np.argsort(joined[place])
     h, o = joined[place][order], owner[order]
     same = np.flatnonzero(h[1:] == h[:-1])
-    inside = np.zeros(sizes.size, bool)
+    inside = np.array([p[2] for p in passages])
     inside[o[same]] = inside[o[same + 1]] = True
-    marks = [np.zeros(n, bool) for n in sizes]
+    said = [(np.zeros(n, bool), False) for n in sizes]
     chosen = np.flatnonzero(inside)
-    if chosen.size > 1:
-        for k, mark in zip(chosen, resolve([passages[k] for k in chosen], length)):
-            marks[k] = mark
-    return marks
+    if chosen.size:
+        for k, answer in zip(chosen, resolve([passages[k] for k in chosen], length)):
+            said[k] = answer
+    return said
 
 
 def _resolver(resolve: Resolve, length: int, of: Alphabet):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["key", "doc", "block", "run"])
-        passages = [(k, d, np.frombuffer(s, of.dtype)) for k, d, s in zip(pdf.key, pdf.doc, pdf.symbols)]
-        marks: list[np.ndarray] = []
+    """Rows of FOUND: marks for the citing blocks, and by bucket (block -1) the passages whose copies are found."""
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["key", "content", "doc", "block", "run"])
+        passages = [(k, d, l, np.frombuffer(s, of.dtype)) for k, d, l, s in zip(pdf.key, pdf.doc, pdf.later, pdf.symbols)]
+        said: list[tuple[np.ndarray, bool]] = []
         at = 0
         while at < len(passages):  # a shard has whole keys
             upto, size = at, 0
             while upto < len(passages) and (size < SHARD or passages[upto][0] == passages[upto - 1][0]):
-                size, upto = size + passages[upto][2].size, upto + 1
-            marks += _related(passages[at:upto], length, of, resolve)
+                size, upto = size + passages[upto][3].size, upto + 1
+            said += _related(passages[at:upto], length, of, resolve)
             at = upto
-        return pd.DataFrame({"block": pdf.block.to_numpy(), "bucket": -1, "run": pdf.run.to_numpy(), "payload": [_bits(m) for m in marks]})
+        rows = [(b, -1, r, _bits(m), b"") for b, r, (m, _) in zip(pdf.block, pdf.run, said) if m.any()]
+        whole = np.array([f for _, f in said])
+        if whole.any():
+            found = np.concatenate([pdf.key.to_numpy(np.int64)[whole], pdf.content.to_numpy(np.int64)[whole]])
+            rows.append((-1, key[0] >> SHARD_BITS, -1, found.tobytes(), pdf.doc.to_numpy(np.int64)[whole].tobytes()))
+        return pd.DataFrame(rows, columns=[c.split()[0] for c in FOUND.split(", ")])
 
     return run
 
 
+def _tell(key: tuple, pdf: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
+    """Rows of FOUND for the blocks: a bit for each announced item that was found, and the first documents of these."""
+    if not len(pdf) or not len(found):
+        return pd.DataFrame(columns=[c.split()[0] for c in FOUND.split(", ")])
+    x = _Heard(pdf.payload)
+    parts = [np.frombuffer(p, np.uint64).reshape(2, -1) for p in found.payload]
+    keys, content = np.concatenate(parts, axis=1)
+    first = np.concatenate([np.frombuffer(f, np.int64) for f in found["first"]])
+    n = keys.size
+    k, c = np.r_[keys, x.key], np.r_[content, x.content]
+    order = np.lexsort((np.arange(k.size) >= n, c, k))  # what is found, then what asks
+    same = np.r_[False, (k[order][1:] == k[order][:-1]) & (c[order][1:] == c[order][:-1])]
+    head = order[np.maximum.accumulate(np.where(same, 0, np.arange(k.size)))]
+    answer = np.empty(k.size, np.int64)
+    answer[order] = head
+    answer = answer[n:]
+    hit = answer < n
+    rows = [(b, key[0], -1, _bits(hit[i:j]), _small(first[answer[i:j][hit[i:j]]])) for b, (i, j) in zip(pdf.block, x.slices()) if hit[i:j].any()]
+    return pd.DataFrame(rows, columns=[c.split()[0] for c in FOUND.split(", ")])
+
+
+def _merged(found: list[tuple[int, int]]) -> tuple[list[int], list[int]]:
+    starts, ends = [], []
+    for x, y in sorted(found):
+        if ends and x <= ends[-1]:
+            ends[-1] = max(ends[-1], y)
+        else:
+            starts.append(x)
+            ends.append(y)
+    return starts, ends
+
+
 def _finisher(of: Alphabet, length: int, bits: int):
-    """From a block, its answers and its passages' marks to the spans of its documents."""
+    """From a block and what was found of it to the spans of its documents."""
 
     def run(key: tuple, pdf: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
         out = []
+        marks, told = got[got.bucket < 0], got[got.bucket >= 0]
+        by = dict(zip(told.bucket, zip(told.payload, told["first"])))
         for row in pdf.itertuples():
             b = _Block(row, length, of)
-            place, first, _ = _answered(b, got[got.bucket >= 0], bits)
-            n = b.size.size
-            of_run, windows = np.full(n, np.iinfo(np.int64).max), np.full(int(b.size.sum()), np.iinfo(np.int64).max)
-            of_run[place[place < n]] = first[place < n]
-            windows[place[place >= n] - n] = first[place >= n]
-            offset = np.cumsum(b.size) - b.size
-            marked = {r: np.unpackbits(np.frombuffer(p, np.uint8), count=int(b.size[r])).astype(bool) for r, p in zip(got.run[got.bucket < 0], got.payload[got.bucket < 0])}
-            spans: dict[tuple[int, int], list[tuple[int, int]]] = {}
-            for d, h, s, r in zip(b.doc.tolist(), b.hash.tolist(), b.start.tolist(), b.run.tolist()):
+            x = b.items()
+            first = np.full(x.key.size + 1, LAST)  # the last is for no item
+            for bucket, i, j in shared.slices(x.key, bits):
+                if bucket in by:
+                    hit = i + np.flatnonzero(_unbits(by[bucket][0], j - i))
+                    first[hit] = _large(by[bucket][1], hit.size)
+            of_place, n = first[x.of], b.size.size
+            offset = np.cumsum(b.size) - b.size + n
+            marked = {int(r): _unbits(p, int(b.size[r])) for r, p in zip(marks.run, marks.payload) if r < n}
+            spans: dict[tuple[int, bool], list[tuple[int, int]]] = {}
+            for d, after, h, s, r in zip(b.doc.tolist(), b.next.tolist(), b.hash.tolist(), b.start.tolist(), b.run.tolist()):
                 size = int(b.size[r])
-                if b.hot[r]:
-                    hit = windows[offset[r] : offset[r] + size] < d
-                elif of_run[r] < d:
-                    spans.setdefault((d, h), []).append((s, s + size + length - 1))
-                    continue
-                elif r in marked and of_run[r] == d:
-                    hit = marked[r]
-                else:
-                    continue
-                edge = np.flatnonzero(np.diff(np.r_[0, hit.view(np.int8), 0]))
-                spans.setdefault((d, h), []).extend((s + int(x), s + int(y) + length - 1) for x, y in zip(edge[::2], edge[1::2]))
-            for (d, h), found in spans.items():
-                starts, ends = [], []
-                for x, y in sorted(found):
-                    if ends and x <= ends[-1]:
-                        ends[-1] = max(ends[-1], y)
+                for again, doc in ((False, d), (True, after)):
+                    if again and after == LAST:
+                        continue
+                    if b.hot[r]:
+                        hit = of_place[offset[r] : offset[r] + size] < doc
+                    elif of_place[r] < doc:
+                        spans.setdefault((h, again), []).append((s, s + size + length - 1))
+                        continue
+                    elif r in marked and doc == b.first[r]:
+                        hit = marked[r]
                     else:
-                        starts.append(x)
-                        ends.append(y)
-                if starts:
-                    out.append((row.block, h, starts, ends))
-        return pd.DataFrame(out, columns=["block", "text_hash", "starts", "ends"])
+                        continue
+                    edge = np.flatnonzero(np.diff(np.r_[0, hit.view(np.int8), 0]))
+                    spans.setdefault((h, again), []).extend((s + int(x), s + int(y) + length - 1) for x, y in zip(edge[::2], edge[1::2]))
+            out += [(row.block, h, again, *_merged(found)) for (h, again), found in spans.items() if found]
+        return pd.DataFrame(out, columns=[c.split()[0] for c in SPANS.split(", ")])
 
     return run
 
@@ -486,16 +584,17 @@ def _plan(docs: DataFrame, of: Alphabet, length: int, text: str) -> tuple[int, i
 
 
 def _spans(rows: DataFrame, bits: int, of: Alphabet, resolve: Resolve, length: int) -> DataFrame:
-    """Rows of SPANS of the texts' least documents, from rows of PACKED."""
-    answers = shared.meet(rows.groupBy("block").applyInPandas(_sender(of, length, bits, HOT), shared.SENT))
+    """Rows of SPANS, from rows of PACKED."""
+    answers = shared.meet(rows.groupBy("block").applyInPandas(_sender(of, length, bits), shared.SENT), HOT)
     state = written(rows.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(_keeper(of, length, bits), STATE), "runs")
 
     schema = "block long, bucket long, payload binary"
-    firsts = written(dealt(state.mapInPandas(_announcer(of, length, bits), schema), "bucket").groupBy("bucket").applyInPandas(_first_of, schema), "firsts")
+    heard = dealt(state.mapInPandas(_announcer(of, length, bits), schema), "bucket").groupBy("bucket")
     by_block = dealt(state, "block").groupBy("block")
-    cited = by_block.cogroup(firsts.groupBy("block")).applyInPandas(_citer(of, length, bits), "bucket long, block long, run long, key long, doc long, symbols binary")
-    marks = dealt(cited, "bucket").groupBy("bucket").applyInPandas(_resolver(resolve, length, of), "block long, bucket long, run long, payload binary")
-    both = firsts.withColumn("run", F.lit(0).cast("long")).unionByName(marks)
+    cited = by_block.cogroup(heard.applyInPandas(_cite, schema).groupBy("block")).applyInPandas(_citer(of, length, bits), CITED)
+    found = written(dealt(cited, "bucket").groupBy("bucket").applyInPandas(_resolver(resolve, length, of), FOUND), "found")
+    told = heard.cogroup(found.where("block < 0").groupBy("bucket")).applyInPandas(_tell, FOUND)
+    both = found.where("block >= 0").unionByName(told)
     return by_block.cogroup(both.groupBy("block")).applyInPandas(_finisher(of, length, bits), SPANS)
 
 
@@ -506,15 +605,13 @@ def digests(docs: DataFrame, of: Alphabet, resolve: Resolve, length: int, digest
     names = ["doc_id", *(c.split()[0] for c in schema.split(", "))]
 
     def run(key: tuple, pdf: pd.DataFrame, spans: pd.DataFrame) -> pd.DataFrame:
-        found = {h: (list(s), list(e)) for h, s, e in zip(spans.text_hash.tolist(), spans.starts, spans.ends)}
+        found = {(h, again): (list(s), list(e)) for h, again, s, e in zip(spans.text_hash.tolist(), spans.again.tolist(), spans.starts, spans.ends)}
         out = []
         for t in _unpacked(pdf.payload):
             signed = t.hash - (t.hash >> 63 << 64)
             whole = digest(t.data, [], []) if t.unknown else ()
-            first = digest(t.data, *found.get(signed, ([], []))) if t.docs else ()
-            size = of.symbols(t.data).size if t.docs and t.docs[-1] != t.docs[0] else 0
-            again = digest(t.data, *(([0], [size]) if size >= length else ([], []))) if size or t.docs and t.docs[-1] != t.docs[0] else ()
-            out += [(None, *whole)] * t.unknown + [(d, *(first if d == t.docs[0] else again)) for d in t.docs]
+            own = [digest(t.data, *found.get((signed, again), ([], []))) for again in (False, True)[: len(set(t.docs[:1] + t.docs[-1:]))]]
+            out += [(None, *whole)] * t.unknown + [(d, *own[d != t.docs[0]]) for d in t.docs]
         done = pd.DataFrame(out, columns=names)
         return done.assign(doc_id=pd.array(done.doc_id, dtype="Int64"))
 
@@ -522,17 +619,13 @@ def digests(docs: DataFrame, of: Alphabet, resolve: Resolve, length: int, digest
     return rows.groupBy("block").cogroup(spans.groupBy("block")).applyInPandas(run, f"doc_id long, {schema}")
 
 
-def with_spans(docs: DataFrame, of: Alphabet, resolve: Resolve, length: int, use: Callable[[Column, Column, Column, Column], Column], doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The frame with ``use(text, starts, ends, again)`` as its text.
-
-    ``starts`` and ``ends`` are null where nothing is removed; ``again`` says that an earlier document has the whole text.
-    """
+def with_spans(docs: DataFrame, of: Alphabet, resolve: Resolve, length: int, use: Callable[[Column, Column, Column], Column], doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The frame with ``use(text, starts, ends)`` as its text; ``starts`` and ``ends`` are null where nothing is removed."""
     n, bits = _plan(docs, of, length, text)
     spans = _spans(packed(docs, n, doc_id, text), bits, of, resolve, length)
-    hashed, starts, ends, first, of_first = (fresh(docs, c) for c in ("text_hash", "span_starts", "span_ends", "first_doc", "first_text"))
+    hashed, starts, ends, first, of_first, again = (fresh(docs, c) for c in ("text_hash", "span_starts", "span_ends", "first_doc", "first_text", "again"))
     keyed = docs.withColumn(hashed, F.when(F.col(doc_id).isNotNull(), F.xxhash64(text)))
     least = keyed.where(F.col(hashed).isNotNull()).groupBy(F.col(hashed).alias(of_first)).agg(F.min(doc_id).alias(first))
-    found = least.join(spans.select(F.col("text_hash").alias(of_first), F.col("starts").alias(starts), F.col("ends").alias(ends)), of_first, "left")
-    joined = keyed.join(found, F.col(hashed) == F.col(of_first), "left")
-    again = F.coalesce(F.col(doc_id) > F.col(first), F.lit(False))
-    return joined.withColumn(text, use(F.col(text), F.col(starts), F.col(ends), again)).select(*docs.columns)
+    found = least.join(spans.select(F.col("text_hash").alias(of_first), F.col("again").alias(again), F.col("starts").alias(starts), F.col("ends").alias(ends)), of_first)
+    mine = (F.col(hashed) == F.col(of_first)) & ((F.col(doc_id) > F.col(first)) == F.col(again))
+    return keyed.join(found, mine, "left").withColumn(text, use(F.col(text), F.col(starts), F.col(ends))).select(*docs.columns)

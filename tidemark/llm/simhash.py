@@ -33,6 +33,7 @@ from tidemark.llm.graph import components
 WORDS, SEED, RADIUS = 4, 42, 4
 #: Fingerprints in a block of the two passes.
 COARSE_BLOCK, FINE_BLOCK = 1 << 12, 1 << 9
+NEVER_HOT = 1 << 62
 
 _BITS = np.uint64(1) << np.arange(64, dtype=np.uint64)
 #: All differences of up to RADIUS / 2 bits.
@@ -93,8 +94,8 @@ def _sender(keys_of, bits: int):
         fps = np.sort(_near(pdf))
         keys = keys_of(fps)
         owners = np.repeat(np.arange(fps.size), keys.shape[1])
-        distinct, many, _ = shared.unique_keys(keys.ravel(), owners)
-        return shared.send(key[0], distinct, many, np.zeros(distinct.size, bool), bits)
+        distinct, many, count = shared.unique_keys(keys.ravel(), owners)
+        return shared.send(key[0], distinct, many, count, bits)
 
     return run
 
@@ -116,7 +117,7 @@ def links(fps: DataFrame) -> DataFrame:
 
     n, bits = blocks_for(total, COARSE_BLOCK), shared.bucket_bits(total * MASKS.size)
     rows = _in_blocks(fps, n)
-    answers = shared.meet(rows.groupBy("block").applyInPandas(_sender(_coarse, bits), shared.SENT))
+    answers = shared.meet(rows.groupBy("block").applyInPandas(_sender(_coarse, bits), shared.SENT), NEVER_HOT)
 
     def survive(key: tuple, pdf: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
         own = np.sort(_near(pdf))
@@ -130,7 +131,7 @@ def links(fps: DataFrame) -> DataFrame:
     total = left.count()
     n, fine_bits = blocks_for(total, FINE_BLOCK), shared.bucket_bits(total * BALL.size)
     rows = _in_blocks(left, n)
-    answers = shared.meet(rows.groupBy("block").applyInPandas(_sender(_fine, fine_bits), shared.SENT))
+    answers = shared.meet(rows.groupBy("block").applyInPandas(_sender(_fine, fine_bits), shared.SENT), NEVER_HOT)
 
     def emit(key: tuple, pdf: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
         own = np.sort(_near(pdf))

@@ -114,13 +114,19 @@ def maximal_repeats(strings: list[np.ndarray], least: int) -> Iterator[tuple[int
             yield length, string[at], at - begin[string[at]]
 
 
-def resolve(passages: list[tuple[int, int, np.ndarray]], length: int) -> list[np.ndarray]:
-    """The marks of each passage's windows that an earlier document's passage has too."""
-    docs = np.array([d for _, d, _ in passages], np.int64)
-    sizes = np.array([p.size for _, _, p in passages])
+def resolve(passages: list[repeats.Passage], length: int) -> list[tuple[np.ndarray, bool]]:
+    """For each passage the windows that an earlier document's passage has too; and whether a later copy of it is in groups throughout.
+
+    A passage that later documents have is in the array twice, the second time for all of these.
+    """
+    _, rank = np.unique([p[1] for p in passages], return_inverse=True)
+    twice = np.flatnonzero([p[2] for p in passages])
+    docs = np.r_[2 * rank, 2 * rank[twice] + 1]
+    strings = [p[3] for p in passages] + [passages[k][3] for k in twice]
+    sizes = np.array([s.size for s in strings])
     offset = np.cumsum(sizes + 1) - sizes - 1
     edge = np.zeros(int((sizes + 1).sum()) + 1, np.int64)
-    for repeat, string, place in maximal_repeats([p for _, _, p in passages], length):
+    for repeat, string, place in maximal_repeats(strings, length):
         of = docs[string]
         later = of > of.min()
         if later.any():
@@ -128,7 +134,10 @@ def resolve(passages: list[tuple[int, int, np.ndarray]], length: int) -> list[np
             np.add.at(edge, at, 1)
             np.add.at(edge, at + repeat - length + 1, -1)
     marked = np.cumsum(edge) > 0
-    return [marked[o : o + n - length + 1] for o, n in zip(offset, sizes)]
+    marks = [marked[o : o + n - length + 1] for o, n in zip(offset, sizes)]
+    found = np.zeros(len(passages), bool)
+    found[twice] = [m.all() for m in marks[len(passages) :]]
+    return list(zip(marks, found.tolist()))
 
 
 def _keep(data: bytes, starts, ends) -> bytes:
@@ -145,15 +154,11 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", le
     def run(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
         for batch in batches:
             out = []
-            for x, starts, ends, again in zip(*batch):
-                if again and len(x.encode()) >= length:
-                    x = ""
-                elif not again and starts is not None:
-                    x = _keep(x.encode(), starts, ends).decode(errors="ignore")
-                out.append(x)
+            for x, starts, ends in zip(*batch):
+                out.append(x if starts is None else _keep(x.encode(), starts, ends).decode(errors="ignore"))
             yield pd.Series(out, dtype=object)
 
-    run.__annotations__ = {"batches": Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]], "return": Iterator[pd.Series]}
+    run.__annotations__ = {"batches": Iterator[tuple[pd.Series, pd.Series, pd.Series]], "return": Iterator[pd.Series]}
     return repeats.with_spans(docs, BYTES, resolve, length, F.pandas_udf(run, "string"), doc_id, text)
 
 
