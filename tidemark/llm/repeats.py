@@ -47,7 +47,7 @@ RUN, HOT = 192, 512
 #: Symbols that are hashed at once, for the CPU's caches, and symbols of a reference shard's index.
 CHUNK, SHARD = 1 << 17, 1 << 16
 #: Bits by which the buckets of passages are finer than those of keys.
-SHARD_BITS = 6
+SHARD_BITS = 2
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_ODD), -1, 1 << 64))
@@ -59,7 +59,7 @@ LAST = np.iinfo(np.int64).max
 #: Bytes of text that a task gathers before it sends them on.
 BATCH_BYTES = 16 << 20
 STATE = "block long, doc binary, next binary, hash binary, text binary, start binary, run binary, key binary, content binary, size binary, first binary, later binary, offset binary, hot binary, symbols binary"
-CITED = "bucket long, block long, run long, key long, content long, doc long, later boolean, symbols binary"
+CITED = "bucket long, block long, payload binary"
 FOUND = "block long, bucket long, run long, payload binary, first binary"
 
 #: A text's symbols, as they are kept.
@@ -337,20 +337,24 @@ class _Block:
     def __init__(self, row, length: int, of: Alphabet) -> None:
         get = lambda name, kind: np.frombuffer(getattr(row, name), kind)
         doc, after, hashes, text = get("doc", np.int64), get("next", np.int64), get("hash", np.int64), get("text", np.int32)
-        self.doc, self.next, self.hash, self.start, self.run = doc[text], after[text], hashes[text], get("start", np.int32), get("run", np.int32)
+        self.text, self.hashes, self.doc, self.next, self.start, self.run = text, hashes, doc[text], after[text], get("start", np.int32).astype(np.int64), get("run", np.int32)
         self.key, self.content, self.size, self.first = get("key", np.uint64), get("content", np.uint64), get("size", np.int32).astype(np.int64), doc[get("first", np.int32)]
         self.later, self.hot, self.offset, self.symbols = get("later", bool), get("hot", bool), get("offset", np.int64), get("symbols", of.dtype)
         self.length, self.scatter = length, of.scatter
 
-    def piece(self, place: int) -> np.ndarray:
-        """The symbols of a run's windows, or of a window."""
-        r, n = place, self.size.size
-        if r < n:
-            return self.symbols[self.offset[r] : self.offset[r] + self.size[r] + self.length - 1]
+    def piece(self, r: int) -> np.ndarray:
+        """The symbols of a run's windows."""
+        return self.symbols[self.offset[r] : self.offset[r] + self.size[r] + self.length - 1]
+
+    def pieces(self, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The symbols of runs and windows one after the other, and how many each has."""
+        n = self.size.size
         ends = np.cumsum(self.size) + n
-        r = int(np.searchsorted(ends, place, "right"))
-        at = self.offset[r] + place - ends[r] + self.size[r]
-        return self.symbols[at : at + self.length]
+        window = place >= n
+        r = np.where(window, np.searchsorted(ends, place, "right"), place)
+        start = self.offset[r] + np.where(window, place - ends[r] + self.size[r], 0)
+        size = np.where(window, 1, self.size[r]) + self.length - 1
+        return self.symbols[np.repeat(start - np.cumsum(size) + size, size) + np.arange(int(size.sum()))], size
 
     def items(self) -> _Items:
         cold, n = np.flatnonzero(~self.hot), self.size.size
@@ -441,25 +445,56 @@ def _cite(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def _citer(of: Alphabet, length: int, bits: int):
-    """The passages that this block is to send: ``bucket, block, run, key, content, doc, later, symbols`` by shard."""
+    """The passages that this block is to send, packed by shard: places, sizes, keys, contents, documents, later bits, symbols."""
 
     def run(key: tuple, pdf: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
         rows, by = [], dict(zip(got.bucket, got.payload))
         for row in pdf.itertuples():
             block = _Block(row, length, of)
             x = block.items()
+            cited, later = np.zeros(x.key.size, bool), np.zeros(x.key.size, bool)
             for b, i, j in shared.slices(x.key, bits):
                 half = -(-(j - i) // 8)
-                later = _unbits(by[b][half:], j - i)
-                for at in np.flatnonzero(_unbits(by[b][:half], j - i)).tolist():
-                    k, place = i + at, int(x.place[i + at])
-                    shard = int(shared.bucket_of(x.key[k : k + 1], bits + SHARD_BITS)[0])
-                    rows.append((shard, row.block, place, int(x.key[k].view(np.int64)), int(x.content[k].view(np.int64)), int(x.first[k]), bool(later[at]), block.piece(place).tobytes()))
+                cited[i:j], later[i:j] = _unbits(by[b][:half], j - i), _unbits(by[b][half:], j - i)
+            at = np.flatnonzero(cited)
+            for b, i, j in shared.slices(x.key[at], bits + SHARD_BITS):
+                k = at[i:j]
+                symbols, size = block.pieces(x.place[k])
+                parts = (np.int64([k.size]), x.place[k].astype(np.int32), size.astype(np.int32), x.key[k], x.content[k], x.first[k])
+                rows.append((b, row.block, b"".join(p.tobytes() for p in parts) + _bits(later[k]) + symbols.tobytes()))
         return pd.DataFrame(rows, columns=[c.split()[0] for c in CITED.split(", ")])
 
     return run
 
 
+class _Cited(NamedTuple):
+    """Passages of a bucket in order of their keys."""
+
+    block: np.ndarray
+    place: np.ndarray
+    size: np.ndarray
+    key: np.ndarray
+    content: np.ndarray
+    doc: np.ndarray
+    later: np.ndarray
+    symbols: list[np.ndarray]
+
+
+def _gathered(pdf: pd.DataFrame, of: Alphabet) -> _Cited:
+    columns: list[tuple] = []
+    symbols: list[np.ndarray] = []
+    for block, p in zip(pdf.block, pdf.payload):
+        n = int(np.frombuffer(p, np.int64, 1)[0])
+        place, size = np.frombuffer(p, np.int32, n, 8), np.frombuffer(p, np.int32, n, 8 + 4 * n)
+        key, content, doc = (np.frombuffer(p, t, n, 8 + (8 + 8 * k) * n) for k, t in enumerate((np.uint64, np.uint64, np.int64)))
+        at = 8 + 32 * n + -(-n // 8)
+        columns.append((np.full(n, block, np.int64), place, size, key, content, doc, _unbits(p[8 + 32 * n : at], n)))
+        symbols += np.split(np.frombuffer(p[at:], of.dtype), np.cumsum(size)[:-1])
+    block, place, size, key, content, doc, later = map(np.concatenate, zip(*columns))
+    order = np.lexsort((place, block, doc, content, key))
+    return _Cited(block[order], place[order], size[order], key[order], content[order], doc[order], later[order], [symbols[k] for k in order.tolist()])
+
+
 def _related(passages: list[Passage], length: int, of: Alphabet, resolve: Resolve) -> list[tuple[np.ndarray, bool]]:
     """What a shard's index says. Passages of one document none of whose windows has its hash in another stay out of it."""
     sizes = np.array([p[3].size - length + 1 for p in passages])
@@ -484,21 +519,20 @@ def _resolver(resolve: Resolve, length: int, of: Alphabet):
     """Rows of FOUND: marks for the citing blocks, and by bucket (block -1) the passages whose copies are found."""
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["key", "content", "doc", "block", "run"])
-        passages = [(k, d, l, np.frombuffer(s, of.dtype)) for k, d, l, s in zip(pdf.key, pdf.doc, pdf.later, pdf.symbols)]
+        x = _gathered(pdf, of)
+        passages = list(zip(x.key.tolist(), x.doc.tolist(), x.later.tolist(), x.symbols))
+        starts = np.flatnonzero(np.r_[True, x.key[1:] != x.key[:-1]])
+        upto = np.cumsum(np.add.reduceat(x.size, starts))
         said: list[tuple[np.ndarray, bool]] = []
         at = 0
-        while at < len(passages):  # a shard has whole keys
-            upto, size = at, 0
-            while upto < len(passages) and (size < SHARD or passages[upto][0] == passages[upto - 1][0]):
-                size, upto = size + passages[upto][3].size, upto + 1
-            said += _related(passages[at:upto], length, of, resolve)
-            at = upto
-        rows = [(b, -1, r, _bits(m), b"") for b, r, (m, _) in zip(pdf.block, pdf.run, said) if m.any()]
+        while at < starts.size:  # a shard has whole keys
+            end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + SHARD, "right")))
+            said += _related(passages[starts[at] : starts[end] if end < starts.size else len(passages)], length, of, resolve)
+            at = end
+        rows = [(b, -1, r, _bits(m), b"") for b, r, (m, _) in zip(x.block.tolist(), x.place.tolist(), said) if m.any()]
         whole = np.array([f for _, f in said])
         if whole.any():
-            found = np.concatenate([pdf.key.to_numpy(np.int64)[whole], pdf.content.to_numpy(np.int64)[whole]])
-            rows.append((-1, key[0] >> SHARD_BITS, -1, found.tobytes(), pdf.doc.to_numpy(np.int64)[whole].tobytes()))
+            rows.append((-1, key[0] >> SHARD_BITS, -1, np.concatenate([x.key[whole], x.content[whole]]).tobytes(), x.doc[whole].tobytes()))
         return pd.DataFrame(rows, columns=[c.split()[0] for c in FOUND.split(", ")])
 
     return run
@@ -525,22 +559,11 @@ def _tell(key: tuple, pdf: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=[c.split()[0] for c in FOUND.split(", ")])
 
 
-def _merged(found: list[tuple[int, int]]) -> tuple[list[int], list[int]]:
-    starts, ends = [], []
-    for x, y in sorted(found):
-        if ends and x <= ends[-1]:
-            ends[-1] = max(ends[-1], y)
-        else:
-            starts.append(x)
-            ends.append(y)
-    return starts, ends
-
-
 def _finisher(of: Alphabet, length: int, bits: int):
     """From a block and what was found of it to the spans of its documents."""
 
     def run(key: tuple, pdf: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
-        out = []
+        out: list[tuple] = []
         marks, told = got[got.bucket < 0], got[got.bucket >= 0]
         by = dict(zip(told.bucket, zip(told.payload, told["first"])))
         for row in pdf.itertuples():
@@ -554,24 +577,26 @@ def _finisher(of: Alphabet, length: int, bits: int):
             of_place, n = first[x.of], b.size.size
             offset = np.cumsum(b.size) - b.size + n
             marked = {int(r): _unbits(p, int(b.size[r])) for r, p in zip(marks.run, marks.payload) if r < n}
-            spans: dict[tuple[int, bool], list[tuple[int, int]]] = {}
-            for d, after, h, s, r in zip(b.doc.tolist(), b.next.tolist(), b.hash.tolist(), b.start.tolist(), b.run.tolist()):
-                size = int(b.size[r])
-                for again, doc in ((False, d), (True, after)):
-                    if again and after == LAST:
-                        continue
-                    if b.hot[r]:
-                        hit = of_place[offset[r] : offset[r] + size] < doc
-                    elif of_place[r] < doc:
-                        spans.setdefault((h, again), []).append((s, s + size + length - 1))
-                        continue
-                    elif r in marked and doc == b.first[r]:
-                        hit = marked[r]
-                    else:
-                        continue
+            has_marks = np.zeros(n, bool)
+            has_marks[list(marked)] = True
+            for again in (False, True):
+                doc = b.next if again else b.doc
+                asked = doc != LAST
+                whole = asked & ~b.hot[b.run] & (of_place[b.run] < doc)
+                text, start, end = [b.text[whole]], [b.start[whole]], [b.start[whole] + b.size[b.run[whole]] + length - 1]
+                for k in np.flatnonzero(asked & ~whole & (b.hot[b.run] | has_marks[b.run] & (doc == b.first[b.run]))).tolist():
+                    r, s = int(b.run[k]), int(b.start[k])
+                    hit = of_place[offset[r] : offset[r] + b.size[r]] < doc[k] if b.hot[r] else marked[r]
                     edge = np.flatnonzero(np.diff(np.r_[0, hit.view(np.int8), 0]))
-                    spans.setdefault((h, again), []).extend((s + int(x), s + int(y) + length - 1) for x, y in zip(edge[::2], edge[1::2]))
-            out += [(row.block, h, again, *_merged(found)) for (h, again), found in spans.items() if found]
+                    text.append(np.full(edge.size // 2, b.text[k]))
+                    start.append(s + edge[::2])
+                    end.append(s + edge[1::2] + length - 1)
+                t, s, e = map(np.concatenate, (text, start, end))
+                order = np.lexsort((s, t))  # a later start has a later end: windows in a row have one run
+                t, s, e = t[order], s[order], e[order]
+                new = np.r_[True, (t[1:] != t[:-1]) | (s[1:] > e[:-1])] if t.size else np.zeros(0, bool)
+                starts, ends = s[new], e[np.r_[new[1:], True]] if t.size else e
+                out += [(row.block, int(b.hashes[u]), again, starts[i:j], ends[i:j]) for u, i, j in _groups(t[new])]
         return pd.DataFrame(out, columns=[c.split()[0] for c in SPANS.split(", ")])
 
     return run

@@ -35,47 +35,57 @@ def symbols(text: bytes) -> np.ndarray:
 BYTES = repeats.Alphabet(symbols, lambda x: _OF_BYTE[x], np.uint8, 1, 24)
 
 
-def suffix_array(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Suffixes in order, and the common prefix of each with the one before (0 for the first).
-
-    ``codes`` are small numbers from 0 on; the last must be unlike all others.
+def _ranks(joined: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """Numbers that tell apart the strings of ``n`` symbols at ``at``. Hashes put equal ones side by side; symbols are compared."""
+    h = repeats.contents(mix(joined.astype(np.uint64) + np.uint64(1)), at, np.full(at.size, n))
+    order = np.argsort(h)
+    new = np.r_[True, h[order[1:]] != h[order[:-1]]]
+    rows = np.lib.stride_tricks.sliding_window_view(joined, n)[at[order]]
+    if (rows[1:][~new[1:]] != rows[:-1][~new[1:]]).any():  # two strings of one hash
+        return np.unique(rows, axis=0, return_inverse=True)[1].reshape(-1)[np.argsort(order)]
+    out = np.empty(at.size, np.int64)
+    out[order] = np.cumsum(new) - 1
+    return out
+
+
+def suffix_array(codes: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Suffixes in order, and the common prefix of each with the one before (0 for the first), by doubling.
+
+    ``left`` says how many codes there are up to the end of the string, the own one included; a suffix ends there.
     """
-    n = codes.size
-    width = int(codes.max()).bit_length() + 1
-    step = max(1, 62 // width)  # so many symbols fit in one number
-    padded = np.r_[codes + 1, np.zeros(step, np.int64)]
-    key = padded[:n].copy()
-    for i in range(1, step):
-        key <<= width
-        key += padded[i : n + i]
-    levels: list[tuple[int, np.ndarray]] = []
+    n, step = codes.size, 1
+    _, rank = np.unique(codes, return_inverse=True)
+    levels = [rank]
     while True:
-        order = np.argsort(key)
+        key = rank * (n + 1)
+        inside = np.flatnonzero(left > step)
+        key[inside] += rank[inside + step] + 1
+        order = np.argsort(key, kind="stable")
         k = key[order]
-        rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(np.r_[0, k[1:] != k[:-1]])
-        levels.append((step, rank))
-        if rank[order[-1]] == n - 1:
+        finer = np.empty(n, np.int64)
+        finer[order] = np.cumsum(np.r_[0, k[1:] != k[:-1]])
+        if finer[order[-1]] == rank.max():  # no class was split: equal ranks are equal suffixes
             break
-        key = rank * (n + 1)
-        key[: n - step] += rank[step:] + 1
-        step *= 2
+        rank, step = finer, 2 * step
+        levels.append(rank)
     a, b = order[:-1].copy(), order[1:].copy()
-    common = np.zeros(n - 1, np.int64)
-    for size, r in [*reversed(levels), *[(1, codes)] * (levels[0][0] - 1)]:
-        same = (a + size <= n) & (b + size <= n)
-        same[same] = r[a[same]] == r[b[same]]
-        common[same] += size
-        a[same] += size
-        b[same] += size
-        a[a >= n], b[b >= n] = n - 1, n - 1
+    common = np.where(rank[a] == rank[b], left[a], 0)
+    open_ = np.flatnonzero(common == 0)
+    for k in range(len(levels) - 2, -1, -1):
+        x, y = a[open_], b[open_]
+        same = levels[k][x] == levels[k][y]  # of unequal suffixes, so neither has ended
+        hit, size = open_[same], 1 << k
+        common[hit] += size
+        a[hit] += size
+        b[hit] += size
+        ended = (common[hit] >= left[order[:-1][hit]]) | (common[hit] >= left[order[1:][hit]])
+        open_ = np.setdiff1d(open_, hit[ended], assume_unique=True)
     return order, np.r_[0, common]
 
 
-def intervals(common: np.ndarray, least: int) -> Iterator[tuple[int, int, int]]:
-    """``(prefix, from, to)`` of the common-prefix intervals of ``least`` or more, children before parents."""
+def intervals(common: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """``(prefix, from, to)`` of the common-prefix intervals of the neighbours ``at``, children before parents."""
     stack: list[tuple[int, int]] = []
-    at = np.flatnonzero(common >= least)
     previous = -2
     for i in at.tolist() + [common.size + 1]:
         if i != previous + 1:  # a gap closes everything
@@ -94,24 +104,30 @@ def intervals(common: np.ndarray, least: int) -> Iterator[tuple[int, int, int]]:
 
 
 def maximal_repeats(strings: list[np.ndarray], least: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """``(length, string, place)`` of each maximal repeat of ``least`` symbols or more, with all occurrences."""
+    """``(length, string, place)`` of each maximal repeat of ``least`` symbols or more, with all occurrences.
+
+    Shorter repeats don't count, so the array is one of strings of ``least``-symbol windows, each window a code.
+    """
     sizes = np.array([s.size for s in strings])
-    alphabet, inner = np.unique(np.concatenate(strings), return_inverse=True)
-    codes = np.empty(int(sizes.sum()) + sizes.size, np.int64)
-    ends = np.cumsum(sizes + 1) - 1
-    inside = np.ones(codes.size, bool)
-    inside[ends] = False
-    codes[inside] = inner
-    codes[ends] = alphabet.size + np.arange(sizes.size)  # separators, all different
-    order, common = suffix_array(codes)
-    string = np.repeat(np.arange(sizes.size), sizes + 1)
-    begin = ends - sizes
-    left = np.where(order == begin[string[order]], -1 - order, codes[order - 1])  # the start of a string is unlike all others
-    changes = np.cumsum(np.r_[0, left[1:] != left[:-1]])
-    for length, a, b in intervals(common, least):
+    windows = np.maximum(sizes - least + 1, 0)
+    total = int(windows.sum())
+    if not total:
+        return
+    string = np.repeat(np.arange(sizes.size), windows)
+    place = np.arange(total) - (np.cumsum(windows) - windows)[string]
+    joined = np.concatenate(strings)
+    at = (np.cumsum(sizes) - sizes)[string] + place
+    order, common = suffix_array(_ranks(joined, at, least), windows[string] - place)
+    before = np.where(place == 0, -1 - np.arange(total), joined[at - 1].astype(np.int64))[order]  # the start of a string is unlike all others
+    turns = np.r_[False, before[1:] != before[:-1]]
+    changes = np.cumsum(turns)
+    alike = np.flatnonzero(common)
+    # neighbours in a row with one symbol to the left of all have no maximal repeat
+    row = np.cumsum(np.r_[True, alike[1:] != alike[:-1] + 1]) - 1 if alike.size else alike
+    diverse = np.bincount(row, weights=turns[alike]) > 0 if alike.size else alike.astype(bool)
+    for depth, a, b in intervals(common, alike[diverse[row]]):
         if changes[b - 1] != changes[a]:
-            at = order[a:b]
-            yield length, string[at], at - begin[string[at]]
+            yield depth + least - 1, string[order[a:b]], place[order[a:b]]
 
 
 def resolve(passages: list[repeats.Passage], length: int) -> list[tuple[np.ndarray, bool]]:
@@ -126,15 +142,17 @@ def resolve(passages: list[repeats.Passage], length: int) -> list[tuple[np.ndarr
     sizes = np.array([s.size for s in strings])
     offset = np.cumsum(sizes + 1) - sizes - 1
     edge = np.zeros(int((sizes + 1).sum()) + 1, np.int64)
-    for repeat, string, place in maximal_repeats(strings, length):
+    if groups := list(maximal_repeats(strings, length)):
+        repeat, string, place = zip(*groups)
+        counts = np.array([x.size for x in string])
+        string, place, repeat = np.concatenate(string), np.concatenate(place), np.repeat(repeat, counts)
         of = docs[string]
-        later = of > of.min()
-        if later.any():
-            at = offset[string[later]] + place[later]
-            np.add.at(edge, at, 1)
-            np.add.at(edge, at + repeat - length + 1, -1)
+        later = of > np.repeat(np.minimum.reduceat(of, np.cumsum(counts) - counts), counts)
+        at = (offset[string] + place)[later]
+        np.add.at(edge, at, 1)
+        np.add.at(edge, at + repeat[later] - length + 1, -1)
     marked = np.cumsum(edge) > 0
-    marks = [marked[o : o + n - length + 1] for o, n in zip(offset, sizes)]
+    marks = [marked[o : o + n - length + 1] for o, n in zip(offset.tolist(), sizes.tolist())]
     found = np.zeros(len(passages), bool)
     found[twice] = [m.all() for m in marks[len(passages) :]]
     return list(zip(marks, found.tolist()))
