@@ -89,6 +89,23 @@ def test_bpe_frames(spark, library):
     assert out[1].decoded == "hello</w> there</w>" and out[2].ids == [] and out[3].n_tokens == 0
 
 
+def test_very_long_words(library):
+    coder, rng = bpe.load(registry.vocabulary()), random.Random(8)
+    long = ["a" * 1_000_000, "".join(rng.choice("aeth") for _ in range(200_000)), "ab" * 50_000 + "!" * 70_000, "the" * 21 + "t", "é" * 65]
+    for t in long:
+        ids = library.encode(t, add_special_tokens=False).ids
+        assert coder.encode(t) == ids and coder.spoken(t)[0] == len(ids)
+    assert not any(len(w) > bpe.LONG for w in [*coder.ids, *coder.said])
+
+
+def test_bpe_of_clashing_columns_and_empty_tables(spark):
+    df = spark.createDataFrame([(1, "Hello", "x", "y"), (1, "Hello", "x", "y")], "doc_id long, text string, ids string, decoded string")
+    out = bpe.decoded(bpe.encoded(df, registry.vocabulary()), registry.vocabulary()).collect()
+    assert [r.decoded for r in out] == ["hello</w>"] * 2 and [r.n_tokens for r in out] == [1, 1]
+    empty = bpe.encoded(df.limit(0), registry.vocabulary())
+    assert empty.collect() == bpe.decoded(empty, registry.vocabulary()).collect() == df.limit(0).select(bpe.digest_column(df, registry.vocabulary())).collect() == []
+
+
 # contamination
 
 

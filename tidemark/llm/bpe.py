@@ -6,7 +6,9 @@ certain cut. Words are cut there; each fragment is merged alone, and words' ids
 are the fragments' ids one after the other. The result is that of merging the whole word.
 
 The vocabulary file is read on the driver and sent along (2 MB, bounded by the vocabulary, not by the data).
-Null texts count as empty and have no ids.
+Null texts count as empty and have no ids; an empty table gives no rows. Each row is encoded alone, so repeated rows
+get equal ids. Long fragments, such as a very long word of one letter, are merged with a heap, in n log n; words of
+more than ``LONG`` characters aren't kept. A column ``ids``, ``n_tokens`` or ``decoded`` of the frame is replaced, unless it is the input.
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ import json
 import unicodedata
 from collections.abc import Callable, Iterator
 from functools import cached_property, lru_cache
+from heapq import heapify, heappop, heappush
 from itertools import chain
 
 import pandas as pd
@@ -27,6 +30,8 @@ from tidemark.llm.common import bounded
 
 #: Words that a worker keeps, twice: those met since, and those of the time before.
 CACHE = 150_000
+#: Characters of a word that may be kept, and symbols of a fragment that are searched one by one for the next merge.
+LONG = 64
 #: Oniguruma's white space.
 _SPACE = r"\t-\r\x20\x85\p{Z}"
 _FINAL_SIGMA = "Σ"
@@ -52,6 +57,8 @@ class _Kept(dict):
         self.make, self.before = make, {}
 
     def __missing__(self, word: str) -> tuple:
+        if len(word) > LONG:
+            return self.make(word)
         if len(self) >= CACHE:
             self.before = dict(self)
             self.clear()
@@ -109,6 +116,8 @@ class WordBpe:
     def merge(self, parts: tuple[str, ...]) -> list[int]:
         """Ids of one fragment: the pair of lowest rank is joined, leftmost first, until none is left."""
         p, rank = list(parts), self.rank.get
+        if len(p) > LONG:
+            return self._merge_long(p)
         ranks = [rank(pair, _NONE) for pair in zip(p, p[1:])]
         while ranks and (least := min(ranks)) < _NONE:
             i = ranks.index(least)
@@ -120,6 +129,29 @@ class WordBpe:
                 ranks[i] = rank((p[i], p[i + 1]), _NONE)
         return [self.vocab[x] for x in p if x in self.vocab]
 
+    def _merge_long(self, p: list[str]) -> list[int]:
+        """The same with a heap of pairs: places stay, what was joined into the one before is empty."""
+        n, rank = len(p), self.rank.get
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(r, i) for i, pair in enumerate(zip(p, p[1:])) if (r := rank(pair)) is not None]
+        heapify(heap)
+        while heap:
+            r, i = heappop(heap)
+            j = after[i]
+            if not p[i] or j >= n or rank((p[i], p[j])) != r:
+                continue  # one of the two has changed since
+            p[i] += p[j]
+            p[j] = ""
+            after[i] = k = after[j]
+            if k < n:
+                before[k] = i
+                if (r := rank((p[i], p[k]))) is not None:
+                    heappush(heap, (r, i))
+            h = before[i]
+            if h >= 0 and (r := rank((p[h], p[i]))) is not None:
+                heappush(heap, (r, h))
+        return [self.vocab[x] for x in p if x in self.vocab]
+
     def word_ids(self, piece: str) -> tuple[int, ...]:
         data = piece.encode()
         s = [self.symbol[b] for b in data]
