@@ -117,42 +117,58 @@ def test_tool_calls(spark):
     rows = [
         (1, 0, "user", 'Hi "there"'), (1, 1, "assistant", call(("b", "add", '{"x": 1, "y": "$a"}'), ("a", "add", '{"x": 2}'), ("c", "add", "no"), ("d", "none", "{}"))),
         (1, 2, "tool", answer("b", "B")), (1, 3, "tool", answer("a", "A")), (1, 4, "tool", answer("zz", "Z")), (1, 4, "tool", answer("zz", "Z")), (1, 5, "assistant", None),
-        (2, 0, "assistant", call(("a", "add", '{"x": "$b", "q": 1}'), ("b", "add", '{"x": "$a"}'))), (3, 600, "user", "{not json"), (3, 1, "user", "x"), (None, None, None, "y"),
+        (2, 0, "assistant", call(("a", "add", '{"x": "$b", "q": 1}'), ("b", "add", '{"x": "$a"}'), ("e", "add", '{"x": "3"}'))), (3, 600, "user", "{not json"), (3, 1, "user", "x"), (None, None, None, "y"), (None, None, None, "z"),
     ]
     df = spark.createDataFrame([(*r, "extra") for r in rows], "conv_id long, turn long, role string, text string, id string")
     schemas = spark.createDataFrame([("add", "x", "integer", True), ("add", "y", "string", False)], chat.SCHEMA_COLUMNS)
-    out = {(r.conv_id, r.part): r for r in chat.formatted(df, schemas).collect()}
-    r = out[1, 0]
-    assert (r.n_messages, r.n_calls, r.n_linked, r.n_invalid, r.n_orphans) == (6, 4, 2, 2, 1)
+    got = chat.formatted(df, schemas).collect()
+    out = {r.conv_id: r for r in got if r.conv_id is not None}
+    r = out[1]
+    assert (r.n_messages, r.n_calls, r.n_linked, r.n_invalid, r.n_orphans) == (7, 4, 2, 2, 2)
     said = json.loads(r.chat)
-    assert [m["role"] for m in said] == ["user", "assistant", "tool", "assistant"] and said[2]["content"] == "Z" and said[3]["content"] == ""
+    assert [m["role"] for m in said] == ["user", "assistant", "tool", "tool", "assistant"] and said[2]["content"] == said[3]["content"] == "Z" and said[4]["content"] == ""
     made = said[1]["tool_calls"]
     assert [c["id"] for c in made] == ["a", "c", "d", "b"] and [c["problems"] for c in made] == [[], ["json"], ["tool"], []]
     assert [c.get("result") for c in made] == ["A", None, None, "B"]
     assert r.chat == json.dumps(said, separators=(",", ":"), sort_keys=True, ensure_ascii=False)
-    cyclic = json.loads(out[2, 0].chat)[0]["tool_calls"]
-    assert [c["problems"] for c in cyclic] == [["type:x", "unknown:q"], ["type:x"]]
-    assert set(out) == {(1, 0), (2, 0), (3, 0), (3, 2), (None, 0)} and json.loads(out[3, 2].chat) == [{"content": "{not json", "role": "user"}]
+    cyclic = json.loads(out[2].chat)[0]["tool_calls"]
+    assert [(c["id"], c["problems"]) for c in cyclic] == [("e", ["type:x"]), ("a", ["type:x", "unknown:q"]), ("b", ["type:x"])]
+    assert set(out) == {1, 2, 3} and json.loads(out[3].chat) == [{"content": "x", "role": "user"}, {"content": "{not json", "role": "user"}]
+    assert sorted(r.chat for r in got if r.conv_id is None) == ['[{"content":"y"}]', '[{"content":"z"}]']
     assert chat.formatted(df.limit(0)).collect() == []
 
 
-def test_crowded_turns_and_rows_without_keys(spark):
-    call = lambda i: json.dumps({"tool_calls": [{"id": i, "name": "f", "arguments": "{}"}]})
-    keys = [(None, None), (None, 3), (7, None), (7, 5)]
-    rows = [(c, t, "user", f"m{k}") for c, t in keys for k in range(600)] + [(c, t, "assistant", call(i)) for c, t in [*keys, (8, 1)] for i in "ab"]
-    rows += [(8, 2, "tool", json.dumps({"tool_call_id": "a", "content": "A"})), (8, 0, "user", "first")]
-    out = chat.formatted(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
-    assert sum(r.n_messages for r in out) == len(rows) and sum(r.n_calls for r in out) == 10 and sum(r.n_linked for r in out) == 1
-    assert sum(len(json.loads(r.chat)) for r in out) == len(rows) - 1  # the result is with its call
-    assert {(r.conv_id, r.piece) for r in out} == {(c, k) for c in (None, 7) for k in (1, 2, 3)} | {(8, 0)} and max(r.n_messages for r in out if r.conv_id is None) < 2 * 2 * chat.PART
-    small = json.loads(next(r.chat for r in out if r.conv_id == 8))
-    assert [m["role"] for m in small] == ["user", "assistant", "assistant"] and [[c["id"] for c in m["tool_calls"]] for m in small[1:]] == [["a"], ["b"]]
+def test_canonical_at_every_depth(spark):
+    arguments, content = '{"b": {"z": [1, {"y": "é\\n", "x": null}], "a": 2.5}, "a": true}', '[{"k": 2, "j": {"b": 1, "a": 0}}]'
+    rows = [
+        (1, 0, "assistant", json.dumps({"tool_calls": [{"id": "a", "name": "f", "arguments": arguments}, {"id": "b", "name": "f", "arguments": json.loads(arguments)}, {"id": "c", "name": "f", "arguments": '{"a":1,"a":2}'}]})),
+        (1, 1, "tool", json.dumps({"tool_call_id": "a", "content": content})), (1, 2, "tool", json.dumps({"tool_call_id": "b", "content": json.loads(content)})), (1, 3, "tool", json.dumps({"tool_call_id": "c", "content": "{plain"})),
+    ]
+    text = chat.formatted(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).first().chat
+    said = json.loads(text)
+    assert text == json.dumps(said, separators=(",", ":"), sort_keys=True, ensure_ascii=False)
+    a, b, c = said[0]["tool_calls"]
+    assert a["arguments"] == b["arguments"] == json.loads(arguments) and a["result"] == b["result"] == json.loads(content)
+    assert (c["arguments"], c["result"]) == ('{"a":1,"a":2}', "{plain")
+
+
+def test_long_conversations_stay_whole(spark):
+    rows = [(1, k, "user", f"m{k}") for k in range(600)] + [(1, 7, "user", f"n{k}") for k in range(700)] + [(2, 0, "user", "same")] * 5
+    rows += [(3, 0, "user", "x" * 3_000_000), (None, 4, "user", "lone"), (None, 4, "user", "lone"), (4, None, "user", "late"), (4, -3, "user", "early")]
+    got = chat.formatted(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    out = {r.conv_id: [m["content"] for m in json.loads(r.chat)] for r in got}
+    assert len(got) == 5 and sum(r.n_messages for r in got) == len(rows)
+    assert out[1] == [*(f"m{k}" for k in range(8)), *sorted(f"n{k}" for k in range(700)), *(f"m{k}" for k in range(8, 600))]
+    assert out[2] == ["same"] * 5 and len(out[3][0]) == 3_000_000 and out[None] == ["lone"] * 2 and out[4] == ["late", "early"]
 
 
 def test_chain_of_calls(spark):
-    rows = [(9, k, "assistant", json.dumps({"tool_calls": [{"id": f"c{k}", "name": "f", "arguments": json.dumps({"x": f"$c{k + 1}"})}]})) for k in range(5)]
-    made = chat.calls(chat.messages(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")))
-    assert sorted((r.id, r.depth) for r in chat.ordered(made).collect()) == [(f"c{k}", 4 - k) for k in range(5)]
+    n = 1000
+    made = [{"id": f"c{k}", "name": "f", "arguments": json.dumps({"x": f"$c{k + 1}"})} for k in range(n)]
+    rows = [(9, 0, "assistant", json.dumps({"tool_calls": made})), (8, 0, "assistant", json.dumps({"tool_calls": made[::-1] + [{"id": "d", "name": "f", "arguments": '"$d $c0"'}]}))]
+    out = {r.conv_id: [c["id"] for c in json.loads(r.chat)[0]["tool_calls"]] for r in chat.formatted(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    chain = [f"c{k}" for k in range(n - 1, -1, -1)]
+    assert out == {9: chain, 8: [*chain, "d"]}
 
 
 def test_every_result_is_somewhere(spark):

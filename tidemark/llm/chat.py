@@ -2,45 +2,49 @@
 
 An assistant's text may be a JSON object with ``tool_calls`` (``id, name, arguments``) and ``content``; a
 ``tool`` message's text is one with ``tool_call_id`` and ``content``. Calls and results are joined by
-conversation and identifier. A call whose arguments mention ``$id`` of another call of the conversation
-depends on it; calls are ordered by depth, then turn, then place, and those on a cycle have no depth.
-Arguments are validated against the tools' schemas: each parameter has a type and may be required.
-
-Each conversation is serialised in parts of ``PART`` turns, so that one conversation is never gathered
-beyond a bound; most have one part. A turn of more than ``PART`` different messages (such as the rows without a
-turn, or without a conversation, may be) is dealt by hash to pieces 1, 2, ... of its part; all else is piece 0.
-Canonical JSON has its keys in order and no spaces. Equal rows count once. A result is linked to
-one call, a call has one result (see ``linked``), and results that are left over stay messages; nothing is
-linked without a conversation. Rows without a turn go to part 0, before the
-others. Null texts have empty content.
+conversation and identifier (``linked``). A call whose arguments mention ``$id`` of another call of its message
+depends on it; a message's calls are in topological order, of several the one that stands first, and those on a
+cycle, or behind one, come last. Turns are in order already, so what needs a call of an earlier message stands
+after it. Arguments are validated against the tools' schemas: each parameter has a type and may be required.
+
+A conversation is one row, however many messages it has: its chat is one value, which Spark bounds by 2 GB; a larger
+one fails rather than being cut. A row without a conversation is a chat of its own, so these are never gathered.
+Canonical JSON has the keys of every object in order, at every depth, and no spaces; arguments and results that are
+JSON objects or arrays stand in it as such, others as strings. Repeated rows are written as often as they occur;
+their calls and results link once. A result is linked to one call, a call has one result, and results that are
+left over stay messages. Rows without a turn come first; rows of one turn are in order of role and text. Null texts
+have empty content, null roles none. An empty table gives no rows, other columns are left out.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import written
-
-PART = 256
-#: Rows of three longs that may be broadcast.
-FEW = 100_000
-#: Kinds of parameters, by the JSON text of a value.
-TYPES = {"integer": r"^-?\d+$", "number": r"^-?\d+(\.\d+)?([eE][+-]?\d+)?$", "boolean": r"^(true|false)$", "object": r"^\{", "array": r"^\[", "string": r"(?s)^.*$"}
+#: Kinds of parameters, by the type of a value as Spark names it.
+TYPES = {"integer": "^BIGINT", "number": "^(BIGINT|DOUBLE|DECIMAL)", "boolean": "^BOOLEAN", "object": "^OBJECT", "array": "^ARRAY", "string": "^STRING"}
 _CALLS = "struct<content:string,tool_calls:array<struct<id:string,name:string,arguments:string>>>"
 _RESULT = "struct<content:string,tool_call_id:string>"
+_OF_MESSAGE = "array<struct<place:int,id:string,needs:array<string>,json:string,linked:boolean,invalid:boolean>>"
 SCHEMA_COLUMNS = "tool string, parameter string, type string, required boolean"
 
 
+def _with(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)``, the value computed once however often it is used in lambdas."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def messages(df: DataFrame) -> DataFrame:
-    """``conv_id, turn, role, text`` with ``part``, a parsed ``call`` or ``result``, and ``message``, the key of one with either."""
+    """``conv_id, turn, role, text``, a parsed ``call`` or ``result``, and ``message``, the key of one with either or without a conversation."""
     rows = df.select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"))
     is_object = F.col("text").rlike(r"^\s*\{")
     call = F.when((F.col("role") == "assistant") & is_object & F.col("text").contains('"tool_calls"'), F.from_json("text", _CALLS))
     result = F.when((F.col("role") == "tool") & is_object, F.from_json("text", _RESULT))
-    part = F.coalesce(F.floor(F.col("turn") / PART), F.lit(0)).cast("long")
-    rows = rows.withColumn("part", part).withColumn("call", call).withColumn("result", result)
-    return rows.withColumn("message", F.when(F.col("call.tool_calls").isNotNull() | F.col("result.tool_call_id").isNotNull(), F.sha2(F.to_json(F.struct("conv_id", "turn", "role", "text")), 256)))
+    rows = rows.withColumn("call", call).withColumn("result", result)
+    keyed = F.col("call.tool_calls").isNotNull() | F.col("result.tool_call_id").isNotNull() | F.col("conv_id").isNull()
+    return rows.withColumn("message", F.when(keyed, F.sha2(F.to_json(F.struct("conv_id", "turn", "role", "text")), 256)))
 
 
 def calls(msgs: DataFrame) -> DataFrame:
@@ -74,63 +78,62 @@ def linked(made: DataFrame, msgs: DataFrame) -> DataFrame:
 
 
 def validated(made: DataFrame, schemas: DataFrame) -> DataFrame:
-    """The calls with ``problems``: a sorted array, empty for valid ones."""
+    """The calls with ``problems``: a sorted array, empty for valid ones. A parameter that is ``null`` is absent."""
     by_tool = schemas.groupBy("tool").agg(F.collect_list(F.struct("parameter", "type", "required")).alias("parameters"))
-    rows = made.join(by_tool, F.col("name") == F.col("tool"), "left").withColumn("given", F.from_json("arguments", "map<string,string>"))
+    given = F.transform_values(F.from_json("arguments", "map<string,variant>"), lambda _, v: F.schema_of_variant(v))
+    rows = made.join(by_tool, F.col("name") == F.col("tool"), "left").withColumn("given", given)
     patterns = F.create_map(*(x for k, v in TYPES.items() for x in (F.lit(k), F.lit(v))))
 
-    def value(p: Column) -> Column:
-        return F.col("given")[p["parameter"]]
+    def kind(p: Column) -> Column:
+        return F.nullif(F.col("given")[p["parameter"]], F.lit("VOID"))
 
-    absent = F.transform(F.filter("parameters", lambda p: p["required"] & value(p).isNull()), lambda p: F.concat(F.lit("missing:"), p["parameter"]))
-    wrong = F.transform(F.filter("parameters", lambda p: value(p).isNotNull() & ~F.regexp(value(p), F.coalesce(patterns[p["type"]], F.lit("^")))), lambda p: F.concat(F.lit("type:"), p["parameter"]))
+    absent = F.transform(F.filter("parameters", lambda p: p["required"] & kind(p).isNull()), lambda p: F.concat(F.lit("missing:"), p["parameter"]))
+    wrong = F.transform(F.filter("parameters", lambda p: kind(p).isNotNull() & ~F.regexp(kind(p), F.coalesce(patterns[p["type"]], F.lit("^")))), lambda p: F.concat(F.lit("type:"), p["parameter"]))
     extra = F.transform(F.array_except(F.map_keys("given"), F.transform("parameters", lambda p: p["parameter"])), lambda k: F.concat(F.lit("unknown:"), k))
     problems = F.when(F.col("tool").isNull(), F.array(F.lit("tool"))).when(F.col("given").isNull(), F.array(F.lit("json"))).otherwise(F.array_sort(F.concat(absent, wrong, extra)))
     return rows.withColumn("problems", problems).drop("tool", "parameters", "given")
 
 
-def ordered(made: DataFrame) -> DataFrame:
-    """The calls with ``depth`` in the graph of what mentions what: 0 for none, null on a cycle or behind one.
+def mentioned(arguments: Column) -> Column:
+    """The identifiers that follow a ``$`` in a call's arguments."""
+    return F.array_distinct(F.regexp_extract_all(F.coalesce(arguments, F.lit("")), F.lit(r"\$([A-Za-z0-9_.:-]+)"), F.lit(1)))
 
-    A round for each level of the deepest chain. Rounds are written to the shared folder.
-    """
-    mention = F.explode(F.array_distinct(F.regexp_extract_all(F.coalesce("arguments", F.lit("")), F.lit(r"\$([A-Za-z0-9_.:-]+)"), F.lit(1)))).alias("needs")
-    known = made.select("conv_id", F.col("id").alias("needs")).distinct()
-    edges = written(made.select("conv_id", "id", mention).distinct().join(known, ["conv_id", "needs"], "left_semi"), "needs")
-    if edges.isEmpty():
-        return made.withColumn("depth", F.lit(0))
-    nodes = made.select("conv_id", "id").distinct()
-    done = written(nodes.join(edges, ["conv_id", "id"], "left_anti").withColumn("depth", F.lit(0)), "depths")
-    level = 0
-    while True:
-        # a call is ready when everything that it needs is done
-        at = done.select("conv_id", F.col("id").alias("needs"), F.lit(True).alias("ready"))
-        waiting = edges.join(done, ["conv_id", "id"], "left_anti").join(at, ["conv_id", "needs"], "left")
-        level += 1
-        new = waiting.groupBy("conv_id", "id").agg(F.count_if(F.col("ready").isNull()).alias("open")).where("open = 0").select("conv_id", "id", F.lit(level).alias("depth"))
-        new = written(new, "depths")
-        if new.isEmpty():
-            break
-        done = written(done.unionByName(new), "depths")
-    return made.join(done, ["conv_id", "id"], "left")
-
-
-def _dealt(rows: DataFrame, msgs: DataFrame) -> DataFrame:
-    """The rows with ``piece``: 0, or a number from 1 on in turns of more than PART messages.
-
-    Those turns are broadcast if they are few, so that texts aren't shuffled for them; else joined.
+
+def depths(nodes: Column) -> Column:
+    """For an array of structs with ``id`` and ``needs``: each one's depth among what needs what, the array's size on a cycle or behind one.
+
+    Depths rise until none changes, so the work is the deepest chain times the array, without a job or a join.
     """
-    different = msgs.select(F.col("conv_id").alias("of"), F.col("turn").alias("at"), F.xxhash64("role", "text").alias("h")).distinct()
-    crowded = written(different.groupBy("of", "at").agg(F.count("*").alias("n")).where(F.col("n") > PART), "crowded")
-    if crowded.count() <= FEW:
-        crowded = F.broadcast(crowded)
-    out = rows.join(crowded, rows["conv_id"].eqNullSafe(crowded["of"]) & rows["turn"].eqNullSafe(crowded["at"]), "left")
-    piece = F.pmod(F.xxhash64("role", "text"), F.ceil(F.col("n") / PART)) + 1
-    return out.withColumn("piece", F.coalesce(piece, F.lit(0)).cast("long")).drop("of", "at", "n")
+    ids = F.transform(nodes, lambda x: x["id"])
+    needs = F.transform(nodes, lambda x: F.filter(F.transform(x["needs"], lambda q: F.coalesce(F.array_position(ids, q), F.lit(0)).cast("int")), lambda p: p > 0))
+
+    def rise(of: Column) -> Column:
+        def step(acc: Column, _: Column) -> Column:
+            def next_(d: Column) -> Column:
+                return F.struct(d.alias("d"), (d == acc["d"]).alias("done"))
+
+            deeper = F.transform(of, lambda ps: F.coalesce(F.array_max(F.transform(ps, lambda p: F.element_at(acc["d"], p))) + 1, F.lit(0)))
+            return F.when(acc["done"], acc).otherwise(_with(deeper, next_))
+
+        start = F.struct(F.transform(of, lambda _: F.lit(0)).alias("d"), (F.size(F.flatten(of)) == 0).alias("done"))
+        return F.aggregate(F.sequence(F.lit(1), F.greatest(F.size(of), F.lit(1))), start, step, lambda acc: acc["d"])
+
+    return _with(needs, rise)
+
+
+def topological(nodes: Column) -> Column:
+    """The array in topological order; of several that may come next, by depth, the one that stands first."""
+    keyed = F.zip_with(nodes, depths(nodes), lambda x, d: F.struct(d.alias("depth"), x["place"].alias("place"), x.alias("node")))
+    return F.transform(F.array_sort(keyed), lambda x: x["node"])
+
+
+def _value(text: Column) -> Column:
+    """The variant of a JSON object or array, else of the string."""
+    return F.coalesce(F.when(text.rlike(r"^\s*[\[{]"), F.try_parse_json(text)), text.cast("variant"))
 
 
 def formatted(df: DataFrame, schemas: DataFrame | None = None) -> DataFrame:
-    """``conv_id, part, piece, n_messages, n_calls, n_linked, n_invalid, n_orphans, chat`` from ``conv_id, turn, role, text``.
+    """``conv_id, n_messages, n_calls, n_linked, n_invalid, n_orphans, chat`` from ``conv_id, turn, role, text``.
 
     ``chat`` is a JSON array of messages in order of turns; a message's calls are in topological order, each
     with its result and, if there are schemas, its problems; without schemas no call is judged and ``n_invalid`` is
@@ -139,34 +142,37 @@ def formatted(df: DataFrame, schemas: DataFrame | None = None) -> DataFrame:
     msgs = messages(df)
     made = calls(msgs)
     with_results = linked(made, msgs)
-    full = ordered(with_results.withColumn("problems", F.lit(None).cast("array<string>")) if schemas is None else validated(with_results, schemas))
-    entry = F.struct(F.col("arguments").alias("arguments"), F.col("id").alias("id"), F.col("name").alias("name"), F.col("problems").alias("problems"), F.col("result_content").alias("result"))
-    rank = F.struct(F.coalesce("depth", F.lit(1 << 30)).alias("depth"), F.col("place").alias("place"), entry.alias("entry"), F.col("answer").isNotNull().alias("linked"))
-    per_message = full.groupBy("message").agg(F.array_sort(F.collect_list(rank)).alias("of_message"))
+    full = with_results.withColumn("problems", F.lit(None).cast("array<string>")) if schemas is None else validated(with_results, schemas)
+    entry = F.struct(_value(F.col("arguments")).alias("arguments"), F.col("id").alias("id"), F.col("name").alias("name"), F.col("problems").alias("problems"), _value(F.col("result_content")).alias("result"))
+    node = F.struct("place", "id", mentioned(F.col("arguments")).alias("needs"), F.to_json(entry).alias("json"), F.col("answer").isNotNull().alias("linked"), F.coalesce(F.size("problems") > 0, F.lit(False)).alias("invalid"))
+    per_message = full.groupBy("message").agg(F.array_sort(F.collect_list(node)).cast(_OF_MESSAGE).alias("nodes")).select("message", topological(F.col("nodes")).alias("of_message"))
     # Only calls and results meet a join; the rest goes straight to its conversation.
     has_calls, is_result = F.col("call.tool_calls").isNotNull(), F.col("result.tool_call_id").isNotNull()
-    none, unclaimed = F.lit(None).cast(per_message.schema["of_message"].dataType), F.lit(None).cast("boolean")
+    none, unclaimed = F.lit(None).cast(_OF_MESSAGE), F.lit(None).cast("boolean")
     wanted = full.where(F.col("answer").isNotNull()).select(F.col("answer").alias("message"), F.lit(True).alias("claimed"))
     with_calls = msgs.where(has_calls).join(per_message, "message", "left").withColumn("claimed", unclaimed)
     results = msgs.where(is_result).join(wanted, "message", "left").withColumn("of_message", none)
     plain = msgs.where(~has_calls & ~is_result).withColumn("of_message", none).withColumn("claimed", unclaimed)
-    all_ = _dealt(with_calls.unionByName(results).unionByName(plain), msgs)
+    all_ = with_calls.unionByName(results).unionByName(plain)
 
     content = F.when(has_calls, F.coalesce("call.content", F.lit(""))).when(is_result, F.coalesce("result.content", F.lit(""))).otherwise(F.col("text"))
-    message = F.struct(content.alias("content"), F.col("role").alias("role"), F.transform("of_message", lambda x: x["entry"]).alias("tool_calls"))
+    said = F.to_json(F.struct(content.alias("content"), F.col("role").alias("role")))
+    entries = F.array_join(F.transform("of_message", lambda x: x["json"]), ",")
+    json = F.when(has_calls, F.concat(F.expr("substr(said, 1, length(said) - 1)"), F.lit(',"tool_calls":['), F.coalesce(entries, F.lit("")), F.lit("]}"))).otherwise(F.col("said"))
     count = lambda f: F.coalesce(F.size(F.filter("of_message", f)), F.lit(0)).cast("long")
     line = F.struct(
         F.col("turn").alias("turn"),
         F.col("role").alias("role"),
         F.col("text").alias("text"),
-        F.when(F.col("claimed").isNull(), F.to_json(message)).alias("json"),
+        F.when(F.col("claimed").isNull(), json).alias("json"),
         count(lambda x: F.lit(True)).alias("n_calls"),
         count(lambda x: x["linked"]).alias("n_linked"),
-        count(lambda x: F.size(x["entry"]["problems"]) > 0).alias("n_invalid"),
+        count(lambda x: x["invalid"]).alias("n_invalid"),
         (F.coalesce(F.col("role") == "tool", F.lit(False)) & F.col("claimed").isNull()).cast("long").alias("n_orphans"),
     )
-    grouped = all_.groupBy("conv_id", "part", "piece").agg(F.array_sort(F.collect_set(line)).alias("lines"))
+    alone = F.when(F.col("conv_id").isNull(), F.col("message")).alias("alone")
+    grouped = all_.withColumn("said", said).groupBy("conv_id", alone).agg(F.array_sort(F.collect_list(line)).alias("lines"))
     body = F.array_join(F.filter(F.transform("lines", lambda x: x["json"]), lambda x: x.isNotNull()), ",")
     total = lambda name: F.aggregate("lines", F.lit(0).cast("long"), lambda acc, x: acc + x[name]).alias(name)
     counts = [total(name) for name in ("n_calls", "n_linked", "n_invalid", "n_orphans")]
-    return grouped.select("conv_id", "part", "piece", F.size("lines").cast("long").alias("n_messages"), *counts, F.concat(F.lit("["), body, F.lit("]")).alias("chat"))
+    return grouped.select("conv_id", F.size("lines").cast("long").alias("n_messages"), *counts, F.concat(F.lit("["), body, F.lit("]")).alias("chat"))

@@ -66,8 +66,39 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *(secrets.count_of("base_spans", k).alias(f"n_{k}") for k in secrets.KINDS[:3]), F.sha2(secrets.written_out(F.col("base_spans")), 256).alias("base_sha256"), secrets.written_out(F.col("spans")).alias("spans"))
 
 
+def tool_talk(conversations: DataFrame) -> DataFrame:
+    """The conversations with tool calls and results made from them, as the table has none.
+
+    Each assistant's message of ``n`` characters in turn ``t`` becomes one with two calls: ``b<t>``, which needs
+    ``a<t>`` and stands before it. ``chars`` is a string where ``n % 5 = 0`` and absent where ``n % 7 = 0``; ``b<t>`` has
+    no result where ``n % 3 = 0``; where ``n % 4 = 0`` there is a result that nothing asked for.
+    """
+    n, t = F.length("text"), F.col("turn").cast("string")
+    spoken = conversations.where((F.col("role") == "assistant") & F.col("text").isNotNull() & F.col("turn").isNotNull())
+    chars = F.when(n % 7 == 0, F.lit("")).when(n % 5 == 0, F.concat(F.lit('"chars":"'), n.cast("string"), F.lit('",'))).otherwise(F.concat(F.lit('"chars":'), n.cast("string"), F.lit(",")))
+    measure = F.struct(F.concat(F.lit("b"), t).alias("id"), F.lit("measure").alias("name"), F.concat(F.lit('{"of": "$a'), t, F.lit('", '), chars, F.lit('"by": {"z": 1, "y": [2]}}')).alias("arguments"))
+    fetch = F.struct(F.concat(F.lit("a"), t).alias("id"), F.lit("fetch").alias("name"), F.concat(F.lit('{"turn": '), t, F.lit("}")).alias("arguments"))
+    asked = spoken.select("conv_id", "turn", "role", F.to_json(F.struct(F.col("text").alias("content"), F.array(measure, fetch).alias("tool_calls"))).alias("text"))
+
+    def answer(prefix: str, content: Column) -> Column:
+        return F.to_json(F.struct(F.concat(F.lit(prefix), t).alias("tool_call_id"), content.alias("content")))
+
+    answers = F.array(
+        answer("a", F.substring("text", 1, 8)),
+        F.when(n % 3 != 0, answer("b", F.concat(F.lit('{"n": '), n.cast("string"), F.lit(', "m": '), t, F.lit("}")))),
+        F.when(n % 4 == 0, answer("x", F.lit("nobody asked"))),
+    )
+    given = spoken.select("conv_id", "turn", F.lit("tool").alias("role"), F.explode(F.filter(answers, lambda x: x.isNotNull())).alias("text"))
+    rest = conversations.where(~F.coalesce((F.col("role") == "assistant") & F.col("text").isNotNull() & F.col("turn").isNotNull(), F.lit(False)))
+    return rest.select("conv_id", "turn", "role", "text").unionByName(asked).unionByName(given)
+
+
+#: Tools of the calls that ``tool_talk`` makes.
+TOOLS = (("fetch", "turn", "integer", True), ("measure", "of", "string", True), ("measure", "chars", "integer", True), ("measure", "by", "object", False))
+
+
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat.formatted(table(spark, sf_dir, "conversations"))
+    return chat.formatted(tool_talk(table(spark, sf_dir, "conversations")), spark.createDataFrame(TOOLS, chat.SCHEMA_COLUMNS))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -143,10 +174,21 @@ SELECT doc_id, path, license, similarity, CASE WHEN license IS NOT NULL THEN 'he
 
 
 def _chat_sql() -> str:
-    # The table has no tool calls, and no turn of more than PART messages.
-    return f"""WITH m AS (SELECT DISTINCT conv_id, turn, role, coalesce(text, '') AS text FROM conversations)
-SELECT conv_id, CAST(coalesce(turn // {chat.PART}, 0) AS BIGINT) AS part, 0::BIGINT AS piece, count(*) AS n_messages, 0::BIGINT AS n_calls, 0::BIGINT AS n_linked, 0::BIGINT AS n_invalid, 0::BIGINT AS n_orphans,
-  '[' || string_agg('{{"content":' || CAST(to_json(text) AS VARCHAR) || ',"role":' || CAST(to_json(role) AS VARCHAR) || '}}', ',' ORDER BY turn, role, text) || ']' AS chat FROM m GROUP BY 1, 2"""
+    # ``b<t>`` needs ``a<t>``, so ``a<t>`` is first; keys are in order at every depth.
+    text = "CAST(to_json({}) AS VARCHAR)"
+    return f'''WITH m AS (SELECT conv_id, turn, role, text, length(text) AS n, role IS NOT DISTINCT FROM 'assistant' AND text IS NOT NULL AND turn IS NOT NULL AS spoken FROM conversations),
+lines AS (
+  SELECT conv_id, turn, role, coalesce(text, '') AS by_text, 0 AS calls, 0 AS linked, 0 AS invalid, 0 AS orphan,
+    '{{"content":' || {text.format("coalesce(text, '')")} || ',"role":' || {text.format("role")} || '}}' AS line FROM m WHERE NOT spoken
+  UNION ALL SELECT conv_id, turn, role, text, 2, 1 + CAST(n % 3 <> 0 AS INTEGER), CAST(n % 5 = 0 OR n % 7 = 0 AS INTEGER), 0,
+    '{{"content":' || {text.format("text")} || ',"role":"assistant","tool_calls":[{{"arguments":{{"turn":' || turn || '}},"id":"a' || turn || '","name":"fetch","problems":[],"result":' || {text.format("substr(text, 1, 8)")}
+    || '}},{{"arguments":{{"by":{{"y":[2],"z":1}},' || CASE WHEN n % 7 = 0 THEN '' WHEN n % 5 = 0 THEN '"chars":"' || n || '",' ELSE '"chars":' || n || ',' END || '"of":"$a' || turn || '"}},"id":"b' || turn || '","name":"measure","problems":['
+    || CASE WHEN n % 7 = 0 THEN '"missing:chars"' WHEN n % 5 = 0 THEN '"type:chars"' ELSE '' END || ']' || CASE WHEN n % 3 <> 0 THEN ',"result":{{"m":' || turn || ',"n":' || n || '}}' ELSE '' END || '}}]}}' FROM m WHERE spoken
+  UNION ALL SELECT conv_id, turn, 'tool', '', 0, 0, 0, 0, NULL FROM m WHERE spoken
+  UNION ALL SELECT conv_id, turn, 'tool', '', 0, 0, 0, 0, NULL FROM m WHERE spoken AND n % 3 <> 0
+  UNION ALL SELECT conv_id, turn, 'tool', '', 0, 0, 0, 1, '{{"content":"nobody asked","role":"tool"}}' FROM m WHERE spoken AND n % 4 = 0)
+SELECT conv_id, count(*) AS n_messages, CAST(sum(calls) AS BIGINT) AS n_calls, CAST(sum(linked) AS BIGINT) AS n_linked, CAST(sum(invalid) AS BIGINT) AS n_invalid, CAST(sum(orphan) AS BIGINT) AS n_orphans,
+  '[' || string_agg(line, ',' ORDER BY turn, role, by_text) || ']' AS chat FROM lines GROUP BY 1'''
 
 
 def _words_sql() -> str:
