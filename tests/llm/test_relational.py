@@ -51,6 +51,22 @@ def test_inheritance_from_the_nearest_folder(spark):
     assert licenses.scan(df.limit(0), licenses.templates(spark)).collect() == []
 
 
+def test_query_finds_files_headers_and_heirs(spark):
+    found = {r.found_in: r["count"] for r in registry.op2_license_scan(spark, "/root/testdata/sf0.01").groupBy("found_in").count().collect()}
+    assert found["file"] == found["inherited"] > 10 and found["header"] > 10 and found[None] > 900
+
+
+def test_very_long_files_and_clashing_columns(spark):
+    long = "word " * 400_000 + "\n# Released under the MIT License.\n" + "line\n" * 200_000
+    rows = [("a/x", long, 1, "s", "f", "u"), ("a/x", long, 1, "s", "f", "u"), ("a/LICENSE", long, 2, "s", "f", "u"), (None, None, 3, "s", "f", "u")]
+    df = spark.createDataFrame(rows, "path string, text string, salt int, unit string, folder string, units string")
+    out = licenses.scan(df, licenses.templates(spark))
+    assert [c for c in out.columns if c in df.columns] == df.columns
+    assert sorted((str(r.path), r.salt, r.unit, r.folder, r.units, r.license, r.found_in) for r in out.collect()) == [
+        ("None", 3, "s", "f", "u", None, None), ("a/LICENSE", 2, "s", "f", "u", None, None), ("a/x", 1, "s", "f", "u", "MIT", "header"), ("a/x", 1, "s", "f", "u", "MIT", "header")
+    ]
+
+
 # URLs
 
 

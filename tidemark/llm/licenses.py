@@ -5,10 +5,12 @@ licence files (by name, such as ``LICENSE``). Equal units are one row with a cou
 that a third of all files have is scored once. A unit's vector has ``tf * idf`` for each of its terms, with
 document frequencies over all units of the corpus; its cosine with each template is a join on terms with the
 templates' vectors and a sum. A file takes its best unit. A file without one inherits from the nearest folder
-above it that has a licence file, by a join of folders, not of files, with their ancestors.
+above it that has a licence file, by a join of folders, not of files, with their ancestors. A line that very many
+files have, and a folder above very many, meet the joins in ``SALT`` pieces.
 
 Null texts have no unit; null paths are in the root. Ties go to the first license by name. Files with one
-path and one text get equal results.
+path and one text get equal results. Whole texts are read, however long; a line counts once in a file. An empty table
+gives no rows.
 """
 
 from __future__ import annotations
@@ -42,6 +44,8 @@ CUE = r"(?i)licen[sc]e|copyright|all rights reserved|permission is hereby|redist
 FILE_NAME = r"(?i)(^|/)(licen[sc]e|copying|unlicense)([._-][^/]*)?$"
 #: The least cosine, in thousandths.
 THRESHOLD = 600
+#: Pieces into which the rows of one line, or of one folder above others, are dealt.
+SALT = 16
 
 
 def terms(text: Column) -> Column:
@@ -54,8 +58,16 @@ def folder(path: Column) -> Column:
     return F.regexp_extract(path, r"^(.*)/[^/]*$", 1)
 
 
+def _salted(rows: DataFrame, by: str) -> DataFrame:
+    return rows.withColumn("salt", F.pmod(F.xxhash64(by), F.lit(SALT)).cast("int"))
+
+
+def _for_each_salt(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+
+
 def _counted(units: DataFrame, key: str) -> DataFrame:
-    """``key, term, tf``."""
+    """``key, term, tf`` from ``key, unit``; a short key, as it goes with every term."""
     return units.select(key, F.explode(terms(F.col("unit"))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
 
 
@@ -67,16 +79,16 @@ def _weighted(tf: DataFrame, idf: DataFrame, key: str, unseen: Column) -> DataFr
 
 
 def scored(units: DataFrame, templates: DataFrame) -> DataFrame:
-    """``unit, license, similarity`` (thousandths) of the best template, from ``unit, n`` (distinct, with counts)."""
-    tf = _counted(units, "unit")
+    """``unit_id, license, similarity`` (thousandths) of the best template, from ``unit_id, unit, n`` (distinct, with counts)."""
+    tf = _counted(units, "unit_id")
     total = units.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    df = tf.join(units, "unit").groupBy("term").agg(F.sum("n").alias("df"))
+    df = tf.join(units.select("unit_id", "n"), "unit_id").groupBy("term").agg(F.sum("n").alias("df"))
     idf = df.select("term", (F.log((F.lit(total) + 1) / (F.col("df") + 1)) + 1).alias("idf"))
     unseen = F.log(F.lit(total) + 1) + 1
-    mine = _weighted(tf, idf, "unit", unseen)
+    mine = _weighted(tf, idf, "unit_id", unseen)
     numbered = templates.select("template", F.col("text").alias("unit"))
     theirs = _weighted(_counted(numbered, "template"), idf, "template", unseen).withColumnRenamed("weight", "weight_of_template")
-    cosine = mine.join(theirs, "term").groupBy("unit", "template").agg(F.sum(F.col("weight") * F.col("weight_of_template")).alias("cosine"))
+    cosine = mine.join(theirs, "term").groupBy("unit_id", "template").agg(F.sum(F.col("weight") * F.col("weight_of_template")).alias("cosine"))
     named = cosine.join(templates.select("template", "license"), "template")
     similarity = F.round(F.col("cosine") * 1000).cast("long")
     return _best(named.withColumn("similarity", similarity))
@@ -85,7 +97,7 @@ def scored(units: DataFrame, templates: DataFrame) -> DataFrame:
 def _best(named: DataFrame) -> DataFrame:
     """The highest similarity; of equal ones the first license."""
     top = F.min(F.struct((-F.col("similarity")).alias("s"), F.col("license").alias("license"))).alias("top")
-    return named.groupBy("unit").agg(top).select("unit", F.col("top.license").alias("license"), (-F.col("top.s")).alias("similarity"))
+    return named.groupBy("unit_id").agg(top).select("unit_id", F.col("top.license").alias("license"), (-F.col("top.s")).alias("similarity"))
 
 
 def templates(spark: SparkSession, rows: tuple = TEMPLATES) -> DataFrame:
@@ -104,12 +116,14 @@ def scan(files: DataFrame, wordings: DataFrame, path: str = "path", text: str =
     had = had.withColumn(up, folder(F.coalesce(F.col(path), F.lit("")))).withColumn(kind, F.when(is_file, "file").otherwise("header"))
     had = had.withColumn(unit, F.when(is_file & body.isNotNull(), F.array(body)).otherwise(F.coalesce(lines, F.array().cast("array<string>"))))
 
-    units = written(had.select(F.explode(unit).alias("unit")).groupBy("unit").agg(F.count("*").alias("n")), "units")
+    units = written(had.select(F.explode(unit).alias("unit")).groupBy(F.md5("unit").alias("unit_id")).agg(F.first("unit").alias("unit"), F.count("*").alias("n")), "units")
     known = scored(units, wordings).where(F.col("similarity") >= threshold)
+    had = had.withColumn(unit, F.transform(unit, F.md5))
     # distinct sets of units, so that files with the same header meet the join once
     sets = had.where(F.size(unit) > 0).select(F.col(unit).alias("units")).distinct()
     top = F.min(F.struct((-F.col("similarity")).alias("s"), F.col("license").alias("l"))).alias("top")
-    own = sets.withColumn("unit", F.explode("units")).join(known, "unit").groupBy("units").agg(top).select("units", F.col("top.l").alias("own_license"), (-F.col("top.s")).alias("own_similarity"))
+    of_sets = _salted(sets.withColumn("unit_id", F.explode("units")), "units").join(_for_each_salt(known), ["unit_id", "salt"])
+    own = of_sets.groupBy("units").agg(top).select("units", F.col("top.l").alias("own_license"), (-F.col("top.s")).alias("own_similarity"))
     with_own = had.join(own.withColumnRenamed("units", f"{unit}_set"), F.col(unit) == F.col(f"{unit}_set"), "left").drop(f"{unit}_set")
 
     top = F.min(F.struct((-F.col("own_similarity")).alias("s"), F.col("own_license").alias("l"))).alias("top")
@@ -118,7 +132,7 @@ def scan(files: DataFrame, wordings: DataFrame, path: str = "path", text: str =
     parts = F.split("folder_", "/")
     chain = F.transform(F.sequence(F.lit(0), F.size(parts)), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "/"))
     above = folders.select("folder_", F.posexplode(chain).alias("depth", "above"))
-    nearest = above.join(of_folder, "above").groupBy("folder_").agg(F.max_by("top", "depth").alias("top")).select("folder_", F.col("top.l").alias("folder_license"), (-F.col("top.s")).alias("folder_similarity"))
+    nearest = _salted(above, "folder_").join(_for_each_salt(of_folder), ["above", "salt"]).groupBy("folder_").agg(F.max_by("top", "depth").alias("top")).select("folder_", F.col("top.l").alias("folder_license"), (-F.col("top.s")).alias("folder_similarity"))
 
     out = with_own.join(nearest, F.col(up) == F.col("folder_"), "left")
     columns = {

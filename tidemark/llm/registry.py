@@ -24,11 +24,23 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return automaton.digests(table(spark, sf_dir, "documents"))
 
 
+def unpacked(docs: DataFrame) -> DataFrame:
+    """``doc_id, path, text``: the documents as files, as the table has no paths. A document has a folder in those of its source and language.
+
+    Where a document's last line speaks of a licence, and the number of its characters is even, that line is the folder's
+    ``LICENSE`` and the rest is ``src/text``; every other document is ``src/text`` as a whole.
+    """
+    last = F.substring_index("text", "\n", -1)
+    apart = F.coalesce(last.rlike(licenses.CUE) & (F.length("text") % 2 == 0), F.lit(False))
+    rest = F.substring(F.col("text"), F.lit(1), F.greatest(F.length("text") - F.length(last) - 1, F.lit(0)))
+    name = lambda x: F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string"), F.lit(x))
+    one = F.struct(name("src/text").alias("path"), F.when(apart, rest).otherwise(F.col("text")).alias("text"))
+    two = F.struct(name("LICENSE").alias("path"), last.alias("text"))
+    return docs.select("doc_id", F.explode(F.when(apart, F.array(one, two)).otherwise(F.array(one))).alias("f")).select("doc_id", "f.path", "f.text")
+
+
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents' sources and languages serve as folders."""
-    docs = table(spark, sf_dir, "documents")
-    files = docs.select("doc_id", F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string")).alias("path"), "text")
-    found = licenses.scan(files, licenses.templates(spark))
+    found = licenses.scan(unpacked(table(spark, sf_dir, "documents")), licenses.templates(spark))
     return found.select("doc_id", "path", "license", "similarity", "found_in")
 
 
@@ -158,19 +170,23 @@ def _license_sql() -> str:
         return f"""SELECT {key}, term, w / sqrt(sum(w * w) OVER (PARTITION BY {key})) AS w FROM
   (SELECT {key}, term, tf * coalesce(idf, (SELECT ln(total + 1) + 1 FROM total)) AS w FROM (SELECT {key}, term, count(*) AS tf FROM (SELECT {key}, unnest({terms}) AS term FROM {source}) GROUP BY 1, 2) LEFT JOIN idf USING (term))"""
 
-    # No document of the tables is a licence file by its name, so nothing is inherited.
     return f"""WITH templates(template, license, unit) AS (VALUES {rows}),
-docs AS (SELECT doc_id, concat_ws('/', source, lang, CAST(doc_id AS VARCHAR)) AS path, coalesce(text, '') AS text FROM documents),
-lines AS (SELECT DISTINCT doc_id, path, unit FROM (SELECT doc_id, path, unnest(string_split(text, chr(10))) AS unit FROM docs) WHERE regexp_matches(unit, '{licenses.CUE}')),
+parts AS (SELECT doc_id, concat_ws('/', source, lang, CAST(doc_id AS VARCHAR)) AS folder, coalesce(text, '') AS text, split_part(coalesce(text, ''), chr(10), -1) AS last FROM documents),
+apart AS (SELECT *, regexp_matches(last, '{licenses.CUE}') AND length(text) % 2 = 0 AS apart FROM parts),
+files AS (SELECT doc_id, folder, folder || '/src/text' AS path, CASE WHEN apart THEN substr(text, 1, greatest(length(text) - length(last) - 1, 0)) ELSE text END AS text, 'header' AS kind FROM apart
+  UNION ALL SELECT doc_id, folder, folder || '/LICENSE', last, 'file' FROM apart WHERE apart),
+lines AS (SELECT DISTINCT doc_id, folder, path, kind, unit FROM (SELECT doc_id, folder, path, kind, unnest(CASE WHEN kind = 'file' THEN [text] ELSE string_split(text, chr(10)) END) AS unit FROM files) WHERE kind = 'file' OR regexp_matches(unit, '{licenses.CUE}')),
 units AS (SELECT unit, count(*) AS n FROM lines GROUP BY 1),
 total AS (SELECT sum(n) AS total FROM units),
 df AS (SELECT term, sum(n) AS df FROM (SELECT DISTINCT unit, n, unnest({terms}) AS term FROM units) GROUP BY 1),
 idf AS (SELECT term, ln((total + 1) / (df + 1)) + 1 AS idf FROM df, total),
 mine AS ({weights("units", "unit")}), theirs AS ({weights("templates", "template")}),
 cosine AS (SELECT m.unit, template, CAST(round(sum(m.w * t.w) * 1000) AS BIGINT) AS similarity FROM mine m JOIN theirs t USING (term) GROUP BY 1, 2),
-best AS (SELECT doc_id, license, similarity FROM lines JOIN cosine USING (unit) JOIN templates USING (template) WHERE similarity >= {licenses.THRESHOLD}
-  QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY similarity DESC, license) = 1)
-SELECT doc_id, path, license, similarity, CASE WHEN license IS NOT NULL THEN 'header' END AS found_in FROM docs LEFT JOIN best USING (doc_id)"""
+best AS (SELECT folder, path, kind, license, similarity FROM lines JOIN cosine USING (unit) JOIN templates USING (template) WHERE similarity >= {licenses.THRESHOLD}
+  QUALIFY row_number() OVER (PARTITION BY path ORDER BY similarity DESC, license) = 1),
+above AS (SELECT folder, license, similarity FROM best WHERE kind = 'file')
+SELECT doc_id, f.path, coalesce(b.license, a.license) AS license, coalesce(b.similarity, a.similarity) AS similarity,
+  CASE WHEN b.license IS NOT NULL THEN f.kind WHEN a.license IS NOT NULL THEN 'inherited' END AS found_in FROM files f LEFT JOIN best b ON f.path = b.path LEFT JOIN above a ON f.folder = a.folder"""
 
 
 def _chat_sql() -> str:
