@@ -11,7 +11,7 @@ import corpus_pipeline
 from compare import normal
 from tests.llm.conftest import gathered
 from tests.llm.test_secrets import scan
-from tests.llm.test_simhash import plain
+from tests.llm.test_similar import plain
 from tidemark.llm import bpe, chat, contamination, licenses, quality, registry, secrets, urls
 
 SF = "/root/testdata/sf0.001"
@@ -213,7 +213,7 @@ def test_calls_without_schemas_are_not_judged(spark):
 def test_pipeline_against_plain_stages(spark):
     docs = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select(*corpus_pipeline.COLUMNS).collect()]
     docs = [d for d in docs if quality.measure(d[1])[-1]]
-    stay = {d for d, _, c in plain([d[:2] for d in docs]) if c == d}
+    stay = set(plain([d[:2] for d in docs]))
     docs = [d for d in docs if d[0] in stay]
     items = [contamination.shingles(contamination.lowered(r.text)) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     docs = [d for d in docs if not any(s and 5 * len(s & contamination.shingles(contamination.lowered(d[1]))) >= 4 * len(s) for s in items)]
@@ -236,3 +236,10 @@ def test_stages_take_nulls_and_empty_tables(spark, stage):
     out = stage[1](spark, df, SF)
     assert tuple(out.columns) == corpus_pipeline.COLUMNS and 1 in [r.doc_id for r in out.collect()]
     assert stage[1](spark, df.limit(0), SF).collect() == []
+
+
+def test_encoding_takes_nulls_and_empty_tables(spark):
+    df = spark.createDataFrame([(1, "Hello", None, None, None), (None, None, "en", "s", 3), (1, "Hello", None, None, None)], "doc_id long, text string, lang string, source string, n_chars long")
+    out = corpus_pipeline.encoding(spark, df, SF)
+    assert out.columns == ["doc_id", "lang", "source", "n_tokens", "ids"] and [r.n_tokens for r in out.collect()] == [1, 0, 1]
+    assert corpus_pipeline.encoding(spark, df.limit(0), SF).collect() == []
