@@ -93,7 +93,7 @@ def test_compaction_changes_no_result_and_cleans_up(spark, store):
     assert len(store.segments) == 1 and store.stats().first().pending_delete_files == 6
     assert sorted(rows(store.points())) == before and ("cpu", 0, "400") in before and len(before) == 19
     assert store.ops().where("deleted").count() == 1
-    assert len(store.cleanup_obsolete()) == 6
+    assert store.cleanup_obsolete() == [] and len(store.cleanup_obsolete(retain_s=0)) == 6
     assert sorted(rows(Store(spark, store.path).points())) == before
     from tidemark.sources.maintain import compact
 
@@ -115,7 +115,8 @@ def test_due_after_enough_segments(spark, tmp_path):
     assert due(store)
 
 
-def test_orphans_are_collected_on_closing(spark, store):
+def test_orphans_are_collected_on_closing(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "o"), Options(retain_s=0))
     store.put("m", 1, "a")
     store.files.mkdirs("data/999999-orphan")
     store.close()
@@ -125,6 +126,104 @@ def test_orphans_are_collected_on_closing(spark, store):
     store.close()
 
 
+@pytest.mark.parametrize("retain_s", [0, 3600])
+def test_a_stale_handle_deletes_nothing_live(spark, tmp_path, retain_s):
+    first = Store(spark, str(tmp_path / "x"), Options(retain_s=retain_s))
+    first.put("m", 1, "a")
+    stale = Store(spark, first.path, Options(retain_s=retain_s))
+    first.put("m", 2, "b")
+    staged = first.write_segment(first.ops(), 0, 99)  # a writer at work
+    stale.close()
+    if retain_s:
+        stale.cleanup_obsolete()
+    assert sorted(rows(Store(spark, first.path).points())) == [("m", 1, "a"), ("m", 2, "b")]
+    assert staged.name in [n for n, _, _ in first.files.list("data")]
+
+
+def test_a_reader_keeps_its_version(spark, store):
+    for k in range(4):
+        store.put("m", 1, str(k))
+    reader = Store(spark, store.path)
+    store.compact()
+    store.put("m", 1, "new")
+    store.close()
+    assert rows(reader.get("m", 1)) == [("m", 1, "3")] and rows(Store(spark, store.path).get("m", 1)) == [("m", 1, "new")]
+
+
+def test_segments_are_found_without_a_manifest(spark, store):
+    store.put("m", 1, "a")
+    store.put("m", 1, "b")
+    store.files.mkdirs("data/000009-torn")
+    for name in store.versions():
+        store.files.delete(f"manifest/{name}")
+    again = Store(spark, store.path, Options(retain_s=0))
+    assert rows(again.get("m", 1)) == [("m", 1, "b")] and again.state["next_commit"] == 3
+    again.close()
+    again = Store(spark, store.path)
+    again.put("m", 1, "c")
+    assert rows(Store(spark, store.path).get("m", 1)) == [("m", 1, "c")]
+
+
+@pytest.mark.parametrize("op_idx", [-1, 1 << 32])
+def test_op_idx_has_a_range(spark, store, op_idx):
+    df = spark.createDataFrame([("m", 1, "a", False, op_idx)], "measurement string, timestamp long, value string, deleted boolean, op_idx long")
+    with pytest.raises(Exception, match="op_idx must be"):
+        store.write(df)
+    assert store.empty() and store.write(df.withColumn("op_idx", F.lit((1 << 32) - 1))) == 1 and store.count() == 1
+
+
+def test_one_of_two_writers_publishes(store):
+    from concurrent.futures import ThreadPoolExecutor
+
+    def publish(k):
+        try:
+            store.files.publish("manifest/x.json", str(k))
+            return 1
+        except ConflictError:
+            return 0
+
+    with ThreadPoolExecutor(8) as pool:
+        assert sum(pool.map(publish, range(24))) == 1
+
+
+def test_damaged_pages_are_an_error(spark, store):
+    from pathlib import Path
+
+    import pyarrow.parquet as pq
+
+    put_all(store, [("m", k, f"value {k * 7919}") for k in range(2000)])
+    path = next(p for p in Path(store.path).rglob("*.parquet"))
+    for crc in Path(store.path).rglob("*.crc"):
+        crc.unlink()
+    data = bytearray(path.read_bytes())
+    data[pq.ParquetFile(path).metadata.row_group(0).column(2).data_page_offset + 60] ^= 0xFF
+    path.write_bytes(data)
+    with pytest.raises(Exception, match="(?i)checksum|crc"):
+        store.points().collect()
+
+
+def test_compaction_splits_its_output_by_bytes(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "b"), Options(file_bytes=4096))
+    for k in range(5):
+        put_all(store, [("m", k * 200 + i, f"{k * 200 + i:080d}") for i in range(200)])
+    store.compact()
+    files = [n for n, _, _ in store.files.list(f"data/{store.segments[0].name}") if n.endswith(".parquet")]
+    assert len(files) > 4 and store.count() == store.points().count() == 1000
+
+
+def test_replay_visit_and_run(spark, tmp_path):
+    from tidemark.sources import maintain
+
+    store = Store(spark, str(tmp_path / "r"), Options(level0_segments=2))
+    store.write(WriteBatch().put("b", 1, "x").put("a", 2, "y").delete("b", 1))
+    store.put("a", 1, "z")
+    assert [(r.measurement, r.deleted) for r in store.replay().collect()] == [("b", False), ("a", False), ("b", True), ("a", False)]
+    seen = []
+    assert store.visit(lambda *p: seen.append(p)) == 2 and seen == [("a", 1, "z"), ("a", 2, "y")]
+    assert store.visit(lambda *p: False) == 1
+    assert maintain.level0(store)[0] == 2 and maintain.run(store) == 1 and maintain.run(store) == 0 and maintain.level0(store) == (0, 0)
+
+
 def test_second_writer_conflicts_and_changes_nothing(spark, store):
     other = Store(spark, store.path)
     store.put("m", 1, "a")

@@ -128,7 +128,3 @@ def checksum(data: Column) -> Column:
     """CRC-32 (IEEE)."""
     return F.crc32(data)
 
-
-def key_hash() -> Column:
-    """A 64-bit hash of the key, for Bloom filters of Parquet files and runtime join filters."""
-    return F.xxhash64("measurement", "timestamp")
