@@ -10,10 +10,11 @@ from __future__ import annotations
 from collections.abc import Iterable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.errors import CorruptionError
+from tidemark.operators import series
 
 #: (largest magnitude, prefix bits, prefix length, bits of sign and magnitude)
 _CLASSES = ((0, 0b0, 1, 0), (63, 0b10, 2, 7), (8191, 0b110, 3, 14), ((1 << 63) - 1, 0b1110, 4, 64))
@@ -21,16 +22,15 @@ _CLASSES = ((0, 0b0, 1, 0), (63, 0b10, 2, 7), (8191, 0b110, 3, 14), ((1 << 63) -
 
 def dod(df: DataFrame) -> DataFrame:
     """Adds ``delta`` and ``dod`` to ``measurement, timestamp``; both NULL at the start of a series."""
-    series = Window.partitionBy("measurement").orderBy("timestamp")
-    delta = F.col("timestamp") - F.lag("timestamp").over(series)
-    return df.withColumn("delta", delta).withColumn("dod", F.col("delta") - F.coalesce(F.lag("delta").over(series), F.when(F.col("delta").isNotNull(), F.lit(0))))
+    rows = series.before(df).withColumn("delta", F.col("timestamp") - F.col("_p"))
+    return rows.withColumn("dod", F.col("delta") - F.coalesce(F.col("_p") - F.col("_pp"), F.when(F.col("delta").isNotNull(), F.lit(0)))).drop("_p", "_pp")
 
 
-def rebuild(df: DataFrame) -> DataFrame:
+def rebuild(df: DataFrame, block_rows: int = 1 << 16) -> DataFrame:
     """From ``measurement, ord, first_timestamp, dod`` back to ``measurement, ord, timestamp``: two running sums."""
-    so_far = Window.partitionBy("measurement").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
-    delta = df.withColumn("_d", F.sum(F.coalesce("dod", F.lit(0))).over(so_far))
-    return delta.select("measurement", "ord", (F.col("first_timestamp") + F.sum("_d").over(so_far)).alias("timestamp"))
+    block = F.col("ord") - F.pmod(F.col("ord"), F.lit(block_rows))
+    deltas = series.running_sum(df, F.coalesce("dod", F.lit(0)), ["ord"], block, "_d")
+    return series.running_sum(deltas, F.col("_d"), ["ord"], block, "_t").select("measurement", "ord", (F.col("first_timestamp") + F.col("_t")).alias("timestamp"))
 
 
 def bits(d: Column) -> Column:

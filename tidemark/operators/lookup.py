@@ -17,6 +17,11 @@ def multi_get(points: DataFrame, keys: DataFrame) -> DataFrame:
     return wanted.join(points, ["measurement", "timestamp"], "left").select("measurement", "timestamp", "value")
 
 
+def of_keys(ops: DataFrame, keys: DataFrame) -> DataFrame:
+    """The operations on some keys, before their versions are resolved: what isn't asked for isn't shuffled twice."""
+    return ops.join(keys.select("measurement", "timestamp").distinct(), ["measurement", "timestamp"], "left_semi")
+
+
 def missing(points: DataFrame, keys: DataFrame) -> DataFrame:
     """The distinct keys that have no live point."""
     return keys.select("measurement", "timestamp").distinct().join(points, ["measurement", "timestamp"], "left_anti")

@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import codec
 from tidemark.operators import downsample as ds
-from tidemark.operators import lookup, resolve
+from tidemark.operators import lookup, resolve, series
 from tidemark.operators.batch import WriteBatch
-from tidemark.schema import BATCH, TTL_RULES
+from tidemark.schema import TTL_RULES
 from tidemark.sources import maintain
 
 #: In ns.
@@ -54,12 +54,12 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def oplog(spark: SparkSession, sf_dir: str) -> DataFrame:
+def oplog(spark: SparkSession, sf_dir: str, value: Column | None = None) -> DataFrame:
     t = nanos(F.col("ts"))
     return events(spark, sf_dir).select(
         F.concat(F.lit("user."), F.col("user_id").cast("string")).alias("measurement"),
         (t - F.pmod(t, F.lit(DAY))).alias("timestamp"),
-        F.when(F.col("event_type") == "error", F.lit("")).otherwise(F.col("value").cast("string")).alias("value"),
+        F.when(F.col("event_type") == "error", F.lit("")).otherwise((F.col("value") if value is None else value).cast("string")).alias("value"),
         (F.col("event_type") == "error").alias("deleted"),
         F.col("event_id").alias("seq"),
     )
@@ -74,7 +74,7 @@ def shipments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 POINTS = "SELECT 'ev.' || event_type AS measurement, CAST(epoch_us(ts) * 1000 AS BIGINT) AS timestamp, value AS value_num, CAST(value AS VARCHAR) AS value, event_id AS seq FROM events"
 OPLOG = f"""SELECT 'user.' || CAST(user_id AS VARCHAR) AS measurement, CAST(epoch_us(ts) * 1000 - (epoch_us(ts) * 1000) % {DAY} AS BIGINT) AS timestamp,
-  CASE WHEN event_type = 'error' THEN NULL ELSE value END AS value_num, event_type = 'error' AS deleted, event_id AS seq FROM events"""
+  CASE WHEN event_type = 'error' THEN '' ELSE coalesce(props, '') END AS props, CASE WHEN event_type = 'error' THEN NULL ELSE value END AS value_num, event_type = 'error' AS deleted, event_id AS seq FROM events"""
 LATEST = f"SELECT * FROM ({OPLOG}) QUALIFY row_number() OVER (PARTITION BY measurement, timestamp ORDER BY seq DESC) = 1"
 LIVE = f"SELECT measurement, timestamp, value_num FROM ({LATEST}) WHERE NOT deleted"
 MARKS = f"SELECT measurement, max(timestamp) AS latest_timestamp FROM ({OPLOG}) GROUP BY 1"
@@ -160,12 +160,14 @@ def _keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT k.measurement, k.timestamp, p.value_num FROM ({KEYS}) k LEFT JOIN ({LIVE}) p USING (measurement, timestamp)")
 def multi_get(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return as_number(lookup.multi_get(resolve.live(oplog(spark, sf_dir)), _keys(spark, sf_dir)))
+    keys = _keys(spark, sf_dir)
+    return as_number(lookup.multi_get(resolve.live(lookup.of_keys(oplog(spark, sf_dir), keys)), keys))
 
 
 @query(f"SELECT k.measurement, k.timestamp FROM ({KEYS}) k ANTI JOIN ({LIVE}) p USING (measurement, timestamp)")
 def multi_get_miss(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lookup.missing(resolve.live(oplog(spark, sf_dir)), _keys(spark, sf_dir))
+    keys = _keys(spark, sf_dir)
+    return lookup.missing(resolve.live(lookup.of_keys(oplog(spark, sf_dir), keys)), keys)
 
 
 @query(f"SELECT measurement, timestamp, value_num, deleted, seq FROM ({OPLOG}) WHERE measurement = 'user.7'")
@@ -186,17 +188,16 @@ def key_range_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT measurement, timestamp, seq, CAST(row_number() OVER (PARTITION BY measurement ORDER BY timestamp, seq) AS BIGINT) AS ord FROM ({OPLOG})")
 def key_order_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Position within the series: a global rank would put every row in one task."""
-    from pyspark.sql import Window
-
-    ord_ = F.row_number().over(Window.partitionBy("measurement").orderBy("timestamp", "seq")).cast("long")
-    return oplog(spark, sf_dir).select("measurement", "timestamp", "seq", ord_.alias("ord"))
+    """Position within the series; blocks of days are ranked apart, so that no task gets a whole series."""
+    rows = oplog(spark, sf_dir).select("measurement", "timestamp", "seq")
+    return series.running_sum(rows, F.lit(1).cast("long"), ["timestamp", "seq"], series.time_block(), "ord")
 
 
 # downsampling
 
 
-T0, T1 = 1_704_067_200_000_000_000 + 17 * 60 * 1_000_000_000, 1_704_067_200_000_000_000 + 20 * DAY
+#: An odd anchor before all events, and a time after them.
+T0, T1 = 1_704_067_200_000_000_000 - DAY + 17 * 60 * 1_000_000_000, 1_704_067_200_000_000_000 + 366 * DAY
 BUCKETED = f"SELECT measurement, {T0} + (timestamp - {T0}) // {HOUR} * {HOUR} AS bucket, timestamp, value_num FROM ({POINTS}) WHERE timestamp BETWEEN {T0} AND {T1}"
 
 
@@ -260,21 +261,20 @@ def downsample_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
 # batches
 
 
-OPS = [("b.x", 1, "10", False), ("b.x", 2, "11", False), ("b.x", 1, "", True), ("b.y", 1, "", True), ("b.y", 1, "7", False), ("b.z", -5, "1", False), ("b.z", -5, "2", False)]
-
-
-@query("SELECT * FROM (VALUES ('b.x', 2::BIGINT, '11'), ('b.y', 1, '7'), ('b.z', -5, '2')) t(measurement, timestamp, value)")
+@query(f"SELECT * FROM ({LIVE}) WHERE measurement = 'user.7'")
 def write_batch_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One client's operations, in their order, as one batch."""
     batch = WriteBatch()
-    for m, t, v, deleted in OPS:
-        batch = batch.delete(m, t) if deleted else batch.put(m, t, v)
-    return resolve.live(batch.to_df(spark).withColumnRenamed("op_idx", "seq"))
+    for r in oplog(spark, sf_dir).where("measurement = 'user.7'").orderBy("seq").toLocalIterator():
+        batch = batch.delete(r.measurement, r.timestamp) if r.deleted else batch.put(r.measurement, r.timestamp, r.value)
+    return as_number(resolve.live(batch.to_df(spark).withColumnRenamed("op_idx", "seq")))
 
 
-@query("SELECT 'b.y' AS measurement, 1::BIGINT AS timestamp, '7' AS value")
+@query(f"SELECT l.* FROM ({LIVE}) l SEMI JOIN (SELECT * FROM ({OPLOG}) WHERE deleted) USING (measurement, timestamp)")
 def put_after_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [(*op, i) for i, op in enumerate(OPS)]
-    return resolve.live(spark.createDataFrame(rows, BATCH).withColumnRenamed("op_idx", "seq").where("measurement = 'b.y'"))
+    """Live points of keys that were deleted before."""
+    ops = oplog(spark, sf_dir)
+    return as_number(resolve.live(lookup.of_keys(ops, ops.where("deleted"))))
 
 
 # maintenance
@@ -304,10 +304,10 @@ def compaction_invariance(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A manifest as eight files of the log would give it."""
     key = F.struct("measurement", "timestamp")
-    return oplog(spark, sf_dir).groupBy((F.col("seq") % 8).alias("file_number")).agg(F.min(key).alias("smallest"), F.max(key).alias("largest"), F.sum(codec.entry_bytes()).alias("file_size")).withColumn("level", F.when(F.col("file_number") < 4, 0).otherwise(1))
+    return oplog(spark, sf_dir, F.col("props")).groupBy((F.col("seq") % 8).alias("file_number")).agg(F.min(key).alias("smallest"), F.max(key).alias("largest"), F.sum(codec.entry_bytes()).cast("long").alias("file_size")).withColumn("level", F.when(F.col("file_number") < 4, 0).otherwise(1))
 
 
-FILES = f"SELECT seq % 8 AS file_number, min({{'m': measurement, 't': timestamp}}) AS lo, max({{'m': measurement, 't': timestamp}}) AS hi, CAST(seq % 8 >= 4 AS INTEGER) AS level FROM ({OPLOG}) GROUP BY seq % 8"
+FILES = f"SELECT seq % 8 AS file_number, min({{'m': measurement, 't': timestamp}}) AS lo, max({{'m': measurement, 't': timestamp}}) AS hi, sum(strlen(measurement) + strlen(props) + 72) AS size, CAST(seq % 8 >= 4 AS INTEGER) AS level FROM ({OPLOG}) GROUP BY seq % 8"
 
 
 @query(f"SELECT file_number, lo.m AS low_measurement, lo.t AS low_timestamp, hi.m AS high_measurement, hi.t AS high_timestamp FROM ({FILES})")
@@ -334,20 +334,22 @@ def overlap_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select(F.col("a.file_number").alias("file_number"), F.col("b.file_number").alias("overlapping")).distinct()
 
 
-@query(f"SELECT level, count(*) AS files FROM ({FILES}) GROUP BY 1")
+@query(f"SELECT level, count(*) AS files, CAST(sum(size) AS BIGINT) AS bytes FROM ({FILES}) GROUP BY 1")
 def level_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return maintain.level_stats(_files(spark, sf_dir)).select("level", "files")
+    return maintain.level_stats(_files(spark, sf_dir)).select("level", "files", "bytes")
 
 
-@query("SELECT lpad(CAST(k AS VARCHAR), 6, '0') AS file_name FROM range(6, 9) t(k)")
+@query("SELECT DISTINCT lpad(CAST(event_id % 8 AS VARCHAR), 6, '0') AS file_name FROM events WHERE event_id % 8 >= 4")
 def orphan_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    name = F.lpad(F.col("id").cast("string"), 6, "0").alias("file_name")
-    return maintain.orphans(spark.range(9).select(name), spark.range(6).select(name))
+    """Of eight files of the log those that a manifest with level 0 only doesn't name."""
+    files = _files(spark, sf_dir).withColumn("file_name", F.lpad(F.col("file_number").cast("string"), 6, "0"))
+    return maintain.orphans(files.select("file_name"), files.where("level = 0").select("file_name"))
 
 
-@query(f"SELECT measurement, CAST(sum(strlen(measurement) + 72) AS BIGINT) AS key_bytes, count(*) AS entries FROM ({OPLOG}) GROUP BY 1")
+@query(f"SELECT measurement, CAST(sum(strlen(measurement) + strlen(props) + 72) AS BIGINT) AS bytes, count(*) AS entries FROM ({OPLOG}) GROUP BY 1")
 def memtable_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return oplog(spark, sf_dir).withColumn("value", F.lit("")).groupBy("measurement").agg(F.sum(codec.entry_bytes()).cast("long").alias("key_bytes"), F.count("*").alias("entries"))
+    """The events' properties are the values here: their text is the same in every engine."""
+    return oplog(spark, sf_dir, F.col("props")).groupBy("measurement").agg(F.sum(codec.entry_bytes()).cast("long").alias("bytes"), F.count("*").alias("entries"))
 
 
 # codecs
@@ -371,11 +373,10 @@ def dod_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"SELECT measurement, timestamp FROM ({POINTS})")
 def dod_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Timestamps, through deltas of deltas and back."""
-    from pyspark.sql import Window
-
-    series = Window.partitionBy("measurement").orderBy("timestamp")
-    coded = codec.dod(points(spark, sf_dir).select("measurement", "timestamp")).select("measurement", "dod", F.row_number().over(series).alias("ord"), F.first("timestamp").over(series).alias("first_timestamp"))
-    return codec.rebuild(coded).select("measurement", "timestamp")
+    coded = codec.dod(points(spark, sf_dir).select("measurement", "timestamp"))
+    coded = series.running_sum(coded, F.lit(1).cast("long"), ["timestamp"], series.time_block(), "ord")
+    firsts = coded.groupBy("measurement").agg(F.min("timestamp").alias("first_timestamp"))
+    return codec.rebuild(coded.select("measurement", "dod", "ord").join(firsts, "measurement")).select("measurement", "timestamp")
 
 
 @query(f"SELECT measurement, timestamp FROM ({POINTS})")
@@ -404,8 +405,10 @@ def _scratch(spark: SparkSession, kind: str) -> str:
     """A new folder that the driver and the executors share."""
     import uuid
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
-    return f"{base}/tidemark/{spark.sparkContext.applicationId}/{kind}-{uuid.uuid4().hex}"
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith(("local[", "local ")) and spark.sparkContext.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return f"{base or '/tmp/checkpoints'}/tidemark/{spark.sparkContext.applicationId}/{kind}-{uuid.uuid4().hex}"
 
 
 def _staged(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, str]:
@@ -435,9 +438,13 @@ def stream_downsample(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.streaming import ingest
 
     stream, at = _staged(spark, sf_dir)
-    name = "downsampled_" + at.rpartition("-")[2]
-    ingest.downsample(stream.where(~F.col("deleted")), 0, 7 * DAY).writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", f"{at}/cp").trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name).withColumn("total", F.col("total").cast("double"))
+    def append(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{at}/sums/batch={batch_id}")
+
+    sums = ingest.downsample(stream.where(~F.col("deleted")), 0, 7 * DAY)
+    sums.writeStream.outputMode("update").foreachBatch(append).option("checkpointLocation", f"{at}/cp").trigger(availableNow=True).start().awaitTermination()
+    newest = spark.read.parquet(f"{at}/sums").groupBy("measurement", "bucket").agg(F.max_by(F.struct("total", "n"), "batch").alias("x"))
+    return newest.select("measurement", "bucket", F.col("x.total").cast("double").alias("total"), F.col("x.n").alias("n"))
 
 
 @query(MARKS)
@@ -468,10 +475,27 @@ def store_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return as_number(Store(spark, path).points())
 
 
-@query()
+@query(f"SELECT measurement, timestamp, value_num FROM (SELECT * FROM ({OPLOG}) WHERE seq * 2 <= (SELECT max(event_id) FROM events) QUALIFY row_number() OVER (PARTITION BY measurement, timestamp ORDER BY seq DESC) = 1) WHERE NOT deleted")
+def snapshot_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a reader that opened after half of the log sees once a writer has written the rest, compacted and closed."""
+    from tidemark.sources.store import Store
+
+    path = _scratch(spark, "snapshot")
+    ops = oplog(spark, sf_dir).withColumnRenamed("seq", "op_idx")
+    half = F.col("op_idx") * 2 <= ops.agg(F.max("op_idx")).first()[0]
+    with Store(spark, path) as writer:
+        writer.write(ops.where(half))
+        reader = Store(spark, path)
+        writer.write(ops.where(~half))
+        writer.compact()
+    return as_number(reader.points())
+
+
+@query("SELECT 1::BIGINT AS version_files, 1::BIGINT AS level0_files, 0::BIGINT AS deeper_files, 1::BIGINT AS disk_sst_files, true AS has_bytes, 0::BIGINT AS pending_delete_files, false AS compaction_pending, (SELECT count(*) FROM events) AS entries")
 def engine_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.sources.store import Store
 
     with Store(spark, _scratch(spark, "stats")) as store:
         store.write(oplog(spark, sf_dir).withColumnRenamed("seq", "op_idx"))
-        return store.stats()
+        deeper = F.aggregate(F.slice("level_files", 2, 6), F.lit(0).cast("long"), lambda a, x: a + x).alias("deeper_files")
+        return store.stats().select("version_files", F.col("level_files")[0].alias("level0_files"), deeper, "disk_sst_files", (F.col("version_file_bytes") > 0).alias("has_bytes"), "pending_delete_files", "compaction_pending", F.lit(store.count()).cast("long").alias("entries"))
