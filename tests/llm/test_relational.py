@@ -124,6 +124,17 @@ def test_one_url_with_most_of_the_rows(spark):
     assert out.count() == len(rows) and {r.verdict for r in out.where("rule = 'net/'").select("verdict").distinct().collect()} == {"block"}
 
 
+def test_many_urls_with_one_deep_path(spark):
+    """40 URLs with 40 common folders, which have 2**40 frequent sets, and a last segment of their own; long URLs."""
+    deep = "/".join(f"seg{k}" for k in range(40))
+    rows = [(f"http://a{k}.net/{deep}/{k}", "block") for k in range(40)] + [(f"http://b{k}.org/x/y/{k}", "allow") for k in range(40)] + [("http://z.org/" + "q" * 100_000, "allow")]
+    rules = urls.mine(spark.createDataFrame(rows, "url string, verdict string")).collect()
+    assert {(len(r.antecedent), r.verdict) for r in rules} == {(1, "block"), (1, "allow")} and max(len(r.alternatives[0]) for r in rules) == 41
+    fresh = spark.createDataFrame([("http://new.com/seg7/other",), ("http://new.com/x",), ("http://new.com/none",)], "url string")
+    rules = urls.mine(spark.createDataFrame(rows, "url string, verdict string"))
+    assert {r.url[15:]: r.verdict for r in urls.match(fresh, rules).collect()} == {"seg7/other": "block", "x": "allow"}
+
+
 # chats
 
 
