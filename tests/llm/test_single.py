@@ -128,6 +128,17 @@ def test_blocks_of_the_benchmark(spark, monkeypatch):
     whole = gathered(registry.op3_decontamination(spark, sf))
     monkeypatch.setattr(contamination, "BLOCK_BYTES", 2000)
     assert gathered(registry.op3_decontamination(spark, sf)) == whole and len(whole) > 10
+    docs, items = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet")
+    assert {r.doc_id for r in docs.select("doc_id").collect()} - {r.doc_id for r in contamination.clean(docs, items).collect()} == {d for d, *_ in whole}
+
+
+def test_long_texts_and_clashing_columns(spark):
+    item = " ".join(f"i{k}" for k in range(30))
+    long = "filler " * 300_000 + item + " filler" * 300_000
+    docs = spark.createDataFrame([(1, long, "a", 5, "b"), (2, "x", None, 6, "c")], "doc_id long, text string, hits string, item_id int, text_hash string")
+    items = spark.createDataFrame([(9, item), (8, item)], "item_id long, text string")
+    assert gathered(contamination.contaminated(docs, items)) == [(1, 8, 26, 26), (1, 9, 26, 26)]
+    assert [tuple(r) for r in contamination.clean(docs, items).collect()] == [(2, "x", None, 6, "c")]
 
 
 def test_sketches_miss_nothing():
