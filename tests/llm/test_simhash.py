@@ -49,6 +49,13 @@ def test_on_the_tables(spark, documents):
     assert gathered(simhash.near_duplicates(documents)) == plain(rows)
 
 
+def test_long_texts_clashing_columns_and_empty_tables(spark):
+    long = " ".join(f"w{i}" for i in range(300_000))
+    df = spark.createDataFrame([(2, long, 1, 7, "s"), (1, long, 2, 8, "t"), (1, long, 2, 8, "t"), (3, None, 3, 9, "u")], "doc_id long, text string, fp long, root int, salt string")
+    assert gathered(simhash.near_duplicates(df)) == plain([(2, long), (1, long), (1, long), (3, None)])
+    assert simhash.near_duplicates(df.limit(0)).collect() == []
+
+
 def test_jvm_hash_is_the_same(spark):
     assert spark.range(1).select(F.xxhash64(F.lit("a b c d"))).first()[0] % 2**64 == xxhash.xxh64_intdigest("a b c d", 42)
 

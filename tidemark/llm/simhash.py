@@ -6,12 +6,14 @@ exactly if they emit a variant in common: a common variant puts them within 2 +
 the middle one is common (none missing).
 
 Only distinct fingerprints take part, so a variant has at most 2,081 emitters however many documents are
-alike, and each links to the least of them: no pairs are made within a group. Before anything is shuffled in
+alike, and each links to the least of them: no pairs are made within a group. Colliding pairs are deduplicated and
+verified by counting the bits in which they differ. Before anything is shuffled in
 full, two passes at four bytes a key leave out what can't meet: first fingerprints that share none of the
 70 choices of four whole bytes with another (4 differing bits leave four of eight bytes equal), then
 variants that only one fingerprint emits. Neither loses a link.
 
-Texts without words have fingerprint zero, null ones too. Repeated rows keep their places. Documents with a
+Texts without words have fingerprint zero, null ones too; whole texts count, however long. Repeated rows keep their
+places; ties go to the least id. An empty table gives no rows, and other columns are left out. Documents with a
 null id get the component of the others; a component of null ids only has a null id.
 """
 
@@ -34,6 +36,8 @@ WORDS, SEED, RADIUS = 4, 42, 4
 #: Fingerprints in a block of the two passes.
 COARSE_BLOCK, FINE_BLOCK = 1 << 12, 1 << 9
 NEVER_HOT = 1 << 62
+#: Pieces into which the fingerprints of one component are dealt.
+SALT = 16
 
 _BITS = np.uint64(1) << np.arange(64, dtype=np.uint64)
 #: All differences of up to RADIUS / 2 bits.
@@ -108,6 +112,7 @@ def _links(pdf: pd.DataFrame) -> pd.DataFrame:
     first = np.r_[True, v[1:] != v[:-1]]
     least = fp[np.flatnonzero(first)][np.cumsum(first) - 1]
     pairs = np.unique(np.stack([least, fp], 1)[least != fp], axis=0)
+    pairs = pairs[np.bitwise_count((pairs[:, 0] ^ pairs[:, 1]).view(np.uint64)) <= RADIUS]
     return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
 
 
@@ -153,10 +158,11 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     """``doc_id, fingerprint`` (hexadecimal), ``component_id``: a row for each row of ``docs``."""
     fps = written(bounded(docs).select(F.col(doc_id).alias("doc_id"), fingerprint_column(text).alias("fp")), "fingerprints")
     nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    roots = components(links(fps.select("fp").distinct())).withColumnRenamed("node", "fp")
-    rooted = nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    by_fp = rooted.join(least, "root").select("fp", "component_id")
+    # only linked fingerprints meet their component, in SALT pieces, as one may have very many
+    linked = nodes.join(components(links(fps.select("fp").distinct())).withColumnRenamed("node", "fp"), "fp")
+    least = linked.groupBy("root").agg(F.min("first").alias("component_id")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    of_linked = linked.withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(SALT)).cast("int")).join(least, ["root", "salt"]).select("fp", "component_id")
+    by_fp = nodes.join(of_linked, "fp", "left").select("fp", F.when(F.col("component_id").isNull(), F.col("first")).otherwise(F.col("component_id")).alias("component_id"))
     return fps.join(by_fp, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
