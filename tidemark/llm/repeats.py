@@ -359,15 +359,17 @@ class _Block:
     def items(self) -> _Items:
         cold, n = np.flatnonzero(~self.hot), self.size.size
         key, content, first, later, place = [self.key[cold]], [self.content[cold]], [self.first[cold]], [self.later[cold]], [cold]
-        base = np.cumsum(self.size) - self.size + n
-        for r in np.flatnonzero(self.hot):
-            size = int(self.size[r])
-            x = self.scatter(self.piece(r))
-            key.append(gram_hashes(x, self.length))
-            content.append(contents(x, np.arange(size), np.full(size, self.length)))
-            first.append(np.full(size, self.first[r]))
-            later.append(np.full(size, self.later[r]))
-            place.append(base[r] + np.arange(size))
+        hot = np.flatnonzero(self.hot)
+        if hot.size:
+            symbols, size = self.pieces(hot)
+            x, windows = self.scatter(symbols), self.size[hot]
+            nth = np.arange(int(windows.sum())) - np.repeat(np.cumsum(windows) - windows, windows)
+            at = np.repeat(np.cumsum(size) - size, windows) + nth
+            key.append(gram_hashes(x, self.length)[at])
+            content.append(contents(x, at, np.full(at.size, self.length)))
+            first.append(np.repeat(self.first[hot], windows))
+            later.append(np.repeat(self.later[hot], windows))
+            place.append(np.repeat((np.cumsum(self.size) - self.size + n)[hot], windows) + nth)
         k, c, f, l, p = map(np.concatenate, (key, content, first, later, place))
         order = np.lexsort((f, c, k))
         k, c, f, l, p = k[order], c[order], f[order], l[order], p[order]
@@ -497,13 +499,15 @@ def _gathered(pdf: pd.DataFrame, of: Alphabet) -> _Cited:
 
 def _related(passages: list[Passage], length: int, of: Alphabet, resolve: Resolve) -> list[tuple[np.ndarray, bool]]:
     """What a shard's index says. Passages of one document none of whose windows has its hash in another stay out of it."""
+    if all(p[2] for p in passages):
+        return resolve(passages, length)
     sizes = np.array([p[3].size - length + 1 for p in passages])
-    joined = gram_hashes(of.scatter(np.concatenate([p[3] for p in passages])), length)
     ends = np.cumsum(sizes + length - 1)
     owner = np.repeat(np.arange(sizes.size), sizes)
     place = np.arange(owner.size) + (ends - sizes - length + 1 - np.cumsum(sizes) + sizes)[owner]
-    order = np.argsort(joined[place])
-    h, o = joined[place][order], owner[order]
+    hashes = contents(of.scatter(np.concatenate([p[3] for p in passages])), place, np.full(place.size, length))
+    order = np.argsort(hashes)
+    h, o = hashes[order], owner[order]
     same = np.flatnonzero(h[1:] == h[:-1])
     inside = np.array([p[2] for p in passages])
     inside[o[same]] = inside[o[same + 1]] = True
@@ -584,13 +588,21 @@ def _finisher(of: Alphabet, length: int, bits: int):
                 asked = doc != LAST
                 whole = asked & ~b.hot[b.run] & (of_place[b.run] < doc)
                 text, start, end = [b.text[whole]], [b.start[whole]], [b.start[whole] + b.size[b.run[whole]] + length - 1]
-                for k in np.flatnonzero(asked & ~whole & (b.hot[b.run] | has_marks[b.run] & (doc == b.first[b.run]))).tolist():
-                    r, s = int(b.run[k]), int(b.start[k])
-                    hit = of_place[offset[r] : offset[r] + b.size[r]] < doc[k] if b.hot[r] else marked[r]
-                    edge = np.flatnonzero(np.diff(np.r_[0, hit.view(np.int8), 0]))
+                part = np.flatnonzero(asked & ~whole & b.hot[b.run])
+                windows = b.size[b.run[part]]
+                nth = np.arange(int(windows.sum())) - np.repeat(np.cumsum(windows) - windows, windows)
+                hit = of_place[np.repeat(offset[b.run[part]], windows) + nth] < np.repeat(doc[part], windows)
+                opens = np.flatnonzero(hit & ((nth == 0) | ~np.r_[False, hit[:-1]]))
+                closes = np.flatnonzero(hit & (np.r_[nth[1:] == 0, True] | ~np.r_[hit[1:], False])) if hit.size else opens
+                whose, at = np.repeat(part, windows), nth + np.repeat(b.start[part], windows)
+                text.append(b.text[whose[opens]])
+                start.append(at[opens])
+                end.append(at[closes] + length)
+                for k in np.flatnonzero(asked & ~whole & ~b.hot[b.run] & has_marks[b.run] & (doc == b.first[b.run])).tolist():
+                    edge = np.flatnonzero(np.diff(np.r_[0, marked[int(b.run[k])].view(np.int8), 0]))
                     text.append(np.full(edge.size // 2, b.text[k]))
-                    start.append(s + edge[::2])
-                    end.append(s + edge[1::2] + length - 1)
+                    start.append(b.start[k] + edge[::2])
+                    end.append(b.start[k] + edge[1::2] + length - 1)
                 t, s, e = map(np.concatenate, (text, start, end))
                 order = np.lexsort((s, t))  # a later start has a later end: windows in a row have one run
                 t, s, e = t[order], s[order], e[order]

@@ -51,10 +51,9 @@ def _ranks(joined: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
 def suffix_array(codes: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Suffixes in order, and the common prefix of each with the one before (0 for the first), by doubling.
 
-    ``left`` says how many codes there are up to the end of the string, the own one included; a suffix ends there.
+    Codes are the numbers from 0 on, all used; ``left`` says how many there are up to the end of the string, the own one included; a suffix ends there.
     """
-    n, step = codes.size, 1
-    _, rank = np.unique(codes, return_inverse=True)
+    n, step, rank = codes.size, 1, codes
     levels = [rank]
     while True:
         key = rank * (n + 1)
