@@ -77,3 +77,23 @@ def test_unlike_texts_of_one_id_both_stay(spark):
     near = two.replace("b40 ", "other ")
     df = spark.createDataFrame([(1, near), (1, two), (0, one)], "doc_id long, text string")
     assert len(simhash.keep_first(df).where("doc_id = 1").collect()) == 1
+
+
+def test_near_copies_in_many_chunks_are_one_before_texts_go_across(spark, monkeypatch):
+    monkeypatch.setattr(similar, "CHUNK_BYTES", 20_000)
+    rng, base, rows = random.Random(6), [f"w{i}" for i in range(100)], []
+    for d in range(400):
+        w = list(base)
+        w[rng.randrange(100)] = f"x{d}"
+        rows.append((d, " ".join(w)))
+    rows += [(1000 + d, " ".join([*base[:30], *(f"y{d}_{i}" for i in range(70))])) for d in range(5)]  # share passages, unlike
+    seen, across = [], similar._across
+
+    def watched(members, keys, roots):
+        seen.append((members.count(), len({r.root for r in roots.collect()})))
+        return across(members, keys, roots)
+
+    monkeypatch.setattr(similar, "_across", watched)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert gathered(simhash.keep_first(df).select("doc_id")) == [(0,), *((1000 + d,) for d in range(5))]
+    assert len(seen) == 1 and seen[0][0] >= 400 and seen[0][1] == 1
