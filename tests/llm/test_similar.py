@@ -80,7 +80,7 @@ def test_unlike_texts_of_one_id_both_stay(spark):
 
 
 def test_near_copies_in_many_chunks_are_one_before_texts_go_across(spark, monkeypatch):
-    monkeypatch.setattr(similar, "CHUNK_BYTES", 20_000)
+    monkeypatch.setattr(similar, "CHUNK_TEXTS", 30)
     rng, base, rows = random.Random(6), [f"w{i}" for i in range(100)], []
     for d in range(400):
         w = list(base)
