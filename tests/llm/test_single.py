@@ -9,6 +9,7 @@ from tokenizers import Tokenizer
 
 from tests.llm.conftest import corpus, gathered
 from tidemark.llm import bpe, contamination, quality, registry
+from tidemark.llm.common import bounded
 
 SF = "/root/testdata/sf0.001"
 ODD = "abcdeABCDE'stredvemll 0123456789.,!?<>|éÉàçßΣσςİıǅ中文😀 \u0085\xa0\t\n\r\x1c\x1d\x0b\x0c\x00́İﬁÅ 　ᔰ\U000105e9\U00011893"
@@ -159,3 +160,19 @@ def test_rows_of_any_kind(spark):
     rows = corpus(3, 60)
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert quality.measured(df).count() == contamination.clean(df, df.select(F.col("doc_id").alias("item_id"), "text").limit(0)).count() == len(rows)
+
+
+def test_batches_are_bounded_by_bytes(spark):
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch")}
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "1g")
+        texts = bounded(spark.range(40).repartition(1).select(F.expr("repeat('x', 1000000)").alias("text")))
+        sizes = texts.mapInPandas(lambda batches: (b.head(1).assign(n=len(b))[["n"]] for b in batches), "n long")
+        assert sizes.agg(F.max("n"), F.sum("n")).first()[0] <= 17 and sizes.agg(F.sum("n")).first()[0] == 40
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+        bounded(texts)
+        assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == "8m"
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)

@@ -51,10 +51,13 @@ def dealt(df: DataFrame, key: str) -> DataFrame:
 
 
 def bounded(df: DataFrame) -> DataFrame:
-    """The frame itself; its session hands at most 1,000 rows at once to Python, so that texts of a batch stay few MB."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(df.sparkSession.conf.get(key)) <= 1000:
-        df.sparkSession.conf.set(key, "1000")
+    """The frame itself; its session hands at most 1,000 rows and about 16 MB at once to Python. A longer text is a batch of its own."""
+    spark = df.sparkSession
+    in_bytes = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes
+    for key, most in (("maxRecordsPerBatch", 1000), ("maxBytesPerBatch", 16 << 20)):
+        key = f"spark.sql.execution.arrow.{key}"
+        if not 0 < in_bytes(spark.conf.get(key)) <= most:
+            spark.conf.set(key, str(most))
     return df
 
 
