@@ -116,15 +116,21 @@ def scan(files: DataFrame, wordings: DataFrame, path: str = "path", text: str =
     had = had.withColumn(up, folder(F.coalesce(F.col(path), F.lit("")))).withColumn(kind, F.when(is_file, "file").otherwise("header"))
     had = had.withColumn(unit, F.when(is_file & body.isNotNull(), F.array(body)).otherwise(F.coalesce(lines, F.array().cast("array<string>"))))
 
-    units = written(had.select(F.explode(unit).alias("unit")).groupBy(F.md5("unit").alias("unit_id")).agg(F.first("unit").alias("unit"), F.count("*").alias("n")), "units")
+    # distinct sets of units, so that texts are searched once for them and files with the same header meet the join once
+    counted = had.where(F.size(unit) > 0).groupBy(F.transform(unit, F.md5).alias("units")).agg(F.first(unit).alias("lines"), F.count("*").alias("n"))
+    sets = written(counted, "sets")
+    each = sets.select(F.explode("lines").alias("unit"), "n")
+    units = written(each.groupBy(F.md5("unit").alias("unit_id")).agg(F.first("unit").alias("unit"), F.sum("n").alias("n")), "units")
     known = scored(units, wordings).where(F.col("similarity") >= threshold)
-    had = had.withColumn(unit, F.transform(unit, F.md5))
-    # distinct sets of units, so that files with the same header meet the join once
-    sets = had.where(F.size(unit) > 0).select(F.col(unit).alias("units")).distinct()
     top = F.min(F.struct((-F.col("similarity")).alias("s"), F.col("license").alias("l"))).alias("top")
-    of_sets = _salted(sets.withColumn("unit_id", F.explode("units")), "units").join(_for_each_salt(known), ["unit_id", "salt"])
+    of_sets = _salted(sets.select("units", F.explode("units").alias("unit_id")), "units").join(_for_each_salt(known), ["unit_id", "salt"])
     own = of_sets.groupBy("units").agg(top).select("units", F.col("top.l").alias("own_license"), (-F.col("top.s")).alias("own_similarity"))
-    with_own = had.join(own.withColumnRenamed("units", f"{unit}_set"), F.col(unit) == F.col(f"{unit}_set"), "left").drop(f"{unit}_set")
+    # files of one set meet its license in SALT pieces, files without units are spread by their own hash;
+    # a salt that may be null would be tested for it on all rows, with the search for units
+    salt, of_salt, of_unit, spread = fresh(files, "file_salt"), fresh(files, "of_salt"), fresh(files, "of_unit"), F.xxhash64(path, text)
+    had = had.withColumn(unit, F.transform(unit, F.md5)).withColumn(salt, F.coalesce(F.when(F.size(unit) > 0, F.pmod(spread, F.lit(SALT))).otherwise(spread), F.lit(0)))
+    theirs = _for_each_salt(own).select(F.col("units").alias(of_unit), F.col("salt").cast("long").alias(of_salt), "own_license", "own_similarity")
+    with_own = had.join(theirs, (F.col(unit) == F.col(of_unit)) & (F.col(salt) == F.col(of_salt)), "left").drop(salt, of_unit, of_salt)
 
     top = F.min(F.struct((-F.col("own_similarity")).alias("s"), F.col("own_license").alias("l"))).alias("top")
     of_folder = with_own.where((F.col(kind) == "file") & F.col("own_license").isNotNull()).groupBy(F.col(up).alias("above")).agg(top)
