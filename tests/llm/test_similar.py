@@ -97,3 +97,31 @@ def test_near_copies_in_many_chunks_are_one_before_texts_go_across(spark, monkey
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert gathered(simhash.keep_first(df).select("doc_id")) == [(0,), *((1000 + d,) for d in range(5))]
     assert len(seen) == 1 and seen[0][0] >= 400 and seen[0][1] == 1
+
+
+def test_pairs_within_the_radius_come_from_the_fingerprints(spark, monkeypatch):
+    rng, rows = random.Random(8), []
+    for d in range(40):
+        w = [f"w{d}_{i}" for i in range(400)]
+        rows.append((2 * d, " ".join(w)))
+        w[rng.randrange(400)] = "x"
+        rows.append((2 * d + 1, " ".join(w)))
+    bits = [(simhash.fingerprint(a) ^ simhash.fingerprint(b)).bit_count() for (_, a), (_, b) in zip(rows[::2], rows[1::2])]
+    near = [2 * d + 1 for d in range(40) if bits[d] <= simhash.RADIUS]
+    assert 5 < len(near)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert gathered(simhash.keep_first(df).select("doc_id")) == [(2 * d,) for d in sorted(range(40), key=lambda d: repr((2 * d,)))]
+    # without them just these pairs stay: nothing else looks for them, and everything else is found
+    monkeypatch.setattr(simhash, "candidates", lambda texts: texts.select("node", texts.node.alias("group")).limit(0))
+    assert sorted(r.doc_id for r in simhash.keep_first(df).collect()) == sorted([*range(0, 80, 2), *near])
+
+
+def test_large_groups_of_one_fingerprint_lose_no_pair(spark, monkeypatch):
+    monkeypatch.setattr(similar, "CHUNK_TEXTS", 4)
+    same = " ".join(["a"] * 60)  # most shingles are alike: one fingerprint, though the texts differ
+    tails = [[f"t{d}_{i}" for i in range(30)] for d in range(12)]
+    rows = [(d, f"{same} {' '.join(t)}") for d, t in enumerate(tails)]
+    rows += [(100 + d, f"{same} {' '.join([*t[:-1], 'end'])}") for d, t in enumerate(tails)]
+    assert len({simhash.fingerprint(t) for _, t in rows}) == 1
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.keep_first(df).collect()) == plain(rows) == list(range(12))

@@ -166,15 +166,36 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     return fps.join(by_fp, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def candidates(texts: DataFrame) -> DataFrame:
+    """``node, group`` of ``node, fp``: the texts that share their fingerprint or are linked by it, with their component."""
+    by_fp = written(texts.groupBy("fp").agg(F.count("*").alias("c")), "by_fp")
+    linked = written(components(links(by_fp.select("fp"))).select(F.col("node").alias("fp"), F.col("root").alias("group")), "linked")
+    equal = by_fp.where("c > 1").join(linked, "fp", "left_anti").select("fp", F.col("fp").alias("group"))
+    return texts.select("node", "fp").join(linked.unionByName(equal), "fp").select("node", "group")
+
+
+def grouped(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``doc_id, node, root``: a row for each row of ``docs``; equal roots are connected by pairs that are alike.
+
+    Pairs within RADIUS are those that the fingerprints bring together, verified on shingles; ``similar`` adds the wider ones.
+    """
+    rows = bounded(docs).select(F.col(doc_id).alias("doc_id"), similar.node_column(text).alias("node"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    nodes = written(rows.select("doc_id", "node"), "nodes")
+    texts = written(rows.select("node", "text", fingerprint_column().alias("fp")).dropDuplicates(["node"]), "texts")
+    roots = components(similar.links(texts, candidates(texts), RADIUS))
+    return nodes.join(roots, "node", "left").select("doc_id", "node", F.coalesce("root", "node").alias("root"))
+
+
 def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One document of each group of texts that are alike, the one with the smallest id, with its columns.
 
-    Four bits are a narrow radius for texts, so the groups aren't those of ``near_duplicates``: five-word shingles
-    decide, at a Jaccard similarity of 0.8 (``similar``). Rows with a null id are kept: nothing says which of them
+    Alike are texts whose five-word shingles have a Jaccard similarity of 0.8 or more. Fingerprints within RADIUS find pairs
+    of them, and each is verified; as four bits are a narrow radius for texts, ``similar`` finds the pairs beyond it. So the groups
+    aren't those of ``near_duplicates``. Rows with a null id are kept: nothing says which of them
     is first. Of repeated rows, of one id and the same words, one stays; unlike texts of one id both may.
     """
     known = docs.where(F.col(doc_id).isNotNull())
-    found = similar.grouped(known, doc_id, text)
+    found = grouped(known, doc_id, text)
     first, node = fresh(docs, "first_of_component"), fresh(docs, "node")
     least = found.groupBy("root").agg(F.min(F.struct("doc_id", "node")).alias("r"))
     several = found.groupBy("doc_id").agg((F.count("*") > 1).alias("several"))

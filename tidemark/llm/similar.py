@@ -1,4 +1,8 @@
-"""Groups of texts whose five-word shingles have a Jaccard similarity of 0.8 or more, found by prefixes, without chance.
+"""Links of texts whose five-word shingles have a Jaccard similarity of 0.8 or more, found without chance.
+
+Texts with near fingerprints come as groups (``simhash.candidates``), and their pairs are verified first. Fingerprints of
+texts that are alike may differ in more bits; such pairs are found by prefixes. Texts that are connected by then aren't
+compared again, nor are pairs within the fingerprints' radius: these are left to the fingerprints.
 
 Shingles are those of ``contamination``. In one order of all shingles, two sets of that similarity share one of
 the first ``n - ceil(0.8 n) + 1`` of their ``n`` shingles. The order is by the number of texts that have a
@@ -11,13 +15,14 @@ is still an order). Texts that share a shingle of their beginnings, directly or
 group, and are verified where they meet. A task gets some ``CHUNK_BYTES`` or
 ``CHUNK_TEXTS`` of a group, whichever is less:
 
-1. A group is dealt to chunks, and each is verified for itself. A group of one chunk is done.
-2. Larger groups are dealt and verified a second time, otherwise: what is alike within the first chunks meets
-   again, so a large group of near copies is mostly one component now, after two passes over its texts.
+1. A group is dealt to chunks, and each is verified for itself. A group of one chunk is done. A fingerprints' group of
+   more chunks has pairs that no chunk has seen; its texts aren't spared in what follows.
+2. Larger groups by prefixes are dealt and verified a second time, otherwise: what is alike within the first chunks meets
+   again, so a large group of near copies is mostly one component now.
 3. Pairs that no chunk has seen and whose components differ share a shingle of their beginnings. For each such shingle
    the texts of its most frequent component lie in chunks, and only its other texts go to all of them.
 
-So no pair is left out, and near copies cost two passes however many they are. Only unlike texts that share one rare
+So no pair is left out, and near copies cost three passes however many they are, one of them by their fingerprints. Only unlike texts that share one rare
 shingle cost more than in proportion: texts outside the shingle's largest component, times its chunks.
 
 Texts with the same words, A-Z lower-cased, are one node, told by a hash of 64 bits. Links are verified on the
@@ -106,9 +111,14 @@ def _begin(bits: int):
     return run
 
 
-def _verified(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Links that connect all texts that are alike, and no others. Texts of one root are connected; of two visitors (not ``home``) other tasks see to."""
+def _verified(pdf: pd.DataFrame, radius: int | None = None) -> pd.DataFrame:
+    """Links that connect all texts that are alike, and no others. Texts of one root are connected; of two visitors (not ``home``) other tasks see to.
+
+    ``radius``: pairs of ``judged`` texts whose fingerprints differ in so many bits or fewer have been verified before.
+    """
     sets, texts, nodes, home = _sets(pdf), pdf.text.tolist(), pdf.node.tolist(), pdf.home.to_numpy(bool)
+    if radius is not None:
+        fps, judged = pdf.fp.to_numpy(np.int64).view(np.uint64), pdf.judged.to_numpy(bool)
     sizes = np.array([s.size for s in sets])
     keys, counts = np.unique(np.concatenate(sets), return_counts=True)
     root, at, out = np.unique(pdf.root, return_inverse=True)[1], defaultdict(list), []
@@ -116,6 +126,8 @@ def _verified(pdf: pd.DataFrame) -> pd.DataFrame:
         first = own[np.lexsort((own, counts[np.searchsorted(keys, own)]))[: _prefix(own.size)]].tolist()
         near = np.array(sorted({x for k in first for x in at.get(k, ())}), int)
         near = near[(DENOMINATOR * np.minimum(sizes[near], own.size) >= NUMERATOR * np.maximum(sizes[near], own.size)) & (home[near] | home[y])]
+        if radius is not None:
+            near = near[~(judged[near] & judged[y]) | (np.bitwise_count(fps[near] ^ fps[y]) > radius)]
         while (near := near[root[near] != root[y]]).size:
             x, near = near[0], near[1:]
             both = np.intersect1d(own, sets[x], assume_unique=True).size
@@ -130,20 +142,28 @@ def _verified(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
 
 
-def _meet(met: DataFrame, group: str) -> DataFrame:
+def _meet(met: DataFrame, group: str, radius: int | None = None) -> DataFrame:
     """Links from ``node, text, root, home`` that meet in a group's chunk."""
     parts = int(met.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return met.repartition(parts, group, "chunk").groupBy(group, "chunk").applyInPandas(lambda pdf: _verified(pdf), "a long, b long").distinct()
+    return met.repartition(parts, group, "chunk").groupBy(group, "chunk").applyInPandas(lambda pdf: _verified(pdf, radius), "a long, b long").distinct()
 
 
 def _chunks(count: str, size: str) -> Column:
     return F.greatest(F.ceil(F.col(size) / CHUNK_BYTES), F.ceil(F.col(count) / CHUNK_TEXTS), F.lit(1)).cast("int").alias("n")
 
 
-def _alone(members: DataFrame, deal: int) -> DataFrame:
+def _placed(texts: DataFrame, groups: DataFrame) -> DataFrame:
+    """``group, node, n``: the number of chunks that the node's group has."""
+    placed = written(texts.select("node", F.octet_length("text").alias("bytes")).join(groups, "node"), "candidates")
+    large = written(placed.groupBy("group").agg(F.count("*").alias("c"), F.sum("bytes").alias("bytes")).select("group", _chunks("c", "bytes")).where("n > 1"), "large")
+    return placed.join(large, "group", "left").select("group", "node", F.coalesce("n", F.lit(1)).alias("n"))
+
+
+def _alone(members: DataFrame, deal: int, radius: int | None = None) -> DataFrame:
     """Links within chunks of the groups; each ``deal`` deals otherwise."""
     chunk = F.pmod(F.xxhash64("node", F.lit(deal)), F.col("n")).alias("chunk")
-    return _meet(members.select("group", chunk, "node", "text", F.col("node").alias("root"), F.lit(True).alias("home")), "group")
+    told = ("fp", "judged") if radius is not None else ()
+    return _meet(members.select("group", chunk, "node", "text", "root", *told, F.lit(True).alias("home")), "group", radius)
 
 
 def _across(members: DataFrame, keys: DataFrame, roots: DataFrame) -> DataFrame:
@@ -160,8 +180,14 @@ def _across(members: DataFrame, keys: DataFrame, roots: DataFrame) -> DataFrame:
     return _meet(sent.join(members.select("node", "text"), "node"), "key")
 
 
-def links(texts: DataFrame) -> DataFrame:
-    """``a, b`` from ``node, text`` with distinct nodes: links that connect all nodes that are alike, and no others."""
+def links(texts: DataFrame, close: DataFrame, radius: int) -> DataFrame:
+    """``a, b`` from ``node, fp, text`` with distinct nodes: links that connect all nodes that are alike, and no others.
+
+    ``close``: ``node, group``, where nodes are in one group if their fingerprints differ in ``radius`` bits or fewer.
+    """
+    by_print = written(_placed(texts, close), "close")
+    found = written(_alone(texts.join(by_print, "node").withColumn("root", F.col("node")), 1), "links")
+
     total = text_bytes(texts)
     n, bits = blocks_for(total, BLOCK_BYTES), shared.bucket_bits(total // 4)
     rows = dealt(texts.select(F.pmod(F.xxhash64("node"), F.lit(n)).alias("block"), "node", "text"), "block")
@@ -171,22 +197,14 @@ def links(texts: DataFrame) -> DataFrame:
 
     least = keys.groupBy("key").agg(F.min("node").alias("a"))
     groups = components(keys.join(least, "key").select("a", F.col("node").alias("b"))).withColumnRenamed("root", "group")
-    placed = written(texts.select("node", F.octet_length("text").alias("bytes")).join(groups, "node"), "candidates")
-    large = written(placed.groupBy("group").agg(F.count("*").alias("c"), F.sum("bytes").alias("bytes")).select("group", _chunks("c", "bytes")).where("n > 1"), "large")
-    in_chunks = placed.join(large, "group", "left").select("group", "node", F.coalesce("n", F.lit(1)).alias("n"))
-    members = texts.join(in_chunks, "node")
-    found = written(_alone(members, 1), "links")
+    # what a fingerprint's group in many chunks left out, nobody has judged
+    apart = by_print.where("n > 1").select("node", F.lit(False).alias("judged"))
+    known = _placed(texts, groups).join(components(found), "node", "left").join(apart, "node", "left")
+    placed = written(known.select("group", "node", "n", F.coalesce("root", "node").alias("root"), F.coalesce("judged", F.lit(True)).alias("judged")), "placed")
+    found = found.unionByName(written(_alone(texts.join(placed, "node"), 2, radius), "links"))
+    large = written(placed.where("n > 1").select("node").unionByName(apart.select("node")).distinct(), "in_large")
     if large.isEmpty():
         return found
-    many = written(members.where("n > 1"), "members")
-    found = found.unionByName(written(_alone(many, 2), "links"))
+    many = written(texts.join(large, "node"), "members")
+    found = found.unionByName(written(_alone(many.join(placed.where("n > 1"), "node"), 3, radius), "links"))
     return found.unionByName(_across(many, keys, components(found)))
-
-
-def grouped(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, node, root``: a row for each row of ``docs``; equal roots are connected by pairs that are alike."""
-    rows = bounded(docs).select(F.col(doc_id).alias("doc_id"), node_column(text).alias("node"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    nodes = written(rows.select("doc_id", "node"), "nodes")
-    one = written(rows.select("node", "text").dropDuplicates(["node"]), "texts")
-    roots = components(links(one))
-    return nodes.join(roots, "node", "left").select("doc_id", "node", F.coalesce("root", "node").alias("root"))
